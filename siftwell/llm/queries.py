@@ -7,7 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, substring_dedup
+from pyspark.sql import functions as F
+
+from . import block_search, byte_bpe, language_id, line_dedup, near_dedup, pfair_mix, quality_rules, substring_dedup, url_filter, warc
+
+RULES = (
+    url_filter.Rule("com", "/", "allow"),
+    url_filter.Rule("example.com", "/en/", "block"),
+    url_filter.Rule("www.example.com", "/en/", "allow"),
+    url_filter.Rule("net", "/es/", "block"),
+    url_filter.Rule("net", "/fr/", "block"),
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +28,40 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=13))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.clean(_table(spark, sf_dir, "documents"), texts=False)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(_table(spark, sf_dir, "pages"), revisit_bytes=1000)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_search.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mix.mix(_table(spark, sf_dir, "documents"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents"), words=3, threshold=0.85)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(_table(spark, sf_dir, "pages"), RULES, url_filter.train(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True
@@ -25,8 +69,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op10_byte_bpe)}
+    all_ten = (
+        op1_substring_dedup, op2_quality_rules, op3_language_id, op4_warc, op5_block_search, op6_pfair_mix, op7_near_dedup, op8_line_dedup,
+        op9_url_filter, op10_byte_bpe,
+    )
+    return {f.__name__: f for f in all_ten}
+
+
+#: DuckDB SQL where it can say the whole result: exact neighbours, WARC facts and lines.
+OP4 = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+again as (select html, max(page_id) as best, count(*) as n from p where octet_length(encode(html)) >= 1000 group by html having count(*) > 1)
+select p.page_id, octet_length(encode(p.html))::bigint as payload_bytes, sha1(p.html) as payload_digest,
+  case when a.best is not null and a.best <> p.page_id then 'revisit' else 'response' end as record_type,
+  case when a.best is not null and a.best <> p.page_id then a.best end as refers_to
+from p left join again a on p.html = a.html
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": OP4, "op8_line_dedup": line_dedup.ORACLE}
