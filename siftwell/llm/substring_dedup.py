@@ -158,11 +158,31 @@ def _meet(window: int):
     return run
 
 
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of a chunk as one compressed string, words joined by one space: what moves is small."""
+    zstd = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        by: dict[int, list] = {}
+        for chunk, i in zip(batch.column("chunk").to_pylist(), range(batch.num_rows)):
+            by.setdefault(chunk, []).append(i)
+        for chunk, at in by.items():
+            rows = batch.take(pa.array(at))
+            texts = [joined(t) for t in rows.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([chunk], pa.int64()), pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                    pa.array([rows.column("tag").to_pylist()], pa.list_(pa.int64())), pa.array([zstd.compress(b"\n".join(texts))], pa.binary()),
+                ],
+                names=["chunk", "ids", "tags", "texts"],
+            )
+
+
 def _apply(window: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         unzip = zstandard.ZstdDecompressor()
-        ids, tags = docs.column("doc_id").to_pylist(), docs.column("tag").to_pylist()
-        texts = [joined(t) for t in docs.column("text").cast(pa.binary()).to_pylist()]
+        ids = [i for row in docs.column("ids").to_pylist() for i in row]
+        tags = [i for row in docs.column("tags").to_pylist() for i in row]
+        texts = [t for blob in docs.column("texts").to_pylist() for t in unzip.decompress(blob).split(b"\n")]
         parts = [np.frombuffer(unzip.decompress(x), _FOUND) for x in found.column("found").to_pylist()]
         removed: np.ndarray | None = None
         table = None
@@ -220,7 +240,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, minimiser: int = 4, id_col
     )
     found = packed.groupBy("bucket").applyInArrow(_meet(window), "chunk long, found binary")
     by_chunk = rows.withColumn("chunk", F.expr(f"coalesce(shiftright(doc_id, {CHUNK_BITS}), -1 - pmod(tag, 1048576))"))
-    return by_chunk.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
+    bundles = by_chunk.mapInArrow(_bundle, "chunk long, ids array<long>, tags array<long>, texts binary")
+    return bundles.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
         _apply(window), "doc_id long, n_words long, n_removed long, kept_text string"
     )
 
