@@ -73,10 +73,10 @@ def scraped_jobs(rows: DataFrame, most: int = 25, min_score: int = 30) -> DataFr
     return top.select(posting_id(F.col("url")).alias("id"), "title", "company", "location", "url", "score")
 
 
-def first_json(raw: str):
+def first_json(raw: str, openers: str = "{["):
     """The first JSON object in a text, else the first array, else None."""
     decoder = json.JSONDecoder()
-    for opener in "{[":
+    for opener in openers:
         at = raw.find(opener)
         while at >= 0:
             try:
@@ -92,6 +92,8 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = first_json(text or "")
             items = found.get("answers") if isinstance(found, dict) else found
+            if not isinstance(items, list):
+                items = first_json(text or "", "[")  # a bare list: the first object was its first answer
             for i, a in enumerate(items if isinstance(items, list) else []):
                 if isinstance(a, dict):
                     get = lambda k, a=a: a.get(k) if isinstance(a.get(k), str) else None

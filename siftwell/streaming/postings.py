@@ -76,7 +76,8 @@ def _track(days: int):
                 is_open, last = True, max(last or t, t)
             state.update((first, last, True))
             state.setTimeoutTimestamp(max(last + width, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["id", "change", "at"])
+        ids, changes, times = zip(*out) if out else ((), (), ())
+        yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "change": pd.Series(changes, dtype=object), "at": pd.Series(times, dtype="datetime64[ns]")})
 
     return step
 
@@ -87,7 +88,7 @@ def open_state(events: DataFrame, id_col: str, at: str, late: str, days: int) ->
     A batch run closes what a trusted fetch lacks, which a stream cannot see; the timeout stands in for it. Feed it no
     events of other sources while one is degraded: without events the watermark stands still and no timer fires.
     """
-    rows = events.select(F.col(id_col).alias("id"), F.col(at).alias("at")).withWatermark("at", late)
+    rows = events.select(F.col(id_col).cast("string").alias("id"), F.col(at).alias("at")).withWatermark("at", late)
     return rows.groupBy("id").applyInPandasWithState(
-        _track(days), "id long, change string, at timestamp", "first long, last long, open boolean", "append", GroupStateTimeout.EventTimeTimeout
+        _track(days), "id string, change string, at timestamp", "first long, last long, open boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
