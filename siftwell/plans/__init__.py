@@ -1,5 +1,6 @@
 """Registered queries."""
 
+from . import more  # noqa: F401  registers its queries
 from .queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
