@@ -8,14 +8,16 @@ where the Jaccard similarity is at least the threshold; a link is only made on f
 2. Every text gets ``SAMPLES`` MinHash samples. Bands of them propose candidates; the number of bands is
    chosen so that a pair at the threshold shares none with a chance of at most ``MISS``. The samples are also folded
    into an odd sketch: sample i of value v flips bit hash(i, v). The XOR of two sketches has a
-   population count that tells how many samples differ, so that a candidate that is certainly too far is
-   dropped by a few machine words.
-3. In every bucket the smallest document is compared with all others (no pairs of others). Of a document's candidates the
-   one with the nearest sketch is confirmed first; the rest only where it would join two components.
-4. While a bucket still holds several components, up to ``PIVOTS`` of its documents are compared with those of other
-   components and then leave the bucket, so each bucket is done after finitely many rounds, without a cap.
+   population count that tells how many samples differ: candidates whose count rules the threshold out are no candidates.
+3. The remaining candidates tie documents into clusters, for which a spanning forest is enough: first each document
+   of a bucket is held against the bucket's smallest, then, in buckets that still hold several clusters, documents
+   against those of other clusters. Large buckets do that on packed sketches inside a task; no pair becomes a row
+   unless it joins two clusters. Documents that could be linked are in one cluster.
+4. In each cluster the links are confirmed on full sets, again only as many as tie components together; a
+   document that shares too few shingles with all others of its cluster is set aside before. Buckets and
+   clusters beyond a size are cut into blocks, each pair of blocks a group of its own, so that no task grows with them.
 
-Pairs, links and components stay distributed; texts move only for the pairs that the sketches left.
+Clusters, links and components stay distributed; texts move once, and only those of clusters.
 
 Null text is the empty text. A null doc_id takes no part: component null, kept. Rows of equal doc_id are one
 node. An empty table gives an empty result.
@@ -29,15 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import PLACE, WordTable, materialise, mix
+from .common import PLACE, WordTable, materialise, mix, partitions
 from .graph import components
 
 SAMPLES, SKETCH_BITS, MISS = 128, 1024, 1e-6
-PIVOTS = 64
+#: Buckets up to this size are compared by a join, larger ones inside tasks.
+SMALL_BUCKET = 6
+#: Documents of a bucket's block, and shingles of a cluster's block: two blocks fit in a task.
+BUCKET_BLOCK, CLUSTER_BLOCK = 4096, 1_500_000
 #: Node ids that may be broadcast to pick their texts; beyond that the texts are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 
@@ -146,65 +150,169 @@ def _sign(words: int, rows: int, bands: int):
     return run
 
 
+def _unite(label: np.ndarray, near: np.ndarray, x: int) -> list[int]:
+    """Join x's label with those of the near ones; one of each label that was joined."""
+    labels, first = np.unique(label[near], return_index=True)
+    joined = [int(near[f]) for lab, f in zip(labels.tolist(), first.tolist()) if lab != label[x]]
+    if joined:
+        label[np.isin(label, labels)] = label[x]
+    return joined
+
+
+def _outside(label: np.ndarray) -> list[int]:
+    """All but the largest label's members: who is compared with everyone, so that every pair of labels is covered."""
+    labels, size = np.unique(label, return_counts=True)
+    return np.flatnonzero(label != labels[np.argmax(size)]).tolist()
+
+
+def _tie(limit: int):
+    """Edges between the parts of a bucket (or of two of its blocks) by sketches."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        node = rows.column("node").to_numpy()
+        _, label = np.unique(rows.column("part").to_numpy(), return_inverse=True)
+        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        edges = []
+        for x in _outside(label):
+            others = np.flatnonzero(label != label[x])
+            far = np.bitwise_count(sketch[others] ^ sketch[x]).sum(axis=1)
+            edges += [(int(node[x]), int(node[y])) for y in _unite(label, others[far <= limit], x)]
+        return _edges(edges)
+
+    return run
+
+
+def _edges(edges: list[tuple[int, int]]) -> pa.Table:
+    a, b = zip(*edges) if edges else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def linked(sets: list[np.ndarray], level: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links (10,000 x intersection >= level x union) among sets of hashes, exactly."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    if n == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return [(0, 1)] if both and 10_000 * both >= level * (size.sum() - both) else []
+    doc = np.repeat(np.arange(n), size)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    alive = size > 0
+    while True:
+        # two sets x, y at the threshold share at least level / (10,000 + level) x (|x| + |y|), and |y| is no less than that share of |x|
+        live = alive[doc]
+        often = np.bincount(token[live], minlength=int(token.max()) + 1) > 1
+        shared = np.bincount(doc[live], weights=often[token[live]], minlength=n)
+        smallest = size[alive].min() if alive.any() else 0
+        least = level * (size + np.maximum(np.ceil(level * size / 10_000), smallest)) / (10_000 + level)
+        keep = alive & (shared >= least - 1e-6)
+        if keep.sum() == alive.sum():
+            break
+        alive = keep
+    use = alive[doc] & often[token]
+    doc, token = doc[use], token[use]
+    order = np.argsort(token, kind="stable")
+    holders = doc[order]
+    start = np.searchsorted(token[order], np.arange(int(token.max()) + 2)) if len(token) else np.zeros(1, np.int64)
+    base = np.searchsorted(doc, np.arange(n + 1))
+    label, edges, done = np.arange(n), [], set()
+
+    def compare(x: int) -> None:
+        mine = token[base[x] : base[x + 1]]
+        count = start[mine + 1] - start[mine]
+        if not len(count):
+            return
+        at = np.repeat(start[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        both = np.bincount(holders[at], minlength=n)
+        near = np.flatnonzero((both > 0) & (10_000 * both >= level * (size[x] + size - both)))
+        edges.extend((x, y) for y in _unite(label, near[near != x], x))
+        done.add(x)
+
+    members = np.flatnonzero(alive)
+    if len(members):
+        # the set that shares most comes first: it ties most of the others together
+        compare(int(members[np.argmax((shared / np.maximum(size, 1))[members])]))
+    while len(members):
+        rest = [members[i] for i in _outside(label[members]) if int(members[i]) not in done]
+        if not rest:
+            break
+        # all of these must be compared, but joining may make many of them part of the largest
+        for x in rest[: max(8, len(rest) // 4)]:
+            compare(int(x))
+    return edges
+
+
 def _confirm(words: int, threshold: float):
-    # whole numbers: the threshold as a share of ten thousand
+    """A spanning forest of the confirmed links in each cluster of a group."""
     level = round(threshold * 10_000)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
-            sizes = [len(x.as_buffer()) + len(y.as_buffer()) for x, y in zip(left, right)]
-            linked = []
-            for i, j in _slices(sizes, most=500):
-                texts = [lowered(t.as_py()) for pair in zip(left.slice(i, j - i), right.slice(i, j - i)) for t in pair]
-                hashes, base = shingles(WordTable(texts), words, len(texts))
-                for k in range(j - i):
-                    x, y = np.unique(hashes[base[2 * k] : base[2 * k + 1]]), np.unique(hashes[base[2 * k + 1] : base[2 * k + 2]])
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(bool(both) and 10_000 * both >= level * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*((p, q) for p, q, ok in zip(a, b, linked) if ok))] or [pa.array([], pa.int64())] * 2, names=["a", "b"])
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("cluster")
+        cluster, node = rows.column("cluster").to_numpy(), rows.column("node").to_numpy()
+        raw = rows.column("text").cast(pa.binary()).combine_chunks()
+        sets: list[np.ndarray] = []
+        for i, j in _slices([len(x.as_buffer()) for x in raw]):
+            texts = [lowered(x) for x in raw.slice(i, j - i).to_pylist()]
+            hashes, base = shingles(WordTable(texts), words, len(texts))
+            sets += [np.unique(hashes[a:b]) for a, b in zip(base[:-1], base[1:])]
+        cuts = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1], True]).tolist()
+        edges = []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            edges += [(int(node[i + a]), int(node[i + b])) for a, b in linked(sets[i:j], level)]
+        return _edges(edges)
 
     return run
 
 
-class _Links:
-    """Candidate pairs to confirmed links."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, words: int, threshold: float):
-        self.docs, self.nodes, self.words, self.threshold = docs, nodes, words, threshold
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """a, b and far (bits that differ) of the distinct pairs whose sketches allow the threshold."""
-        own = self.nodes.select("node", "sketch")
-        far = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return (
-            pairs.distinct()
-            .join(own.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
-            .join(own.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-            .select("a", "b", far.alias("far"))
-            .where(F.col("far") <= sketch_limit(self.threshold))
-            .groupBy("a", "b")
-            .agg(F.min("far").alias("far"))
-        )
-
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (already materialised) whose full sets reach the threshold."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if wanted.count() <= BROADCAST_NODES:
-            wanted = F.broadcast(wanted)
-        texts = self.docs.join(wanted, self.docs["doc_id"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
-        both = (
-            pairs.select("a", "b")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-            .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-            .select("a", "b", "ta", "tb")
-        )
-        return both.mapInArrow(_confirm(self.words, self.threshold), "a long, b long").distinct()
-
-
-def _empty(df: DataFrame) -> bool:
-    return not df.take(1)
+def _tiles(block: Column, blocks: Column) -> Column:
+    """The pairs of blocks that a block's rows go to: with one block itself, else every pair that it is in."""
+    with_each = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(block, k).alias("i"), F.greatest(block, k).alias("j")))
+    return F.when(blocks == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.filter(with_each, lambda t: t["i"] < t["j"]))
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+    """The distinct pairs whose sketches allow the threshold."""
+    own = nodes.select("node", "sketch")
+    far = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    a, b = (own.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    return pairs.distinct().join(a, "a").join(b, "b").where(far <= limit).select("a", "b").distinct()
+
+
+def _clusters(nodes: DataFrame, threshold: float) -> DataFrame:
+    """node and component of the graph of candidates."""
+    limit = sketch_limit(threshold)
+    placed = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("bucket", "pivot")
+    members = materialise(placed.join(shared, "bucket").distinct(), "members")
+    stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    near = materialise(_near(stars, nodes, limit), "near")
+    parts = components(near)
+    known = members.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+    spread = known.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
+    live = materialise(known.join(spread, "bucket"), "live")
+    small = live.where(F.col("n") <= SMALL_BUCKET)
+    other = small.select("bucket", F.col("node").alias("b"), F.col("part").alias("other"))
+    few = _near(small.join(other, "bucket").where("node < b and part <> other").select(F.col("node").alias("a"), "b"), nodes, limit)
+    blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
+    dealt = live.where(F.col("n") > SMALL_BUCKET).withColumn("tile", F.explode(_tiles(F.pmod(F.xxhash64("node"), blocks).cast("int"), blocks)))
+    many = dealt.join(nodes.select("node", "sketch"), "node").groupBy("bucket", "tile").applyInArrow(_tie(limit), "a long, b long")
+    return components(materialise(near.unionByName(few).unionByName(many).distinct(), "candidates"))
+
+
+def _links(texts: DataFrame, nodes: DataFrame, clusters: DataFrame, words: int, threshold: float) -> DataFrame:
+    """A spanning forest (a, b) of the confirmed links. texts: doc_id and text."""
+    groups = partitions(texts.sparkSession) * 8
+    sized = clusters.join(nodes.select("node", "n_shingles"), "node").groupBy("component").agg(F.sum("n_shingles").alias("n"))
+    blocks = F.ceil(F.col("n") / CLUSTER_BLOCK).cast("int")
+    # clusters of one block share groups; a larger one has groups of its own
+    group = F.when(blocks == 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(-1 - F.col("component"))
+    dealt = clusters.join(sized, "component").select(
+        "node", F.col("component").alias("cluster"), group.alias("pack"), F.explode(_tiles(F.pmod(F.xxhash64("node"), blocks).cast("int"), blocks)).alias("tile")
+    )
+    dealt = materialise(dealt, "dealt")
+    if dealt.count() <= BROADCAST_NODES:
+        dealt = F.broadcast(dealt)
+    rows = texts.join(dealt, texts["doc_id"] == dealt["node"]).select("pack", "tile", "cluster", "node", "text")
+    return rows.groupBy("pack", "tile").applyInArrow(_confirm(words, threshold), "a long, b long")
 
 
 def classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,59 +324,16 @@ def classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str
     )
     filled = signed.where("doc_id is not null and n_shingles > 0")
     same = filled.groupBy("same").agg(F.min("doc_id").alias("node"))
-    nodes = filled.join(same, (filled["same"] == same["same"]) & (filled["doc_id"] == same["node"]), "left_semi").select(F.col("doc_id").alias("node"), "bands", "sketch")
-    placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("bucket", "pivot")
-    members = materialise(placed.join(shared, "bucket").distinct(), "members")
-    test = _Links(texts.where("doc_id is not null"), nodes, words, threshold)
-
-    stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    near = materialise(test.near(stars), "near")
-    nearest = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    nearest = materialise(nearest, "nearest")
-    links = materialise(test.confirm(nearest), "links")
-    parts = components(links)
-    rest = materialise(_across(near.join(nearest, ["a", "b"], "left_anti"), parts), "rest")
-    if not _empty(rest):
-        links = materialise(links.unionByName(test.confirm(rest)), "links")
-        parts = components(links)
-
-    tested = near.select("a", "b")
-    members = members.where("node <> pivot").select("bucket", "node")
-    while True:
-        known = members.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
-        spread = known.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket", "low")
-        live = materialise(known.join(spread, "bucket"), "live")
-        if _empty(live):
-            break
-        # documents outside of the bucket's first component go first: the others are joined already
-        order = Window.partitionBy("bucket").orderBy(F.col("part") == F.col("low"), F.xxhash64("node"), "node")
-        pivots = live.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PIVOTS).select("bucket", F.col("node").alias("p"), F.col("part").alias("pp"))
-        pivots = materialise(pivots, "pivots")
-        pairs = live.join(pivots, "bucket").where("part <> pp").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-        fresh = materialise(test.near(pairs.distinct().join(tested, ["a", "b"], "left_anti")), "near")
-        if not _empty(fresh):
-            found = test.confirm(fresh)
-            links = materialise(links.unionByName(found), "links")
-            parts = components(links)
-            tested = tested.unionByName(fresh.select("a", "b"))
-        members = materialise(live.join(pivots, (live["bucket"] == pivots["bucket"]) & (live["node"] == pivots["p"]), "left_anti").select("bucket", "node"), "members")
-
+    nodes = filled.join(same, (filled["same"] == same["same"]) & (filled["doc_id"] == same["node"]), "left_semi").select(
+        F.col("doc_id").alias("node"), "bands", "sketch", "n_shingles"
+    )
+    clusters = _clusters(nodes, threshold)
+    parts = components(materialise(_links(texts.where("doc_id is not null"), nodes, clusters, words, threshold), "links"))
     keyed = signed.select("doc_id", "same", "n_shingles").join(same.withColumnRenamed("node", "first"), "same", "left")
-    return keyed.join(parts.withColumnRenamed("node", "first"), "first", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.least(F.coalesce("component", "first"), "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).withColumn(
-        "component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    )
-
-
-def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    a = parts.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    b = parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    found = keyed.join(parts.withColumnRenamed("node", "first"), "first", "left")
+    component = F.when(F.col("n_shingles") > 0, F.least(F.coalesce("component", "first"), "doc_id")).otherwise(F.col("doc_id"))
+    out = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
 def keep_first(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
