@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 Merging one pre-token: symbols form a doubly linked list; each merge rank has a bucket of the list
-positions where its pair starts. A bitmap of three levels marks the ranks with a filled bucket, and
+positions where its pair starts. A bitmap of two levels marks the ranks with a filled bucket, and
 find-first-set from the top picks the next rank in a few steps. An entry whose pair has changed since
 is stale and skipped. Each merge makes at most two new entries, so a pre-token of n bytes takes
 O(n log n) whatever its length. Buckets are heaps of positions: the leftmost pair of the lowest rank
 merges first, as in the reference merge rule.
 
-Short pre-tokens repeat; each task keeps the ids of those seen, and forgets all when the table is full.
+Short pre-tokens repeat; each Python worker keeps the ids of those seen lately, in two generations of a fixed size.
 Null text encodes as the empty text. Special tokens are ordinary text.
 """
 
@@ -23,63 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens kept by a task, and the longest that are kept (characters).
-KEPT, KEPT_CHARS = 400_000, 48
-_BITS = 64
+from .common import release
 
-
-class RankQueue:
-    """Positions by rank; :meth:`pop` gives the leftmost position of the lowest rank.
-
-    Level 0 has a bit per rank, each level above a bit per non-zero word below.
-    """
-
-    def __init__(self, ranks: int):
-        self.levels: list[list[int]] = []
-        n = max(1, ranks)
-        while True:
-            n = -(-n // _BITS)
-            self.levels.append([0] * n)
-            if n == 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word, bit = divmod(rank, _BITS)
-            had = level[word]
-            level[word] = had | 1 << bit
-            if had:
-                return
-            rank = word
-
-    def pop(self) -> tuple[int, int] | None:
-        word = 0
-        if not self.levels[-1][0]:
-            return None
-        for level in reversed(self.levels):
-            bits = level[word]
-            word = word * _BITS + (bits & -bits).bit_length() - 1
-        rank = word
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self._clear(rank)
-        return rank, position
-
-    def _clear(self, rank: int) -> None:
-        for level in self.levels:
-            word, bit = divmod(rank, _BITS)
-            level[word] &= ~(1 << bit)
-            if level[word]:
-                return
-            rank = word
+#: Pre-tokens of each of the two generations that a Python worker keeps, and the longest that are kept (characters).
+KEPT, KEPT_CHARS = 250_000, 32
 
 
 class Vocabulary:
@@ -88,71 +35,136 @@ class Vocabulary:
     def __init__(self, data: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
         self.pieces = {v: k for k, v in self.ranks.items()}
-        self.top = max(self.ranks.values(), default=0) + 1
-        self.queue = RankQueue(self.top)  # empty after each use, so that one will do
+        top = max(self.ranks.values(), default=0) + 1
+        # Two levels: words of 2^shift bits (Python's whole numbers can be that wide), and one word over those that aren't zero.
+        self.shift = (top.bit_length() + 1) // 2
+        self.bits = tuple(1 << i for i in range(1 << self.shift))
+        # The rank queue is empty between pre-tokens, so that one will do for all.
+        self.words = [0] * ((top >> self.shift) + 1)
+        self.buckets: list[int | list[int] | None] = [None] * top  # a position, or a heap of several
 
     def merge(self, token: bytes) -> list[int]:
-        """The ids of one pre-token."""
+        """The ids of one pre-token: again and again the lowest rank's leftmost pair is merged."""
         ranks = self.ranks
         whole = ranks.get(token)
         if whole is not None:
             return [whole]
         n = len(token)
-        symbols: list[bytes | None] = [token[i : i + 1] for i in range(n)]
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue, current = self.queue, [-1] * n  # current: the rank of the pair that starts here
-        for i in range(n - 1):
-            rank = ranks.get(token[i : i + 2])
-            if rank is not None:
-                current[i] = rank
-                queue.push(rank, i)
-        while (found := queue.pop()) is not None:
-            rank, i = found
+        get, words, buckets, bits, shift = ranks.get, self.words, self.buckets, self.bits, self.shift
+        mask, top = (1 << shift) - 1, 0
+        # a symbol is the bytes from its place to that of the next one in the list
+        before, after = list(range(-1, n)), list(range(1, n + 2))
+        current: list[int | None] = [get(token[i : i + 2]) for i in range(n - 1)]  # the rank of the pair that starts here
+        current.append(None)
+        fresh = [i for i in range(n - 1) if current[i] is not None]
+        while True:
+            for i in fresh:
+                rank = current[i]
+                held = buckets[rank]
+                if held is None:
+                    buckets[rank] = i
+                    word = rank >> shift
+                    had = words[word]
+                    words[word] = had | bits[rank & mask]
+                    if not had:
+                        top |= bits[word]
+                elif type(held) is int:
+                    buckets[rank] = [held, i] if held < i else [i, held]
+                else:
+                    heappush(held, i)
+            if not top:
+                break
+            # find-first-set on both levels gives the lowest rank
+            word = (top & -top).bit_length() - 1
+            had = words[word]
+            lowest = had & -had
+            rank = (word << shift) + lowest.bit_length() - 1
+            i = buckets[rank]
+            if type(i) is int or len(i) == 1:
+                if type(i) is not int:
+                    i = i[0]
+                buckets[rank] = None
+                words[word] = had = had ^ lowest
+                if not had:
+                    top ^= bits[word]
+            else:
+                i = heappop(i)
+            fresh = []
             if current[i] != rank:
-                continue
+                continue  # stale
             j = after[i]
-            symbols[i] += symbols[j]
-            symbols[j] = None
-            current[j] = -1
-            k = after[i] = after[j]
-            for left, right in ((before[i], i), (i, k)):
-                if right < n and left >= 0:
-                    new = ranks.get(symbols[left] + symbols[right])
-                    if new is None:
-                        current[left] = -1
-                    elif new != current[left] or left == i:
-                        current[left] = new
-                        queue.push(new, left)
-                elif left == i:
-                    current[i] = -1
-            if k < n:
-                before[k] = i
-        return [ranks[s] for s in symbols if s is not None]
+            k = after[j]
+            current[j] = None
+            after[i] = k
+            before[k] = i
+            if i:
+                h = before[i]
+                new = current[h] = get(token[h:k])
+                if new is not None:
+                    fresh.append(h)
+            new = current[i] = get(token[i : after[k]]) if k < n else None
+            if new is not None:
+                fresh.append(i)
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[token[i : after[i]]])
+            i = after[i]
+        return out
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
+class _Seen:
+    """The vocabulary and the ids of pre-tokens seen lately. When the younger generation is full it becomes the elder
+    one, whose place it takes; what is asked for again is carried over."""
+
+    def __init__(self, data: bytes):
+        self.vocab = Vocabulary(data)
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.elder: dict[str, tuple[int, ...]] = {}
+
+    def find(self, part: str) -> tuple[int, ...]:
+        """The ids of a pre-token that the younger generation lacks."""
+        got = self.elder.get(part)
+        if got is None:
+            got = tuple(self.vocab.merge(part.encode()))
+        if len(part) <= KEPT_CHARS:
+            if len(self.young) >= KEPT:
+                self.elder, self.young = self.young, {}
+            self.young[part] = got
+        return got
+
+
+_workers: dict[bytes, _Seen] = {}
+
+
+def _worker(data: bytes) -> _Seen:
+    """What a Python worker keeps for its next tasks."""
+    key = hashlib.sha256(data).digest()
+    if key not in _workers:
+        _workers.clear()
+        _workers[key] = _Seen(data)
+    return _workers[key]
+
+
 def _encoder(vocabulary, pattern: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Vocabulary(vocabulary.value)
+        seen = _worker(vocabulary.value)
+        vocab, find = seen.vocab, seen.find
         split = regex.compile(pattern).findall
-        seen: dict[str, tuple[int, ...]] = {}
         shown: dict[int, str] = {i: str(i) for i in vocab.pieces}
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             out: list = []
             for text in texts:
-                parts = split(text.as_py() or "")
                 tokens: list[int] = []
-                for part in parts:
-                    got = seen.get(part)
+                young = seen.young
+                for part in split(text.as_py() or ""):
+                    got = young.get(part)
                     if got is None:
-                        got = tuple(vocab.merge(part.encode()))
-                        if len(part) <= KEPT_CHARS:
-                            if len(seen) >= KEPT:
-                                seen.clear()
-                            seen[part] = got
+                        got = find(part)
+                        young = seen.young
                     tokens += got
                 back = vocab.decode(tokens)
                 if digests:
@@ -165,6 +177,7 @@ def _encoder(vocabulary, pattern: str, digests: bool):
                     ids, out = ids.slice(len(out)), []
             if out:
                 yield _rows(ids, out, digests)
+        release()
 
     return run
 

@@ -6,10 +6,13 @@ whole UTF-8 texts can be cut as bytes (``bytes.split()`` has exactly this set).
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text hashed at once: keeps temporary arrays small whatever the batch holds.
@@ -27,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where the session names none (tests on one machine), a temporary folder is set.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = getattr(spark, "_siftwell_shared", None)
         if not folder:
@@ -52,6 +55,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: Python workers stay alive beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values in place."""
     x ^= x >> np.uint64(33)

@@ -24,13 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Hashed features, a power of two, shared by byte n-grams of orders 2 to 4.
 FEATURES = 1 << 13
 ORDERS = (2, 3, 4)
 #: Largest number of languages with the exhaustive code.
 EXHAUSTIVE = 6
 _LETTER = re.compile(r"[^\W\d_]")
-_SLICE = 1 << 20
+#: Bytes and texts that are counted at once.
+_SLICE, _TEXTS = 1 << 18, 64
 
 
 def codewords(classes: int) -> np.ndarray:
@@ -85,7 +88,7 @@ def _slices(texts: list):
     i = 0
     while i < len(texts):
         j, room = i, 0
-        while j < len(texts) and room < _SLICE and j - i < 256:
+        while j < len(texts) and room < _SLICE and j - i < _TEXTS:
             room += len(texts[j] or "")
             j += 1
         yield i, j
@@ -103,6 +106,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held += counts[k]
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], names=["lang", "counts"])
+    release()
 
 
 @dataclass(frozen=True)
@@ -188,6 +192,7 @@ def _predictor(model, ambiguous_gap: float):
                 [*keys, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())],
                 names=[*batch.schema.names[:-1], "lang_pred", "score", "ambiguous"],
             )
+        release()
 
     return run
 
