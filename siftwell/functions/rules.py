@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as K
-from .text import any_of, around, cap, classify, evidence, has, let, matches, or_empty, strip
+from .text import any_of, around, cap, classify, evidence, first_start, has, let, matches, or_empty, strip
 
 
 def posting_id(url: Column) -> Column:
@@ -26,16 +26,22 @@ def title_band(title: Column, rules=K.TITLE_BANDS) -> Column:
     return classify(title, rules, "unknown")
 
 
-#: Upper-case strings of which every match of a pattern holds one: plain searches that spare most texts the pattern.
+#: Upper-case strings of which every match of a pattern holds one (or all of a group): plain searches that spare most texts the pattern.
 NEEDED = {
     "years": ("YEAR",),
-    "clearance": ("CLEARANCE", "SCI", "SECRET", "POLYGRAPH", "TRUST"),
+    "clearance": ("CLEARANCE", ("/", "SCI"), "SECRET", "POLYGRAPH", "TRUST"),
     "citizenship": ("CITIZEN", "ITAR", "EXPORT", "PERSON"),
     "no_sponsorship": ("SPONSOR", "VISA"),
     "sponsorship": ("SPONSOR", "H1B", "H-1B"),
 }
 
 
+def may_hold(upper: Column, gate: str) -> Column:
+    """Whether an upper-cased text holds what a match of the gate's pattern needs."""
+    groups = (g if isinstance(g, tuple) else (g,) for g in NEEDED[gate])
+    return reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (upper.contains(x) for x in g)) for g in groups))
+
+
 def min_years(description: Column) -> Column:
     """The smallest plausible number of years a description asks for, null without one."""
 
@@ -44,7 +50,7 @@ def min_years(description: Column) -> Column:
         return F.array_min(F.filter(F.transform(found, lambda x: x.try_cast("int")), lambda x: x.between(0, K.MAX_YEARS)))
 
     text = F.regexp_replace(description, K.FLAGS + K.EDUCATION_NOISE, " ")
-    return F.when(any_of(F.upper(description), NEEDED["years"]), let(text, least))
+    return F.when(may_hold(F.upper(description), "years"), let(text, least))
 
 
 def band_of_years(years: Column) -> Column:
@@ -80,11 +86,19 @@ def level_confirmed(verdict: Column) -> Column:
 
 
 def citizenship_evidence(description: Column, window: int = K.VETO_WINDOW) -> Column:
-    """The first citizenship requirement without a phrase nearby that takes it back; empty without one."""
-    binding = F.filter(
-        matches(description, K.CITIZENSHIP), lambda m: ~has(around(description, m["start"], F.length(m["text"]), window), K.CITIZENSHIP_VETO)
-    )
-    return F.when(has(description, K.CITIZENSHIP), or_empty(strip(F.get(binding, 0)["text"]))).otherwise("")
+    """The first citizenship requirement without a phrase nearby that takes it back; empty without one.
+
+    Mostly the first match decides; only where it is taken back are all matches listed.
+    """
+    vetoed = lambda start, text: has(around(description, start, F.length(text), window), K.CITIZENSHIP_VETO)
+    binding = F.filter(matches(description, K.CITIZENSHIP), lambda m: ~vetoed(m["start"], m["text"]))
+    later = or_empty(strip(F.get(binding, 0)["text"]))
+
+    def decide(first: Column) -> Column:
+        back = let(first_start(description, K.CITIZENSHIP), lambda start: vetoed(start, first))
+        return F.when(first == "", "").when(back, later).otherwise(strip(first))
+
+    return or_empty(let(F.regexp_extract(description, K.FLAGS + K.CITIZENSHIP, 0), decide))
 
 
 def eligibility(description: Column, available: Column) -> Column:
@@ -97,7 +111,7 @@ def eligibility(description: Column, available: Column) -> Column:
     text = F.when(checked, description)
 
     def quotes(upper: Column) -> Column:
-        look = lambda gate, c: F.when(any_of(upper, NEEDED[gate]), c).otherwise("").alias(gate)
+        look = lambda gate, c: F.when(may_hold(upper, gate), c).otherwise("").alias(gate)
         return F.struct(
             look("clearance", evidence(text, K.CLEARANCE)), look("citizenship", citizenship_evidence(text)),
             look("no_sponsorship", evidence(text, K.NO_SPONSORSHIP)), look("sponsorship", evidence(text, K.YES_SPONSORSHIP)),

@@ -71,10 +71,13 @@ def classify(text: Column, rules, otherwise: str) -> Column:
 def matches(text: Column, pattern: str, flags: str = FLAGS) -> Column:
     """All matches in order as ``array<struct<start:int,text:string>>``; start counts from 1.
 
-    Built from the pieces between matches and the matches themselves, folded with a running position.
+    Built from the pieces between matches and the matches themselves, folded with a running position. The pieces come from
+    replacing matches by a mark (of the same length elsewhere in the text: another one) and splitting at it; splitting by
+    the pattern itself would compile it anew for every row.
     """
     p = flags + pattern
-    pieces = F.zip_with(F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda a, b: F.struct(a.alias("gap"), b.alias("hit")))
+    marked = F.regexp_replace(F.translate(text, "\uffff", "\ufffe"), p, "\uffff")
+    pieces = F.zip_with(F.split(marked, "\uffff", -1), F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda a, b: F.struct(a.alias("gap"), b.alias("hit")))
     none = F.array().cast("array<struct<start:int,text:string>>")
 
     def step(acc, x):
@@ -86,6 +89,11 @@ def matches(text: Column, pattern: str, flags: str = FLAGS) -> Column:
     return F.aggregate(pieces, F.struct(F.lit(1).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
 
 
+def first_start(text: Column, pattern: str, flags: str = FLAGS) -> Column:
+    """Where (from 1, in code points) the first match of a pattern that occurs begins: behind the shortest text before it."""
+    return F.length(F.regexp_extract(text, flags + r"\A(?s:(.*?))(?:" + pattern + ")", 1)) + 1
+
+
 def around(text: Column, start: Column, size: Column, context: int) -> Column:
     """The substring at ``start`` (from 1) of ``size`` characters and ``context`` more on either side."""
     low = F.greatest(start - context, F.lit(1))
@@ -95,12 +103,12 @@ def around(text: Column, start: Column, size: Column, context: int) -> Column:
 def evidence(text: Column, pattern: str, context: int = EVIDENCE_CONTEXT) -> Column:
     """The first match with its surroundings, collapsed; empty without a match. A text without a match is scanned once."""
     p = FLAGS + pattern
-    before = F.element_at(F.split(text, p, 2), 1)
-    found = let(
-        F.struct(F.regexp_substr(text, F.lit(p)).alias("hit"), (F.length(before) + 1).alias("start")),
-        lambda m: collapse(around(text, m["start"], F.length(m["hit"]), context)),
-    )
-    return F.when(has(text, pattern), found).otherwise("")
+
+    def shown(hit: Column) -> Column:
+        quote = let(first_start(text, pattern), lambda start: collapse(around(text, start, F.length(hit), context)))
+        return F.when(hit != "", quote).otherwise("")
+
+    return or_empty(let(F.regexp_extract(text, p, 0), shown))
 
 
 def iso_time(c: Column) -> Column:
