@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, WordTable, materialise, mix, partitions
+from .common import PLACE, WordTable, materialise, mix, partitions, release
 from .graph import components
 
 SAMPLES, SKETCH_BITS, MISS = 128, 1024, 1e-6
@@ -146,6 +146,7 @@ def _sign(words: int, rows: int, bands: int):
                     [batch.column(0).slice(i, j - i), pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()), pa.array(sizes_, pa.int64()), _lists(keys), _lists(sketch)],
                     names=["doc_id", "same", "n_shingles", "bands", "sketch"],
                 )
+        release()
 
     return run
 
@@ -323,7 +324,8 @@ def classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str
         texts.mapInArrow(_sign(words, rows, bands), "doc_id long, same binary, n_shingles long, bands array<long>, sketch array<long>"), "signatures"
     )
     filled = signed.where("doc_id is not null and n_shingles > 0")
-    same = filled.groupBy("same").agg(F.min("doc_id").alias("node"))
+    # written first: the joins below then meet plain shuffles, which may be split where many copies share a key
+    same = materialise(filled.groupBy("same").agg(F.min("doc_id").alias("node")), "same")
     nodes = filled.join(same, (filled["same"] == same["same"]) & (filled["doc_id"] == same["node"]), "left_semi").select(
         F.col("doc_id").alias("node"), "bands", "sketch", "n_shingles"
     )
