@@ -21,15 +21,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
-from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PERIOD = 1024
-#: Parts by hash that a class is ordered in, so that a large class isn't ordered by one task.
-SALTS = 64
+#: A class is ordered in 2 to this power parts by hash, so that no task orders a large class.
+SALT_BITS = 10
 REST = "(rest)"
 
 
@@ -101,7 +100,7 @@ def mix(
 ) -> DataFrame:
     """A row per input row: doc_id, source, class, weight (of its class when all are there), block, release, deadline and
     slot (of the whole schedule), position (of the document; 0 to n-1 but for gaps that part-filled last blocks leave)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(id_col, text_col).alias("order"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(id_col).alias("order"), F.xxhash64(text_col).alias("tie"))
     return place(rows, weights, rest_weight, block_docs, period, temperature, max_classes).select(
         "doc_id", "source", "class", "weight", "block", "release", "deadline", "slot", "position"
     )
@@ -115,13 +114,13 @@ def in_mix_order(
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
     at = dict(zip(names, inner))
-    rows = docs.toDF(*inner).withColumn("source", F.col(at[source_col]).cast("string")).withColumn("order", F.xxhash64(at[id_col], at[text_col]))
+    rows = docs.toDF(*inner).withColumn("source", F.col(at[source_col]).cast("string")).withColumn("order", F.xxhash64(at[id_col])).withColumn("tie", F.xxhash64(at[text_col]))
     placed = place(rows, weights, rest_weight, block_docs, period, temperature, max_classes)
     return placed.repartitionByRange("position").sortWithinPartitions("position").select(*(F.col(a).alias(b) for a, b in zip(inner, names)))
 
 
 def place(rows: DataFrame, weights, rest_weight, block_docs, period, temperature, max_classes) -> DataFrame:
-    """The columns of the schedule beside all of ``rows``, which hold ``source`` and ``order``."""
+    """The columns of the schedule beside all of ``rows``, which hold ``source``, ``order`` and ``tie``."""
     spark = rows.sparkSession
     if weights is None:
         by = rows.where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
@@ -131,15 +130,13 @@ def place(rows: DataFrame, weights, rest_weight, block_docs, period, temperature
         weights, rest = {c: w for c, w in weights.items() if w > 0}, rest_weight
     known = F.col("source").isin(list(weights)) if weights else F.lit(False)
     classed = rows.withColumn("class", F.when(known, F.col("source")).otherwise(F.lit(REST)))
-    salted = classed.withColumn("salt", F.shiftrightunsigned("order", 58).cast("int"))
-    sizes = {(r["class"], r["salt"]): r["n"] for r in salted.groupBy("class", "salt").agg(F.count("*").alias("n")).collect()}
-    total = {c: sum(n for (d, _), n in sizes.items() if d == c) for c in {c for c, _ in sizes}}
+    salted = classed.withColumn("salt", F.shiftrightunsigned("order", 64 - SALT_BITS).cast("int"))
+    sizes = salted.groupBy("class", "salt").agg(F.count("*").alias("n"))
+    total = {r["class"]: r["n"] for r in sizes.groupBy("class").agg(F.sum("n").alias("n")).collect()}
     if REST in total and REST not in weights:
         weights = weights | {REST: rest if rest is not None else total[REST] ** temperature}
-    offsets = []
-    for c in total:
-        salts = sorted(s for d, s in sizes if d == c)
-        offsets += [(c, s, before) for s, before in zip(salts, accumulate([0] + [sizes[c, s] for s in salts[:-1]]))]
+    earlier = Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.select("class", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     phases = plan({c: -(-n // block_docs) for c, n in total.items()}, weights, period)
     first = phases[0] if phases else None
     parts, table = [], []
@@ -148,13 +145,12 @@ def place(rows: DataFrame, weights, rest_weight, block_docs, period, temperature
         for c, k in p.k.items():
             parts.append((c, i, p.first[c], p.first[c] + p.count[c], p.slot, k, size))
             table += [(c, i, j, t) for j, t in enumerate(p.places[c])]
-    # each of these tables has at most classes x SALTS, classes x phases or phases x period rows
-    offset = spark.createDataFrame(offsets, "class string, salt int, before long")
+    # the tables below have at most classes x 2^SALT_BITS, classes x phases, phases x period and classes rows
     part = spark.createDataFrame(parts, "pclass string, phase int, lo long, hi long, at long, k long, size long")
     turn = spark.createDataFrame(table, "tclass string, tphase int, tj long, t long")
     share = spark.createDataFrame([(c, first.k[c] / sum(first.k.values())) for c in first.k] if first else [], "wclass string, weight double")
     ranked = (
-        salted.withColumn("nth", F.row_number().over(Window.partitionBy("class", "salt").orderBy("order")))
+        salted.withColumn("nth", F.row_number().over(Window.partitionBy("class", "salt").orderBy("order", "tie")))
         .join(F.broadcast(offset), ["class", "salt"])
         .withColumn("rank", F.col("before") + F.col("nth") - 1)
         .withColumn("block", F.expr(f"rank div {block_docs}"))
