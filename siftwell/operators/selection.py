@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..functions.tokens import normalise_requirements, tokens_in
 from .audit import dropped_text, introduced_tokens, number_problems
 
@@ -28,23 +29,23 @@ def bank_array(variants: DataFrame, budgets: DataFrame | None = None) -> DataFra
 
 
 def _choose(bullet: Column, wanted: Column, covered: Column) -> Column:
-    fits = F.filter(bullet["variants"], lambda v: bullet["budget"].isNull() | (v["delta"] <= bullet["budget"]))
-    shortest = F.slice(F.array_sort(F.transform(bullet["variants"], lambda v: F.struct(v["delta"].alias("d"), v["position"].alias("p"), v.alias("v")))), 1, 1)
-    pool = F.when(F.size(fits) > 0, fits).otherwise(F.transform(shortest, lambda x: x["v"]))
-    # most new coverage first, then the authored order
-    ranked = F.transform(
-        pool,
-        lambda v: F.struct(
-            (-F.size(F.array_except(F.array_intersect(v["states"], wanted), covered))).alias("gain"), v["position"].alias("position"), v.alias("v")
-        ),
-    )
-    best = F.array_min(ranked)["v"]
-    states = F.array_sort(F.array_intersect(best["states"], wanted))
-    return F.struct(
-        bullet["bullet_id"].alias("bullet_id"), best["variant_id"].alias("variant_id"), best["text"].alias("text"), states.alias("covered"),
-        F.array_sort(F.array_except(states, covered)).alias("newly_covered"), best["delta"].alias("delta_chars"), bullet["budget"].alias("budget"),
-        (F.size(fits) > 0).alias("within_budget"), (best["position"] == 0).alias("is_baseline"),
-    )
+    def best_of(fits: Column) -> Column:
+        shortest = F.slice(F.array_sort(F.transform(bullet["variants"], lambda v: F.struct(v["delta"].alias("d"), v["position"].alias("p"), v.alias("v")))), 1, 1)
+        pool = F.when(F.size(fits) > 0, fits).otherwise(F.transform(shortest, lambda x: x["v"]))
+        # most new coverage first, then the authored order
+        gain = lambda v: -F.size(F.array_except(F.array_intersect(v["states"], wanted), covered))
+        return F.array_min(F.transform(pool, lambda v: F.struct(gain(v).alias("gain"), v["position"].alias("position"), v.alias("v"))))["v"]
+
+    def choice(fits: Column, best: Column, states: Column) -> Column:
+        return F.struct(
+            bullet["bullet_id"].alias("bullet_id"), best["variant_id"].alias("variant_id"), best["text"].alias("text"), states.alias("covered"),
+            F.array_sort(F.array_except(states, covered)).alias("newly_covered"), best["delta"].alias("delta_chars"), bullet["budget"].alias("budget"),
+            (F.size(fits) > 0).alias("within_budget"), (best["position"] == 0).alias("is_baseline"),
+        )
+
+    fitting = F.filter(bullet["variants"], lambda v: bullet["budget"].isNull() | (v["delta"] <= bullet["budget"]))
+    stated = lambda best: F.array_sort(F.array_intersect(best["states"], wanted))
+    return let(fitting, lambda fits: let(best_of(fits), lambda best: let(stated(best), lambda states: choice(fits, best, states))))
 
 
 _CHOICE = (
@@ -80,8 +81,8 @@ def select(postings: DataFrame, bank: DataFrame, requirements: str = "requiremen
     start = F.struct(F.array().cast("array<string>").alias("covered"), F.array().cast(f"array<{_CHOICE}>").alias("choices"))
 
     def step(acc, bullet):
-        choice = _choose(bullet, F.col("_wanted"), acc["covered"]).cast(_CHOICE)
-        return F.struct(F.array_union(acc["covered"], choice["covered"]).alias("covered"), F.concat(acc["choices"], F.array(choice)).alias("choices"))
+        add = lambda c: F.struct(F.array_union(acc["covered"], c["covered"]).alias("covered"), F.concat(acc["choices"], F.array(c)).alias("choices"))
+        return let(_choose(bullet, F.col("_wanted"), acc["covered"]).cast(_CHOICE), add)
 
     folded = rows.withColumn("_s", F.aggregate("_bank", start, step))
     over = F.transform(F.filter("_s.choices", lambda c: ~c["within_budget"]), lambda c: c["bullet_id"])
