@@ -5,7 +5,7 @@ positions where its pair starts. A bitmap of two levels marks the ranks with a f
 find-first-set from the top picks the next rank in a few steps. An entry whose pair has changed since
 is stale and skipped. Each merge makes at most two new entries, so a pre-token of n bytes takes
 O(n log n) whatever its length. Buckets are heaps of positions: the leftmost pair of the lowest rank
-merges first, as in the reference merge rule.
+merges first, which is the usual merge rule.
 
 Short pre-tokens repeat; each Python worker keeps the ids of those seen lately, in two generations of a fixed size.
 Null text encodes as the empty text. Special tokens are ordinary text.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -26,7 +27,23 @@ from pyspark.sql import functions as F
 from .common import release
 
 #: Pre-tokens of each of the two generations that a Python worker keeps, and the longest that are kept (characters).
-KEPT, KEPT_CHARS = 250_000, 32
+KEPT, KEPT_CHARS = 150_000, 32
+
+
+#: The usual pattern of byte-level vocabularies, and for texts of ASCII and Latin letters (that :data:`_OTHER` finds nothing in) the same split
+#: by plain character ranges, which is twice as fast.
+USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_OTHER = re.compile(rf"[^\t-\r -~¡-¨«-±´¶-¸»¿×÷‐-‧{_LETTERS}]")
+
+
+def splitter(pattern: str):
+    """A function from a text to its pre-tokens."""
+    general = regex.compile(pattern).findall
+    if pattern != USUAL:
+        return general
+    return lambda text: general(text) if _OTHER.search(text) else _LATIN.findall(text)
 
 
 class Vocabulary:
@@ -152,7 +169,7 @@ def _encoder(vocabulary, pattern: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _worker(vocabulary.value)
         vocab, find = seen.vocab, seen.find
-        split = regex.compile(pattern).findall
+        split = splitter(pattern)
         shown: dict[int, str] = {i: str(i) for i in vocab.pieces}
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)

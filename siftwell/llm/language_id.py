@@ -21,6 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,24 +85,26 @@ _CLASS[91:97] = 32
 _CLASS[123:128] = 32
 
 
-def _slices(texts: list):
+def _slices(texts: pa.Array):
+    """First row and the texts of each slice: a batch is never held as Python strings all at once."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     i = 0
-    while i < len(texts):
+    while i < len(sizes):
         j, room = i, 0
-        while j < len(texts) and room < _SLICE and j - i < _TEXTS:
-            room += len(texts[j] or "")
+        while j < len(sizes) and room < _SLICE and j - i < _TEXTS:
+            room += sizes[j]
             j += 1
-        yield i, j
+        yield i, texts.slice(i, j - i).to_pylist()
         i = j
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i, j in _slices(texts):
-            counts, _ = _features(texts[i:j])
-            for k, lang in enumerate(langs[i:j]):
+        langs = batch.column(0).to_pylist()
+        for i, part in _slices(batch.column(1)):
+            counts, _ = _features(part)
+            for k, lang in enumerate(langs[i : i + len(part)]):
                 held = total.setdefault(lang, np.zeros(FEATURES, np.int64))
                 held += counts[k]
     if total:
@@ -173,10 +176,8 @@ def _predictor(model, ambiguous_gap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             lang, score, unsure = [], [], []
-            for i, j in _slices(texts):
-                part = texts[i:j]
+            for _, part in _slices(batch.column(batch.num_columns - 1)):
                 letters = [bool(t and _LETTER.search(t)) for t in part]
                 if not m.langs or not any(letters):
                     lang += ["und"] * len(part)
