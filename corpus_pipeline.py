@@ -1,6 +1,7 @@
 """The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame, the next one's docs.
 
-Language ID, line dedup, near-dedup and mixing return the columns of documents; tokenising ends the pipeline.
+Language ID, line dedup, near-dedup and mixing return the columns of documents; tokenising ends the pipeline and
+returns each document's place in the mix beside its tokens.
 """
 
 from __future__ import annotations
@@ -36,9 +37,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and token_ids of every whole text."""
-    encoded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return encoded.select("doc_id", "n_tokens", "token_ids")
+    """doc_id, slot and position in the sources' schedule, n_tokens and token_ids of every whole text.
+
+    The schedule depends on the documents only, so these are the places of the mix stage, whose row order files do not keep.
+    """
+    placed = pfair_mix.with_places(docs.select("doc_id", "source", "text"))
+    # written first, so that no sort is held while workers encode
+    placed = materialise(placed.withColumnsRenamed({"_siftwell_slot": "slot", "_siftwell_position": "position"}), "pipeline-places")
+    encoded = byte_bpe.encode(placed, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("slot", "position"))
+    return encoded.select("doc_id", "slot", "position", "n_tokens", "token_ids")
 
 
 STAGES = [

@@ -172,7 +172,7 @@ def _encoder(vocabulary, pattern: str, digests: bool):
         split = splitter(pattern)
         shown: dict[int, str] = {i: str(i) for i in vocab.pieces}
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            texts, rest = batch.column(1), batch.select([i for i in range(batch.num_columns) if i != 1])
             out: list = []
             for text in texts:
                 tokens: list[int] = []
@@ -190,31 +190,33 @@ def _encoder(vocabulary, pattern: str, digests: bool):
                 else:
                     out.append((len(tokens), tokens, back.decode("utf-8", "replace")))
                 if len(out) == 500:
-                    yield _rows(ids.slice(0, len(out)), out, digests)
-                    ids, out = ids.slice(len(out)), []
+                    yield _rows(rest.slice(0, len(out)), out, digests)
+                    rest, out = rest.slice(len(out)), []
             if out:
-                yield _rows(ids, out, digests)
+                yield _rows(rest, out, digests)
         release()
 
     return run
 
 
-def _rows(ids, out, digests: bool) -> pa.RecordBatch:
+def _rows(rest: pa.RecordBatch, out, digests: bool) -> pa.RecordBatch:
     n, a, b = zip(*out)
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "token_ids", "decoded"]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "token_ids", "decoded"]
     first = pa.array(a, pa.string() if digests else pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), first, pa.array(b, pa.string())], names=names)
+    return pa.RecordBatch.from_arrays([*rest.columns, pa.array(n, pa.int64()), first, pa.array(b, pa.string())], names=[*rest.schema.names, *names])
 
 
-def encode(docs: DataFrame, vocabulary_path: str, pattern: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, vocabulary_path: str, pattern: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
+) -> DataFrame:
     """Encode every whole text and decode the ids again, a row per input row.
 
-    Returns doc_id, n_tokens, and token_ids (array of int) and decoded; with ``digests`` instead
+    Returns doc_id, the long columns ``keep`` of ``docs``, n_tokens, and token_ids (array of int) and decoded; with ``digests`` instead
     ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the decoded bytes).
     The vocabulary is read on the driver (its size is fixed) and sent to each executor once.
     """
     with open(vocabulary_path, "rb") as file:
         vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
-    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>, decoded string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = "doc_id long, " + "".join(f"{c} long, " for c in keep) + "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>, decoded string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).cast("long").alias(c) for c in keep))
     return rows.mapInArrow(_encoder(vocabulary, pattern, digests), schema)

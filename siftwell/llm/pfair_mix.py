@@ -106,17 +106,26 @@ def mix(
     )
 
 
-def in_mix_order(
+def with_places(
     docs: DataFrame, weights: dict[str, float] | None = None, rest_weight: float = 1.0, block_docs: int = 64, period: int = PERIOD,
     temperature: float = 0.7, max_classes: int = 256, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
-    """All rows and columns of ``docs``, laid out in the order of the schedule: partitions by ranges of positions, each sorted."""
+    """All rows and columns of ``docs``, and the slot and position of each in the schedule (``_siftwell_``-prefixed)."""
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
     at = dict(zip(names, inner))
     rows = docs.toDF(*inner).withColumn("source", F.col(at[source_col]).cast("string")).withColumn("order", F.xxhash64(at[id_col])).withColumn("tie", F.xxhash64(at[text_col]))
     placed = place(rows, weights, rest_weight, block_docs, period, temperature, max_classes)
-    return placed.repartitionByRange("position").sortWithinPartitions("position").select(*(F.col(a).alias(b) for a, b in zip(inner, names)))
+    return placed.select(*(F.col(a).alias(b) for a, b in zip(inner, names)), F.col("slot").alias("_siftwell_slot"), F.col("position").alias("_siftwell_position"))
+
+
+def in_mix_order(docs: DataFrame, **parameters) -> DataFrame:
+    """All rows and columns of ``docs``, laid out in the order of the schedule: partitions by ranges of positions, each sorted.
+
+    The order holds for this DataFrame only: Spark may read its files in another one. What is to last takes :func:`with_places`.
+    """
+    placed = with_places(docs, **parameters).repartitionByRange("_siftwell_position").sortWithinPartitions("_siftwell_position")
+    return placed.drop("_siftwell_slot", "_siftwell_position")
 
 
 def place(rows: DataFrame, weights, rest_weight, block_docs, period, temperature, max_classes) -> DataFrame:

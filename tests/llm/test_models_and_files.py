@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftwell.llm import block_search, byte_bpe, language_id, line_dedup, near_dedup, queries, url_filter, warc
+from siftwell.llm import block_search, byte_bpe, language_id, line_dedup, near_dedup, pfair_mix, queries, url_filter, warc
 
 VOCAB = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -269,6 +269,15 @@ def test_pipeline_against_its_parts(spark, sf):
     assert all(vocab.decode(r["token_ids"]).decode() == texts[r["doc_id"]] and len(r["token_ids"]) == r["n_tokens"] for r in out)
 
 
+def test_pipeline_result_follows_the_schedule(spark, sf, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])  # mixing and tokenising
+    out = corpus_pipeline.run(spark, sf)
+    want = pfair_mix.mix(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "slot", "position").collect()
+    got = out.select("doc_id", "slot", "position").collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, want))
+    assert len({r["position"] for r in got}) == len(got) and len({r["slot"] for r in got}) > 2
+
+
 def test_queries_are_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
