@@ -4,7 +4,7 @@ Queries and candidates are dealt out evenly (by a hash of the id) into blocks; e
 and candidate block is one group. In a tile the vectors are coded as int8 with a scale per vector, and
 a matrix product of the codes gives every approximate distance. With the length of each vector's coding
 error, the true distance is known to lie within ``approx ± (e_q + e_c)``; candidates whose lower bound
-exceeds the k-th smallest upper bound cannot be among the k nearest and are left out. The others are
+exceeds the k-th smallest upper bound (an id counted once, however many rows it has) cannot be among the k nearest and are left out. The others are
 recomputed in double precision on the original vectors. A heap per query carries the best k through the
 sub-tiles of a tile, and heaps of the tiles are merged per query. The result is exact.
 
@@ -56,6 +56,7 @@ def _tile(k: int):
         np.seterr(over="ignore", invalid="ignore")  # vectors may be so long that squares overflow
         heaps: dict[int, list] = {}
         if queries.num_rows and candidates.num_rows:
+            candidates = candidates.sort_by("c_id")  # rows of an id beside each other
             q_id, c_id = queries.column("id").to_numpy(), candidates.column("c_id").to_numpy()
             q, c = _matrix(queries.column("vector")), _matrix(candidates.column("c_vector"))
             (qa, qs, qe), (ca, cs, ce) = quantise(q), quantise(c)
@@ -76,6 +77,10 @@ def _tile(k: int):
                     high = np.sqrt(np.maximum(square + slack, 0)) + error
                     own = q_id[rows, None] == c_id[None, cols]
                     high[own | np.isnan(high)] = np.inf  # not a number where squares overflow: no bound
+                    # an id counts once, by its smallest bound: k rows of fewer ids are not k neighbours
+                    firsts = np.flatnonzero(np.r_[True, c_id[cols][1:] != c_id[cols][:-1]])
+                    if len(firsts) < high.shape[1]:
+                        high = np.minimum.reduceat(high, firsts, axis=1)
                     if high.shape[1] >= k:
                         reach = np.minimum(reach, np.partition(high, k - 1, axis=1)[:, k - 1])
                     at_q, at_c = np.nonzero(~(low > reach[:, None]) & ~own)

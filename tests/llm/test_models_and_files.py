@@ -212,6 +212,18 @@ def test_neighbours_against_brute_force(spark):
     assert not block_search.nearest(df.limit(0), F.col("vec_id") % 100 == 0).collect()
 
 
+def test_repeated_rows_do_not_cost_neighbours(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 8))
+    x[1] = x[0] + 1e-3  # the nearest of query 0, ten times there
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1, x[1].tolist())] * 9 + [(2, x[2].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = block_search.nearest(df, F.col("vec_id").isin(0, 5), 10).orderBy("query_id", "rank").collect()
+    for q in (0, 5):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert [r["vec_id"] for r in got if r["query_id"] == q] == [int(i) for i in np.argsort(d) if i != q][:10]
+
+
 def test_quantisation_error_bounds_hold():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(50, 24)) * rng.exponential(size=(50, 1))
