@@ -1,38 +1,46 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 The documents of each class (a source with a target weight) form blocks of ``block_docs`` documents. In
-a schedule of one block per slot, block ``j`` of a class of weight ``w`` is released at slot
-``floor(j / w)`` and due before slot ``ceil((j + 1) / w)``; the released block with the earliest deadline goes
-first. At every prefix each class then has less than one block more or less than its weight's share.
-
-Weights are whole numbers over a period, so that the schedule repeats: one period is laid out on the
-driver (a table of ``period`` rows), and each document finds its slot by arithmetic and a join with
-that table. When a class has no blocks left, the weights of the others are scaled up and a new phase
-begins; there are at most as many phases as classes. Nothing is repeated or dropped: every document
-gets one position.
-
-Weights given: sources without one share ``rest_weight`` as one class. None given: a source weighs its
-count to the power ``temperature``; sources beyond the ``max_classes`` largest form one class together.
-A null source belongs to the rest. Rows of equal id are ordered by their text's hash; those equal in both get distinct,
-interchangeable places. An empty table gives an empty result.
+a schedule of one block per slot, a fluid schedule serves all classes at once in proportion to their exact weights; when
+a class has no blocks left, the shares of the others are scaled up. A block is released at the slot in which the
+fluid reaches its start (for block ``j`` of a class of share ``w``, and no class ended: ``floor(j / w)``) and due before the
+slot ``ceil((j + 1) / w)`` in which its end is passed; the released block with the earliest deadline goes first. The fluid itself
+fits these windows, so no block is late, and at every prefix each class has less than one block more or less than
+its weight's share. Windows are computed in whole numbers, without rounding. Nothing is repeated or dropped: every document gets one position.
+
+The slots are laid out by one task that holds two numbers a class and streams a row per block; documents find their block by a count per
+part of a class and a join, by broadcast only where blocks are counted few (``BROADCAST_BLOCKS``).
+
+Weights given: sources without one share ``rest_weight`` as one class. None given: every source is a class and weighs its
+count to the power ``temperature``. A class of weight zero comes after all others. A null source belongs to the rest. With a
+``period``, weights are first rounded to whole numbers over it (at least one each), so that the schedule repeats.
+Rows of equal id are ordered by their text's hash; those equal in both get distinct, interchangeable places.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from bisect import bisect_right
+from collections.abc import Iterator
+from fractions import Fraction
 from heapq import heapify, heappop, heappush
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PERIOD = 1024
+from .common import materialise
+
 #: A class is ordered in 2 to this power parts by hash, so that no task orders a large class.
 SALT_BITS = 10
+#: Slots of at most this many blocks are broadcast, else documents meet them in a join by shuffle.
+BROADCAST_BLOCKS = 200_000
 REST = "(rest)"
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
+def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     """Whole numbers, one at least, that add up to the period (or the number of classes, if larger), by largest remainder."""
     total = sum(weights.values())
     period = max(period, len(weights))
@@ -44,78 +52,97 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int, int, int]]:
+    """Class, block, release, deadline and slot of every block, slot by slot."""
+    start = 0
+    for weighty in (True, False):
+        names = sorted(c for c, n in blocks.items() if n and (weights[c] > 0) is weighty)
+        n, w = [blocks[c] for c in names], [Fraction(weights[c]) if weighty else Fraction(1) for c in names]
+        scale = lcm(*(x.denominator for x in w))
+        w = [int(x * scale) for x in w]
+        order = sorted(range(len(names)), key=lambda i: Fraction(n[i], w[i]))
+        ends = [Fraction(n[i], w[i]) for i in order]
+        # of the first k classes to end: their blocks, and the weight of those that go on
+        done, live = [0], [sum(w)]
+        for i in order:
+            done.append(done[-1] + n[i])
+            live.append(live[-1] - w[i])
+        ended = [0] * len(names)
+
+        def served(i: int, j: int) -> tuple[int, int]:
+            """Floor and ceiling of the time at which the fluid has served j blocks of class i."""
+            k = ended[i]
+            if k < len(order) and n[order[k]] * w[i] <= j * w[order[k]]:
+                k = ended[i] = bisect_right(ends, Fraction(j, w[i]), k)
+            whole, part = divmod(live[k] * j, w[i])
+            return done[k] + whole, done[k] + whole + (part > 0)
+
+        waiting = [(0, i, 0) for i in range(len(names))]  # release, class, block
+        heapify(waiting)
+        ready: list[tuple[int, int, int, int, int]] = []  # deadline, class, block, release, release of the next block
+        for t in range(sum(n)):
+            while waiting and waiting[0][0] <= t:
+                release, i, j = heappop(waiting)
+                following, deadline = served(i, j + 1)
+                heappush(ready, (deadline, i, j, release, following))
+            deadline, i, j, release, following = heappop(ready)
+            yield names[i], j, start + release, start + deadline, start + t
+            if j + 1 < n[i]:
+                heappush(waiting, (following, i, j + 1))
+        start += sum(n)
+
+
 def edf(k: dict[str, int]) -> list[tuple[str, int]]:
-    """One period: the class and its block for each slot, earliest deadline first among the released."""
-    period = sum(k.values())
-    waiting = [(0, c, 0) for c in sorted(k)]  # release, class, block
-    heapify(waiting)
-    ready: list[tuple[int, str, int]] = []  # deadline, class, block
-    slots = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, c, j = heappop(waiting)
-            heappush(ready, (-(-(j + 1) * period // k[c]), c, j))
-        _, c, j = heappop(ready)
-        slots.append((c, j))
-        if j + 1 < k[c]:
-            heappush(waiting, ((j + 1) * period // k[c], c, j + 1))
-    return slots
-
-
-@dataclass(frozen=True)
-class Phase:
-    """Weights hold from ``slot`` on; block ``first[c] + j`` of class c takes the phase's slot of (c, j)."""
-
-    slot: int
-    k: dict[str, int]
-    first: dict[str, int]
-    count: dict[str, int]
-    places: dict[str, list[int]]
-
-
-def plan(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[Phase]:
-    """Phases of the whole schedule. blocks: how many each class has."""
-    done, left, slot, phases = dict.fromkeys(blocks, 0), {c: n for c, n in blocks.items() if n}, 0, []
-    while left:
-        k = shares({c: weights[c] for c in left}, period)
-        size, layout = sum(k.values()), edf(k)
-        places: dict[str, list[int]] = {c: [] for c in k}
-        for t, (c, _) in enumerate(layout):
-            places[c].append(t)
-        # the phase ends with the first class that runs out
-        end = min((n - 1) // k[c] * size + places[c][(n - 1) % k[c]] + 1 for c, n in left.items())
-        turns, over = divmod(end, size)
-        count = {c: min(n, turns * k[c] + sum(t < over for t in places[c])) for c, n in left.items()}
-        phases.append(Phase(slot, k, {c: done[c] for c in k}, count, places))
-        for c, n in count.items():
-            done[c] += n
-        left = {c: n - count[c] for c, n in left.items() if n > count[c]}
-        slot += end
-    return phases
+    """One period of whole-number weights: the class and its block for each slot."""
+    return [(c, j) for c, j, *_ in schedule(k, k)]
+
+
+def _layout(block_docs: int, period: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[str, int] = {}
+        weights: dict[str, float] = {}
+        for batch in batches:
+            for c, n, weight in zip(*(column.to_pylist() for column in batch.columns)):
+                blocks[c], weights[c] = -(-n // block_docs), weight
+        if period and weights:
+            weights = shares(weights, period)
+        total = sum(weights.values())
+        kinds = [pa.string(), *[pa.int64()] * 4, pa.float64()]
+        names = ["tclass", "tblock", "release", "deadline", "slot", "weight"]
+        batched: list[tuple] = []
+        for row in schedule(blocks, weights):
+            batched.append((*row, weights[row[0]] / total if total else 0.0))
+            if len(batched) == 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*batched), kinds)], names=names)
+                batched = []
+        if batched:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*batched), kinds)], names=names)
+
+    return run
 
 
 def mix(
-    docs: DataFrame, weights: dict[str, float] | None = None, rest_weight: float = 1.0, block_docs: int = 64, period: int = PERIOD,
-    temperature: float = 0.7, max_classes: int = 256, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+    docs: DataFrame, weights: dict[str, float] | None = None, rest_weight: float = 1.0, block_docs: int = 64, period: int | None = None,
+    temperature: float = 0.7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
     """A row per input row: doc_id, source, class, weight (of its class when all are there), block, release, deadline and
     slot (of the whole schedule), position (of the document; 0 to n-1 but for gaps that part-filled last blocks leave)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(id_col).alias("order"), F.xxhash64(text_col).alias("tie"))
-    return place(rows, weights, rest_weight, block_docs, period, temperature, max_classes).select(
+    return place(rows, weights, rest_weight, block_docs, period, temperature).select(
         "doc_id", "source", "class", "weight", "block", "release", "deadline", "slot", "position"
     )
 
 
 def with_places(
-    docs: DataFrame, weights: dict[str, float] | None = None, rest_weight: float = 1.0, block_docs: int = 64, period: int = PERIOD,
-    temperature: float = 0.7, max_classes: int = 256, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+    docs: DataFrame, weights: dict[str, float] | None = None, rest_weight: float = 1.0, block_docs: int = 64, period: int | None = None,
+    temperature: float = 0.7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
     """All rows and columns of ``docs``, and the slot and position of each in the schedule (``_siftwell_``-prefixed)."""
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
     at = dict(zip(names, inner))
     rows = docs.toDF(*inner).withColumn("source", F.col(at[source_col]).cast("string")).withColumn("order", F.xxhash64(at[id_col])).withColumn("tie", F.xxhash64(at[text_col]))
-    placed = place(rows, weights, rest_weight, block_docs, period, temperature, max_classes)
+    placed = place(rows, weights, rest_weight, block_docs, period, temperature)
     return placed.select(*(F.col(a).alias(b) for a, b in zip(inner, names)), F.col("slot").alias("_siftwell_slot"), F.col("position").alias("_siftwell_position"))
 
 
@@ -128,48 +155,36 @@ def in_mix_order(docs: DataFrame, **parameters) -> DataFrame:
     return placed.drop("_siftwell_slot", "_siftwell_position")
 
 
-def place(rows: DataFrame, weights, rest_weight, block_docs, period, temperature, max_classes) -> DataFrame:
+def place(rows: DataFrame, weights, rest_weight, block_docs, period, temperature) -> DataFrame:
     """The columns of the schedule beside all of ``rows``, which hold ``source``, ``order`` and ``tie``."""
     spark = rows.sparkSession
     if weights is None:
-        by = rows.where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
-        top = by.orderBy(F.desc("n"), "source").limit(max_classes).collect()
-        weights, rest = {r["source"]: r["n"] ** temperature for r in top}, None
+        of_class = F.coalesce("source", F.lit(REST))
     else:
-        weights, rest = {c: w for c, w in weights.items() if w > 0}, rest_weight
-    known = F.col("source").isin(list(weights)) if weights else F.lit(False)
-    classed = rows.withColumn("class", F.when(known, F.col("source")).otherwise(F.lit(REST)))
-    salted = classed.withColumn("salt", F.shiftrightunsigned("order", 64 - SALT_BITS).cast("int"))
-    sizes = salted.groupBy("class", "salt").agg(F.count("*").alias("n"))
-    total = {r["class"]: r["n"] for r in sizes.groupBy("class").agg(F.sum("n").alias("n")).collect()}
-    if REST in total and REST not in weights:
-        weights = weights | {REST: rest if rest is not None else total[REST] ** temperature}
+        weights = {c: float(w) for c, w in weights.items() if w > 0}
+        known = F.col("source").isin(list(weights)) if weights else F.lit(False)
+        of_class = F.when(known, F.col("source")).otherwise(F.lit(REST))
+    salted = rows.withColumn("class", of_class).withColumn("salt", F.shiftrightunsigned("order", 64 - SALT_BITS).cast("int"))
+    sizes = materialise(salted.groupBy("class", "salt").agg(F.count("*").alias("n")), "mix-sizes")
+    total = sizes.groupBy("class").agg(F.sum("n").alias("n"))
+    if weights is None:
+        weighed = total.withColumn("weight", F.pow("n", F.lit(float(temperature))))
+    else:
+        given = spark.createDataFrame(list(weights.items()), "class string, weight double")
+        weighed = total.join(F.broadcast(given), "class", "left").withColumn("weight", F.coalesce("weight", F.lit(float(rest_weight))))
+    layout = weighed.select("class", "n", "weight").repartition(1).mapInArrow(
+        _layout(block_docs, period), "tclass string, tblock long, release long, deadline long, slot long, weight double"
+    )
+    slots = materialise(layout, "mix-slots")
+    if slots.count() <= BROADCAST_BLOCKS:
+        slots = F.broadcast(slots)
     earlier = Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offset = sizes.select("class", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    phases = plan({c: -(-n // block_docs) for c, n in total.items()}, weights, period)
-    first = phases[0] if phases else None
-    parts, table = [], []
-    for i, p in enumerate(phases):
-        size = sum(p.k.values())
-        for c, k in p.k.items():
-            parts.append((c, i, p.first[c], p.first[c] + p.count[c], p.slot, k, size))
-            table += [(c, i, j, t) for j, t in enumerate(p.places[c])]
-    # the tables below have at most classes x 2^SALT_BITS, classes x phases, phases x period and classes rows
-    part = spark.createDataFrame(parts, "pclass string, phase int, lo long, hi long, at long, k long, size long")
-    turn = spark.createDataFrame(table, "tclass string, tphase int, tj long, t long")
-    share = spark.createDataFrame([(c, first.k[c] / sum(first.k.values())) for c in first.k] if first else [], "wclass string, weight double")
     ranked = (
         salted.withColumn("nth", F.row_number().over(Window.partitionBy("class", "salt").orderBy("order", "tie")))
-        .join(F.broadcast(offset), ["class", "salt"])
+        .join(offset, ["class", "salt"])
         .withColumn("rank", F.col("before") + F.col("nth") - 1)
         .withColumn("block", F.expr(f"rank div {block_docs}"))
     )
-    phased = ranked.join(F.broadcast(part), F.expr("class = pclass and block >= lo and block < hi")).withColumn("j", F.expr("block - lo"))
-    return (
-        phased.join(F.broadcast(turn), F.expr("class = tclass and phase = tphase and j % k = tj"))
-        .join(F.broadcast(share), F.expr("class = wclass"))
-        .withColumn("slot", F.expr("at + j div k * size + t"))
-        .withColumn("release", F.expr("at + j * size div k"))
-        .withColumn("deadline", F.expr("at + ((j + 1) * size + k - 1) div k"))
-        .withColumn("position", F.expr(f"slot * {block_docs} + rank % {block_docs}"))
-    )
+    placed = ranked.join(slots, F.expr("class = tclass and block = tblock"))
+    return placed.withColumn("position", F.expr(f"slot * {block_docs} + rank % {block_docs}"))

@@ -300,6 +300,48 @@ def test_mix_is_a_whole_schedule(spark):
     assert again == {r["doc_id"]: r["position"] for r in out}
 
 
+def off_by(placed, weights):
+    """The largest deviation from the weights, in blocks, up to the end of the first class; slots, releases and deadlines are checked."""
+    slots = {r["slot"]: r for r in placed}
+    assert sorted(slots) == list(range(len(slots))) and all(r["release"] <= r["slot"] < r["deadline"] for r in placed)
+    left, seen, worst, total = Counter(r["class"] for r in slots.values()), Counter(), 0, sum(weights.values())
+    for t in range(len(slots)):
+        seen[slots[t]["class"]] += 1
+        if seen[slots[t]["class"]] == left[slots[t]["class"]]:
+            break
+        worst = max(worst, *(abs(seen[c] - (t + 1) * w / total) for c, w in weights.items()))
+    return worst
+
+
+def test_mix_keeps_to_the_weights_asked_for(spark):
+    rows = [(i, "big" if i % 2 else f"s{i // 2 % 50}", "t") for i in range(12000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    weights = {"big": 0.5, **{f"s{i}": 0.01 for i in range(50)}}
+    out = pfair_mix.mix(df, weights, block_docs=2).collect()
+    assert off_by(out, weights) < 1 and {r["weight"] for r in out if r["class"] == "big"} == {0.5}
+
+
+def test_mix_has_a_class_for_every_source(spark, monkeypatch):
+    rows = [(i, f"s{i % 299}" if i % 3 else "big", "t") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sizes = Counter(s for _, s, _ in rows)
+    out = pfair_mix.mix(df, block_docs=1).collect()
+    assert {r["class"] for r in out} == set(sizes) and len(sizes) == 300
+    assert off_by(out, {c: n**0.7 for c, n in sizes.items()}) < 1
+    monkeypatch.setattr(pfair_mix, "BROADCAST_BLOCKS", 0)  # join by shuffle
+    assert {(r["doc_id"], r["position"]) for r in pfair_mix.mix(df, block_docs=1).collect()} == {(r["doc_id"], r["position"]) for r in out}
+
+
+def test_schedule_follows_the_fluid_when_classes_end():
+    rng = random.Random(4)
+    for _ in range(30):
+        blocks = {f"c{i}": rng.randint(0, 40) for i in range(rng.randint(1, 12))}
+        weights = {c: rng.choice([0.0, 1 / 3, 1.0, rng.random() + 1e-3]) for c in blocks}
+        out = list(pfair_mix.schedule(blocks, weights))
+        assert [r[4] for r in out] == list(range(sum(blocks.values()))) and all(r[2] <= r[4] < r[3] for r in out)
+        assert {c: [r[1] for r in out if r[0] == c] for c in blocks} == {c: list(range(n)) for c, n in blocks.items()}
+
+
 def test_mix_order_and_empty(spark):
     df = spark.createDataFrame([(i, f"s{i % 4}", "t") for i in range(500)] + [(7, None, None), (None, "s1", "x")], "doc_id long, source string, text string")
     out = pfair_mix.in_mix_order(df, block_docs=8)
