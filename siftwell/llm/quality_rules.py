@@ -24,14 +24,14 @@ from .common import PLACE, mix
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
 _SYMBOLS = b"#*$%&|<>"
-_END = (".", "!", "?", '"', "'", "”", "’", "»", "…", ":", ";", ")", "。", "！", "？")
+_END = (".", "!", "?", '"', "'", "”", "’", "»", "…", ":", ";", ")", "。", "！", "？", "」", "』", "）", "।", "॥", "؟", "۔", "።")
 
 
 @dataclass(frozen=True)
 class Rules:
     """Limits of the line rules and of the document rule."""
 
-    #: A line of at least this many words must end like a sentence, or be a list entry or heading (shorter).
+    #: A line of at least this many words must end like a sentence; list entries and headings are shorter.
     sentence_words: int = 30
     #: Share of a line's characters that may be symbols of ``#*$%&|<>``.
     symbol_share: float = 0.2
@@ -58,13 +58,13 @@ def line_fails(line: str, rules: Rules, navigation: re.Pattern, boilerplate: re.
     marks = sum(map(line.count, "#*$%&|<>"))
     if marks > rules.symbol_share * chars:
         return True
-    if marks and navigation.search(line):
+    if navigation.search(line):
         return True
     if n <= rules.boilerplate_words and boilerplate.search(line):
         return True
     if n >= rules.run_words and Counter(words).most_common(1)[0][1] > rules.run_share * n:
         return True
-    return n >= rules.sentence_words and not line.rstrip().endswith(_END) and not any(e in line for e in ". ! ?".split())
+    return n >= rules.sentence_words and not line.rstrip().endswith(_END)
 
 
 def repeated_words(words: list[bytes], size: int = 8) -> int:

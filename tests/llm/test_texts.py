@@ -125,6 +125,15 @@ def test_quality_verdicts(spark, text, kept):
     assert quality_rules.clean(frame(spark, [(1, text)])).first()["kept"] is kept
 
 
+def test_navigation_and_sentence_rules_as_stated(spark):
+    long = " ".join(f"word{i}" for i in range(35))
+    fails = [f"Home {s} News {s} Sport {s} Contact us" for s in "|»›>·•/"] + [long, long + " costs 3.5 at www.example.com today", long + "! and so on"]
+    stays = [f"The inner{s}outer ring {s} one of two {s} is open" for s in "|»›>·•/"] + [long + e for e in (".", "?", "!”", "。", " है।", "؟")] + ["short heading"]
+    row = quality_rules.clean(frame(spark, [(1, "\n".join(x for pair in zip(fails + [""] * 9, stays) for x in pair))])).first()
+    assert row["cleaned"].split("\n") == stays
+    assert quality_rules.clean(frame(spark, [(1, "\n".join(fails[1:3] * 4))])).first()["kept"] is False
+
+
 def test_cleaned_text_lacks_failed_lines(spark):
     row = quality_rules.clean(frame(spark, [(1, GOOD + "\nClick here to subscribe\n\n" + GOOD)])).first()
     assert row["cleaned"] == GOOD + "\n" + GOOD and row["lost_chars"] == 20
