@@ -5,11 +5,13 @@ Per host, the number of pages that contain a line is divided by the host's pages
 All of it is DataFrame functions.
 
 Lines are what ``\\n`` separates and are compared whole, by two independent 64-bit hashes; lines without a word
-are neither counted nor dropped. A page counts once for a line however often it holds it; rows of equal
-id count as pages of their own. A null host is no site: its lines stay. Null text stays null. A page whose
+are neither counted nor dropped. A page counts once for a line however often it holds it; pages of a host with the same
+text count as one page (``distinct``), so that copies of a document do not make its own lines boilerplate. With
+``distinct`` off, each row is a page, rows of equal id too. A null host is no site: its lines stay. Null text stays null. A page whose
 lines all go keeps an empty text.
 
-What grows is pre-aggregated before each shuffle: pages per host, and pages per (host, line). A host
+What grows is pre-aggregated before each shuffle: pages per host, and pages per (host, line); of distinct texts only the
+lines' hashes are shuffled. A host
 has at most (lines of a page) / ``max_ratio`` boilerplate lines; where all hosts' together are few
 (``broadcast_rows``, counted first) they are broadcast and texts are not shuffled at all, else texts meet
 them in a join on the host, whose hot hosts are salted.
@@ -33,26 +35,30 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int, distinct: bool = True) -> DataFrame:
     """host and the keys of its boilerplate lines. pages: columns host and text."""
     rows = pages.where("host is not null")
-    totals = rows.groupBy("host").agg(F.count("*").alias("total"))
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: x.rlike(_WORD)), _key))
-    counts = rows.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    lines, content = rows.select("host", keys.alias("keys")), _key(F.col("text")).alias("content")
+    if distinct:
+        lines = rows.select("host", content, keys.alias("keys")).dropDuplicates(["host", "content"])
+        rows = rows.select("host", content).distinct()
+    totals = rows.groupBy("host").agg(F.count("*").alias("total"))
+    counts = lines.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     common = counts.join(totals, "host").where(F.col("n") > max_ratio * F.col("total"))
     return common.groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
 def drop_boilerplate(
     docs: DataFrame, max_ratio: float = 0.02, min_pages: int = 3, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text",
-    broadcast_rows: int = 50_000, salts: int = 32,
+    broadcast_rows: int = 50_000, salts: int = 32, distinct: bool = True,
 ) -> DataFrame:
     """All columns of ``docs``, the text without boilerplate lines, and n_lines and n_dropped (``_siftwell_``-prefixed)."""
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
     at = dict(zip(names, inner))
     rows = docs.toDF(*inner).withColumn("host", F.col(at[host_col]).cast("string")).withColumn("text", F.col(at[text_col]).cast("string"))
-    found = materialise(boilerplate(rows.select("host", "text"), max_ratio, min_pages), "line-dedup")
+    found = materialise(boilerplate(rows.select("host", "text"), max_ratio, min_pages, distinct), "line-dedup")
     lines = found.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]
     if lines <= broadcast_rows:
         joined = rows.join(F.broadcast(found), "host", "left")
@@ -68,7 +74,7 @@ def drop_boilerplate(
     return joined.select(*columns, count(n_lines).alias("_siftwell_lines"), count(n_lines - n_kept).alias("_siftwell_dropped"))
 
 
-#: DuckDB SQL for the digest query over ``documents``; the parameters are the operator's defaults.
+#: DuckDB SQL for the digest query over ``documents``: every row is a page; the other parameters are the operator's defaults.
 ORACLE = r"""
 with lines as (
   select doc_id, source, pos, line from (
@@ -90,10 +96,10 @@ from documents d left join kept k on d.doc_id = k.doc_id
 """
 
 
-def digest(docs: DataFrame, **parameters) -> DataFrame:
-    """doc_id, host, n_lines, n_dropped and the kept text's SHA-256, a row per input row."""
+def digest(docs: DataFrame, distinct: bool = False, **parameters) -> DataFrame:
+    """doc_id, host, n_lines, n_dropped and the kept text's SHA-256, a row per input row. Like its SQL, it counts every row as a page."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("text"))
-    out = drop_boilerplate(slim, **parameters)
+    out = drop_boilerplate(slim, distinct=distinct, **parameters)
     return out.select(
         "doc_id", F.col("source").alias("host"), F.col("_siftwell_lines").alias("n_lines"), F.col("_siftwell_dropped").alias("n_dropped"),
         F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"),

@@ -281,6 +281,17 @@ def test_pipeline_against_its_parts(spark, sf):
     assert all(vocab.decode(r["token_ids"]).decode() == texts[r["doc_id"]] and len(r["token_ids"]) == r["n_tokens"] for r in out)
 
 
+def test_pipeline_keeps_one_whole_document_of_copies(spark, sf):
+    story = "\n".join(f"line {i} of the story that was copied with {i * i} words of its own" for i in range(9))
+    rows = [(i, "site", f"site menu\npage {i} tells about {i * 7} and {i * 11} things that no other page {i} has") for i in range(90)]
+    rows += [(1000 + i, "site", story) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    lines = corpus_pipeline.drop_common_lines(spark, docs, sf)
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_near_copies(spark, lines, sf).collect()}
+    assert {i: t for i, t in kept.items() if i >= 1000} == {1000: story}
+    assert {i: t for i, t in kept.items() if i < 90} == {i: t.split("\n")[1] for i, _, t in rows[:90]}
+
+
 def test_pipeline_result_follows_the_schedule(spark, sf, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])  # mixing and tokenising
     out = corpus_pipeline.run(spark, sf)
