@@ -44,7 +44,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = pfair_mix.with_places(docs.select("doc_id", "source", "text"))
     # written first, so that no sort is held while workers encode
     placed = materialise(placed.withColumnsRenamed({"_siftwell_slot": "slot", "_siftwell_position": "position"}), "pipeline-places")
-    encoded = byte_bpe.encode(placed, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("slot", "position"))
+    encoded = byte_bpe.encode(placed, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, out="ids", keep=("slot", "position"), kept=50_000)
     return encoded.select("doc_id", "slot", "position", "n_tokens", "token_ids")
 
 

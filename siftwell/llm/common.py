@@ -74,13 +74,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
-    if cache.get("n", 0) < n:
-        size = max(n, SLICE_BYTES * 5 // 4)
-        cache["n"] = size
-        cache["up"] = np.cumprod(np.full(size, _PRIME))
-        cache["down"] = np.cumprod(np.full(size, _INVERSE))
-    return cache["up"], cache["down"]
+def _powers(n: int, kept: list = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """Powers of the prime and of its inverse; only those of a slice are kept."""
+    if n <= SLICE_BYTES and kept:
+        return kept[0]
+    size = max(n, SLICE_BYTES)
+    both = np.cumprod(np.full(size, _PRIME)), np.cumprod(np.full(size, _INVERSE))
+    if n <= SLICE_BYTES:
+        kept.append(both)
+    return both
 
 
 class WordTable:
@@ -92,16 +94,17 @@ class WordTable:
 
     def __init__(self, texts: list[bytes]):
         """texts: with words already joined by one space (see :func:`joined`)."""
-        self.buf = b"\n".join(texts) + b"\n" if texts else b""
-        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        ends = np.cumsum(sizes)
-        parts, first, i = [], 0, 0
-        whole = np.frombuffer(self.buf, np.uint8)
-        while i < len(texts):
-            j = int(np.searchsorted(ends, first + SLICE_BYTES, "right"))
-            j = max(j, i + 1)
-            parts.append(self._slice(whole[first : ends[j - 1]], first, i))
-            first, i = int(ends[j - 1]), j
+        self.buf = buf = b"\n".join(texts) + b"\n" if texts else b""
+        parts, first, doc = [], 0, 0
+        whole = np.frombuffer(buf, np.uint8)
+        while first < len(buf):
+            # slices end behind a separator; a long text may be several
+            last = min(len(buf), first + SLICE_BYTES)
+            stop = max(buf.rfind(b" ", first, last), buf.rfind(b"\n", first, last)) + 1
+            if not stop:
+                stop = min(x for x in (buf.find(b" ", last), buf.find(b"\n", last)) if x >= 0) + 1
+            parts.append(self._slice(whole[first:stop], first, doc))
+            first, doc = stop, doc + buf.count(b"\n", first, stop)
         none = np.zeros(0, np.int64)
         self.hash, self.start, self.end, self.doc = (
             (np.concatenate(x) if parts else none) for x in (zip(*parts) if parts else ((), (), (), ()))

@@ -39,8 +39,9 @@ def test_merge_takes_the_lowest_rank_then_the_leftmost():
         rng.shuffle(order)
         ranks = {p: i for i, p in enumerate(order)}
         vocab = byte_bpe.Vocabulary(b"\n".join(base64.b64encode(p) + b" %d" % i for p, i in ranks.items()))
-        for _ in range(40):
-            token = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 40))).encode()
+        tokens = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 40))).encode() for _ in range(200)]
+        ids, ends = vocab.merge_all(tokens)  # many at once: large buckets
+        for token, own in zip(tokens, np.split(ids, ends[:-1])):
             symbols = [token] if token in ranks else [token[i : i + 1] for i in range(len(token))]
             while True:
                 pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in ranks]
@@ -48,7 +49,8 @@ def test_merge_takes_the_lowest_rank_then_the_leftmost():
                     break
                 i = min(pairs)[1]
                 symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-            assert vocab.merge(token) == [ranks[s] for s in symbols]
+            assert own.tolist() == [ranks[s] for s in symbols]
+        assert vocab.merge(tokens[0]) == ids[: ends[0]].tolist()
 
 
 def test_merges_like_the_library(vocabulary, reference):
@@ -70,7 +72,15 @@ def test_both_splits_agree():
     for pool in (latin, wide, list("ab '1 \n\tés"), ["'s", "'re", " ", "x", "\n", "0"]):
         for _ in range(3000):
             text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 25)))
-            assert split(text) == general(text), ascii(text)
+            assert list(split(text)) == [general(text)], ascii(text)
+
+
+def test_long_texts_are_split_in_parts(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "SLICE_BYTES", 50)
+    monkeypatch.setattr(byte_bpe, "SLICE_PARTS", 7)
+    text = "some words, 12 numbers and \n more  of it " * 9
+    parts = list(byte_bpe.splitter(byte_bpe.USUAL)(text))
+    assert max(map(len, parts)) == 7 and [p for part in parts for p in part] == regex.findall(byte_bpe.USUAL, text)
 
 
 def test_encode_texts(spark, reference):
@@ -84,7 +94,7 @@ def test_encode_texts(spark, reference):
         ids = reference.encode_ordinary(t or "")
         want[i, len(ids), tuple(ids), t or ""] += 1
     assert got == want
-    row = byte_bpe.encode(df.where("doc_id = 2"), VOCAB, public_tokenizers.PATTERN, digests=True).first()
+    row = byte_bpe.encode(df.where("doc_id = 2"), VOCAB, public_tokenizers.PATTERN, out="digests").first()
     assert row["ids_sha256"] == hashlib.sha256(",".join(map(str, reference.encode_ordinary(texts[2]))).encode()).hexdigest()
     assert row["decoded_sha256"] == hashlib.sha256(texts[2].encode()).hexdigest()
     assert not byte_bpe.encode(df.limit(0), VOCAB, public_tokenizers.PATTERN).collect()
