@@ -14,7 +14,6 @@ A text whose n-grams were never seen gets the decoded language of a zero margin
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -32,7 +31,6 @@ FEATURES = 1 << 13
 ORDERS = (2, 3, 4)
 #: Largest number of languages with the exhaustive code.
 EXHAUSTIVE = 6
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes and texts that are counted at once.
 _SLICE, _TEXTS = 1 << 18, 64
 
@@ -178,7 +176,7 @@ def _predictor(model, ambiguous_gap: float):
         for batch in batches:
             lang, score, unsure = [], [], []
             for _, part in _slices(batch.column(batch.num_columns - 1)):
-                letters = [bool(t and _LETTER.search(t)) for t in part]
+                letters = [any(map(str.isalpha, t or "")) for t in part]
                 if not m.langs or not any(letters):
                     lang += ["und"] * len(part)
                     score += [0.0] * len(part)
