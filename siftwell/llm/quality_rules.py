@@ -5,7 +5,8 @@ repeat one word are removed; then a document that lost too much of its text is r
 are counted on the whole text beside it.
 
 A line rule never looks at other lines, so a document is one row from scan to result, without shuffle.
-Null text counts as the empty text; a text without words fails the base rules. Repeated rows are judged alike.
+Null text counts as the empty text; a text without words fails the base rules. Repeated rows are judged alike. Columns of
+the input other than the id and the text are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import PLACE, mix
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]")
+_SPACES = " \t\n\v\f\r"
+_WORDS = re.compile(rf"[^{_SPACES}]+")
 _SYMBOLS = b"#*$%&|<>"
 _END = (".", "!", "?", '"', "'", "”", "’", "»", "…", ":", ";", ")", "。", "！", "？", "」", "』", "）", "।", "॥", "؟", "۔", "።")
 
@@ -36,7 +38,7 @@ class Rules:
     #: Share of a line's characters that may be symbols of ``#*$%&|<>``.
     symbol_share: float = 0.2
     #: Separators between short entries that make a navigation line.
-    navigation: str = r"(?:\s[|»›>·•/]\s[^|»›>·•/]{0,30}){3,}"
+    navigation: str = r"(?:[\x20\x09-\x0D][|»›>·•/][\x20\x09-\x0D][^|»›>·•/]{0,30}){3,}"
     #: Phrases of boilerplate, matched in any case; a line of at most ``boilerplate_words`` words with one goes.
     boilerplate: tuple[str, ...] = (
         "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies", "enable javascript",
@@ -50,9 +52,8 @@ class Rules:
     lost_share: float = 0.5
 
 
-def line_fails(line: str, rules: Rules, navigation: re.Pattern, boilerplate: re.Pattern) -> bool:
-    """Whether a line with words breaks a rule."""
-    words = line.split()
+def line_fails(line: str, words: list[str], rules: Rules, navigation: re.Pattern, boilerplate: re.Pattern) -> bool:
+    """Whether a line, given with its words, breaks a rule."""
     n = len(words)
     chars = sum(map(len, words))
     marks = sum(map(line.count, "#*$%&|<>"))
@@ -64,7 +65,7 @@ def line_fails(line: str, rules: Rules, navigation: re.Pattern, boilerplate: re.
         return True
     if n >= rules.run_words and Counter(words).most_common(1)[0][1] > rules.run_share * n:
         return True
-    return n >= rules.sentence_words and not line.rstrip().endswith(_END)
+    return n >= rules.sentence_words and not line.rstrip(_SPACES).endswith(_END)
 
 
 def repeated_words(words: list[bytes], size: int = 8) -> int:
@@ -105,13 +106,14 @@ def _judge(rules: Rules, texts: bool):
                 chars = sum(map(len, words)) - (len(raw) - len(text))
                 lines, seen, repeats, lost, kept = text.split("\n"), set(), 0, 0, []
                 for line in lines:
-                    if not _WORD.search(line):
+                    own = _WORDS.findall(line)
+                    if not own:
                         continue
                     if line in seen:
                         repeats += 1
                     seen.add(line)
-                    if line_fails(line, rules, navigation, boilerplate):
-                        lost += sum(map(len, line.split()))
+                    if line_fails(line, own, rules, navigation, boilerplate):
+                        lost += sum(map(len, own))
                     else:
                         kept.append(line)
                 n, again = len(words), repeated_words(words)
