@@ -2,19 +2,21 @@
 
 Writing: every page becomes one WARC/1.1 record, gzip member by member, in archives in the shared folder.
 Of records with equal payloads of ``revisit_bytes`` or more, the one with the largest page id is a response
-and the others are revisits that refer to it (they keep the HTTP head, with its Content-Length, and no body).
+and the others are revisits that refer to it (they keep the HTTP head, with its Content-Length, and no body). Pages are not
+shuffled where the payloads that occur again are counted few (``BROADCAST_PAYLOADS``), else only those of that size are.
 
 Index: captures are sorted by reversed-host URL key (and page id), and each range of keys is one index file:
 zlib blocks of ``BLOCK`` captures, then a sparse directory with the first key and the place of each block, then
 the directory's place. Only the ranges (one row per index file) are held outside the files.
 
-Reading: wanted keys go to the files whose range holds them; there the directory is binary-searched, only
+Reading: wanted keys go to the files whose range holds them (binary search in the ranges); there the directory is binary-searched, only
 the blocks that can hold a key are read (by range), and the captures found are grouped by archive and
 read by range from it. Payload digests of responses are recomputed from what was read.
 
 Files are written under names of their own by each task attempt, through the file system that the shared
 folder's URI names; a lost or repeated attempt leaves files that no row names. Null url: an empty key
-and no target URI; line breaks in a url are percent-encoded. Null html: an empty payload. Null page id: taken as -1. Repeated rows are records of their own
+and no target URI; line breaks in a url are percent-encoded. Null html: an empty payload. A null page id is no number: its record has none, it is
+never the largest, and is a revisit only where a page with an id has the same payload. Repeated rows are records of their own
 (those that share the response's id are all responses). No pages: no archives, and an empty result.
 """
 
@@ -41,6 +43,8 @@ from .common import materialise, new_folder, partitions
 
 #: Captures of an index block, and bytes after which a new archive begins.
 BLOCK, ARCHIVE_BYTES = 512, 256 << 20
+#: Payloads that occur again and are broadcast; beyond that pages meet them by a shuffle.
+BROADCAST_PAYLOADS = 100_000
 _CAPTURE = "key string, page_id long, archive string, start long, size long"
 _RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
@@ -57,21 +61,22 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
-def _record(kind: str, page: int, url: str | None, date: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _record(name: uuid.UUID, kind: str, page: int | None, url: str | None, date: str, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
+    line = lambda u: u.replace("\r", "%0D").replace("\n", "%0A")  # noqa: E731  a head line can hold no line breaks
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>", f"WARC-Date: {date}",
-        f"WARC-Page-ID: {page}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {date}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
     ]
+    if page is not None:
+        head.append(f"WARC-Page-ID: {page}")
     if url is not None:
-        # a head line can hold no line breaks
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        head.append("WARC-Target-URI: " + line(url))
     if kind == "revisit":
-        head += [
-            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"WARC-Refers-To-Page-ID: {refers_to}",
-        ]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Date: {date}", f"WARC-Refers-To-Page-ID: {refers_to}"]
+        if refers_url is not None:
+            head.append("WARC-Refers-To-Target-URI: " + line(refers_url))
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -88,30 +93,32 @@ def parse(record: bytes) -> tuple:
     digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
     kind = fields["warc-type"]
     if kind != "revisit" and (len(payload) != stated or hashlib.sha1(payload).hexdigest() != digest):
-        raise ValueError(f"payload of page {fields['warc-page-id']} does not match its digest")
-    to = fields.get("warc-refers-to-page-id")
-    return int(fields["warc-page-id"]), fields.get("warc-target-uri"), kind, stated, digest, None if to is None else int(to)
+        raise ValueError(f"payload of record {fields['warc-record-id']} does not match its digest")
+    number = lambda name: None if name not in fields else int(fields[name])
+    return number("warc-page-id"), fields.get("warc-target-uri"), kind, stated, digest, number("warc-refers-to-page-id")
 
 
 def _writer(folder: str, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(folder)
-        out, name, at = None, None, 0
+        out, name, own, at = None, None, None, 0
         for batch in batches:
             rows = []
-            for key, page, url, html, kind, digest, to in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, page, url, html, kind, digest, to, to_url in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None or at >= ARCHIVE_BYTES:
                     if out is not None:
                         out.close()
                     system.create_dir(root, recursive=True)
-                    name, at = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
+                    own = uuid.uuid4()
+                    name, at = f"{root}/{own.hex}.warc.gz", 0
                     out = system.open_output_stream(name, compression=None)
-                data = gzip.compress(_record(kind, page, url, date, (html or "").encode(), digest, to), 6, mtime=0)
+                data = gzip.compress(_record(uuid.uuid5(own, str(at)), kind, page, url, date, (html or "").encode(), digest, to, to_url), 6, mtime=0)
                 out.write(data)
                 rows.append((key, page, name, at, len(data)))
                 at += len(data)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["key", "page_id", "archive", "start", "size"])
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["key", "page_id", "archive", "start", "size"])
         if out is not None:
             out.close()
 
@@ -121,19 +128,21 @@ def _writer(folder: str, date: str):
 def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write the records; returns the captures (key, page_id, archive, start, size), already materialised."""
     payload = F.coalesce(F.encode(F.col(html_col).cast("string"), "UTF-8"), F.lit(b""))
-    rows = pages.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"),
-        F.sha1(payload).alias("digest"), F.sha2(payload, 256).alias("same"), F.octet_length(payload).alias("n"),
-    )
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), F.sha1(payload).alias("digest"), payload.alias("payload"))
+    large = F.octet_length("payload") >= revisit_bytes
+    known = lambda df: df.withColumn("same", F.unhex(F.sha2("payload", 256))).drop("payload")
     # groups of one need no decision: only payloads that occur again are joined back
-    again = rows.where(F.col("n") >= revisit_bytes).groupBy("same").agg(F.max("page_id").alias("best"), F.count("*").alias("times")).where("times > 1").select("same", "best")
-    rows = rows.join(again, "same", "left")
-    kind = F.when(F.col("best").isNotNull() & (F.col("page_id") != F.col("best")), "revisit").otherwise("response")
-    rows = rows.withColumn("kind", kind)
-    made = rows.select(
-        url_key(F.col("url")).alias("key"), "page_id", "url", "html", "kind", "digest", F.when(F.col("kind") == "revisit", F.col("best")).alias("refers_to")
-    )
-    return materialise(made.mapInArrow(_writer(f"{folder}/archives", date), _CAPTURE), "captures")
+    groups = known(rows.where(large)).groupBy("same").agg(F.max("page_id").alias("best"), F.count("*").alias("times"), F.max_by("url", "page_id").alias("best_url"))
+    again = materialise(groups.where("times > 1 and best is not null").select("same", "best", "best_url"), "payloads")
+    made = lambda df, kind, to, to_url: df.select(url_key(F.col("url")).alias("key"), "page_id", "url", "html", kind.alias("kind"), "digest", to.alias("refers_to"), to_url.alias("refers_url"))
+    revisit = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
+    decided = lambda df: made(df, F.when(revisit, "revisit").otherwise("response"), F.when(revisit, F.col("best")), F.when(revisit, F.col("best_url")))
+    if again.count() <= BROADCAST_PAYLOADS:
+        written = decided(known(rows.withColumn("payload", F.when(large, F.col("payload")))).join(F.broadcast(again), "same", "left"))
+    else:
+        small = made(rows.where(~large), F.lit("response"), F.lit(None).cast("long"), F.lit(None).cast("string"))
+        written = decided(known(rows.where(large)).join(again, "same", "left")).unionByName(small)
+    return materialise(written.mapInArrow(_writer(f"{folder}/archives", date), _CAPTURE), "captures")
 
 
 def _index_writer(folder: str):
@@ -237,9 +246,26 @@ def _reader(folder: str):
     return run
 
 
+def _router(ranges):
+    """The index files that may hold each key; files are in the order of their ranges, which meet in one key at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, firsts, lasts = ranges.value
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            out = [(names[i], key) for key in keys for i in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["file", "key"])
+
+    return run
+
+
 def lookup(keys: DataFrame, ranges: DataFrame, folder: str) -> DataFrame:
-    """The captures of the keys (column key). ranges: as :func:`write_index` returns them, a row per index file."""
-    wanted = keys.select("key").distinct().join(F.broadcast(ranges), F.expr("key >= first_key and key <= last_key")).select("file", "key")
+    """The captures of the keys (column key). ranges: as :func:`write_index` returns them; a row per index file is all that the driver holds."""
+    held = sorted((r["first_key"], r["last_key"], r["file"]) for r in ranges.collect())
+    firsts, lasts, names = zip(*held) if held else ((), (), ())
+    table = keys.sparkSession.sparkContext.broadcast((names, firsts, lasts))
+    wanted = keys.select("key").distinct().mapInArrow(_router(table), "file string, key string")
     return wanted.groupBy("file").applyInArrow(_searcher(folder), _CAPTURE)
 
 
