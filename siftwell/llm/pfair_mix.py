@@ -14,7 +14,8 @@ part of a class and a join, by broadcast only where blocks are counted few (``BR
 Weights given: sources without one share ``rest_weight`` as one class. None given: every source is a class and weighs its
 count to the power ``temperature``. A class of weight zero comes after all others. A null source belongs to the rest. With a
 ``period``, weights are first rounded to whole numbers over it (at least one each), so that the schedule repeats.
-Rows of equal id are ordered by their text's hash; those equal in both get distinct, interchangeable places.
+Rows of equal id are ordered by their text's hash; those equal in both get distinct, interchangeable places. The rest is a class apart even
+from a source that bears its name.
 An empty table gives an empty result.
 """
 
@@ -38,6 +39,7 @@ SALT_BITS = 10
 #: Slots of at most this many blocks are broadcast, else documents meet them in a join by shuffle.
 BROADCAST_BLOCKS = 200_000
 REST = "(rest)"
+_NAMED = "="  # before the names of sources, so that none is the rest's
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -159,11 +161,11 @@ def place(rows: DataFrame, weights, rest_weight, block_docs, period, temperature
     """The columns of the schedule beside all of ``rows``, which hold ``source``, ``order`` and ``tie``."""
     spark = rows.sparkSession
     if weights is None:
-        of_class = F.coalesce("source", F.lit(REST))
+        of_class = F.coalesce(F.concat(F.lit(_NAMED), "source"), F.lit(REST))
     else:
-        weights = {c: float(w) for c, w in weights.items() if w > 0}
-        known = F.col("source").isin(list(weights)) if weights else F.lit(False)
-        of_class = F.when(known, F.col("source")).otherwise(F.lit(REST))
+        weights = {_NAMED + c: float(w) for c, w in weights.items() if w > 0}
+        own = F.concat(F.lit(_NAMED), "source")
+        of_class = F.when(own.isin(list(weights)) if weights else F.lit(False), own).otherwise(F.lit(REST))
     salted = rows.withColumn("class", of_class).withColumn("salt", F.shiftrightunsigned("order", 64 - SALT_BITS).cast("int"))
     sizes = materialise(salted.groupBy("class", "salt").agg(F.count("*").alias("n")), "mix-sizes")
     total = sizes.groupBy("class").agg(F.sum("n").alias("n"))
@@ -187,4 +189,5 @@ def place(rows: DataFrame, weights, rest_weight, block_docs, period, temperature
         .withColumn("block", F.expr(f"rank div {block_docs}"))
     )
     placed = ranked.join(slots, F.expr("class = tclass and block = tblock"))
-    return placed.withColumn("position", F.expr(f"slot * {block_docs} + rank % {block_docs}"))
+    name = F.when(F.col("class") == REST, REST).otherwise(F.substring("class", len(_NAMED) + 1, 1 << 30))
+    return placed.withColumn("position", F.expr(f"slot * {block_docs} + rank % {block_docs}")).withColumn("class", name)
