@@ -11,8 +11,8 @@ text count as one page (``distinct``), so that copies of a document do not make
 lines all go keeps an empty text.
 
 What grows is pre-aggregated before each shuffle: pages per host, and pages per (host, line); of distinct texts only the
-lines' hashes are shuffled. A host
-has at most (lines of a page) / ``max_ratio`` boilerplate lines; where all hosts' together are few
+lines' hashes are shuffled, and the lines of a host meet its total in salted parts. A host
+has at most (lines of a page) / ``max_ratio`` boilerplate lines, in a table of ``SLOTS`` lists by hash, so that a line is compared with few of them; where all hosts' together are few
 (``broadcast_rows``, counted first) they are broadcast and texts are not shuffled at all, else texts meet
 them in a join on the host, whose hot hosts are salted.
 """
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 _WORD = r"[^\x20\x09-\x0D]"
+#: Lists of a host's table of boilerplate lines, and parts of a host in the join with its total.
+SLOTS, SALTS = 256, 32
 
 
 def _lines(text: Column) -> Column:
@@ -35,8 +37,12 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
+def _slot(key: Column) -> Column:
+    return F.pmod(key["a"], F.lit(SLOTS)).cast("int")
+
+
 def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int, distinct: bool = True) -> DataFrame:
-    """host and the keys of its boilerplate lines. pages: columns host and text."""
+    """host, ``keys`` (the keys of its boilerplate lines, an array of SLOTS arrays) and their number n. pages: columns host and text."""
     rows = pages.where("host is not null")
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: x.rlike(_WORD)), _key))
     lines, content = rows.select("host", keys.alias("keys")), _key(F.col("text")).alias("content")
@@ -45,8 +51,14 @@ def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int, distinct: bo
         rows = rows.select("host", content).distinct()
     totals = rows.groupBy("host").agg(F.count("*").alias("total"))
     counts = lines.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    common = counts.join(totals, "host").where(F.col("n") > max_ratio * F.col("total"))
-    return common.groupBy("host").agg(F.collect_list("key").alias("keys"))
+    parts = totals.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    common = counts.withColumn("part", F.pmod(F.col("key.b"), F.lit(SALTS)).cast("int")).join(parts, ["host", "part"]).where(F.col("n") > max_ratio * F.col("total"))
+    slots = common.groupBy("host", _slot(F.col("key")).alias("slot")).agg(F.collect_list("key").alias("own"))
+    filled = F.map_from_entries(F.collect_list(F.struct("slot", "own")))
+    by_host = slots.groupBy("host").agg(filled.alias("filled"), F.sum(F.size("own")).alias("n"))
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    table = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.try_element_at("filled", i), none))
+    return by_host.select("host", table.alias("keys"), "n")
 
 
 def drop_boilerplate(
@@ -59,13 +71,13 @@ def drop_boilerplate(
     at = dict(zip(names, inner))
     rows = docs.toDF(*inner).withColumn("host", F.col(at[host_col]).cast("string")).withColumn("text", F.col(at[text_col]).cast("string"))
     found = materialise(boilerplate(rows.select("host", "text"), max_ratio, min_pages, distinct), "line-dedup")
-    lines = found.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]
+    lines = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     if lines <= broadcast_rows:
         joined = rows.join(F.broadcast(found), "host", "left")
     else:
         spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64(at[id_col], "text"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
-    kept = F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.col("keys"), _key(x)) | ~x.rlike(_WORD))
+    kept = F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.get("keys", _slot(_key(x))), _key(x)) | ~x.rlike(_WORD))
     joined = joined.withColumn("kept", F.when(F.col("keys").isNull(), _lines(F.col("text"))).otherwise(kept))
     columns = [F.array_join("kept", "\n").alias(b) if b == text_col else F.col(a).alias(b) for a, b in zip(inner, names)]
     n_lines = F.coalesce(F.size(_lines(F.col("text"))), F.lit(0))
