@@ -7,6 +7,7 @@ whole UTF-8 texts can be cut as bytes (``bytes.split()`` has exactly this set).
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
 import tempfile
 import uuid
@@ -28,10 +29,12 @@ PLACE = np.random.default_rng(20240102).integers(1, 1 << 62, 256, dtype=np.uint6
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the session names none (tests on one machine), a temporary folder is set.
+    Where the session names none, a temporary folder is set on one machine (tests); on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = getattr(spark, "_siftwell_shared", None)
         if not folder:
             folder = spark._siftwell_shared = "file://" + tempfile.mkdtemp(prefix="siftwell-")
@@ -47,7 +50,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    written = df.sparkSession.read.schema(df.schema).parquet(folder)
+    written._siftwell_folder = folder
+    return written
+
+
+def forget(*written: DataFrame) -> None:
+    """Remove the files of materialised frames that nothing will read again."""
+    for df in written:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._siftwell_folder)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import forget, materialise
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -19,11 +19,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     state = _state(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # written, so that the joins meet plain shuffles, which may be split where a node has very many neighbours
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        large = materialise(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        pairs = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        before, pairs = pairs, materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        forget(before, least, large, low)
         now = _state(pairs)
         if now == state:
             break

@@ -17,10 +17,11 @@ where the Jaccard similarity is at least the threshold; a link is only made on f
    document that shares too few shingles with all others of its cluster is set aside before. Buckets and
    clusters beyond a size are cut into blocks, each pair of blocks a group of its own, so that no task grows with them.
 
-Clusters, links and components stay distributed; texts move once, and only those of clusters.
+Clusters, links and components stay distributed. Texts move once: where clusters have at most ``BROADCAST_NODES`` rows only their texts,
+else those of the whole table meet the clusters by a shuffle.
 
-Null text is the empty text. A null doc_id takes no part: component null, kept. Rows of equal doc_id are one
-node. An empty table gives an empty result.
+Null text is the empty text. A null doc_id takes no part: component null, kept. Rows of equal doc_id that hold words are one
+node, so different texts of one id are linked; a row without words keeps its own id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -330,8 +331,14 @@ def classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str
         F.col("doc_id").alias("node"), "bands", "sketch", "n_shingles"
     )
     clusters = _clusters(nodes, threshold)
-    parts = components(materialise(_links(texts.where("doc_id is not null"), nodes, clusters, words, threshold), "links"))
+    links = _links(texts.where("doc_id is not null"), nodes, clusters, words, threshold)
     keyed = signed.select("doc_id", "same", "n_shingles").join(same.withColumnRenamed("node", "first"), "same", "left")
+    keyed = materialise(keyed.select("doc_id", "n_shingles", "first"), "keyed")
+    # an id with several texts ties their classes together
+    own = keyed.where("doc_id is not null and first is not null")
+    low = own.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("last")).where("a < last").select("doc_id", "a")
+    ties = own.join(low, "doc_id").where("first <> a").select("a", F.col("first").alias("b"))
+    parts = components(materialise(links.unionByName(ties), "links"))
     found = keyed.join(parts.withColumnRenamed("node", "first"), "first", "left")
     component = F.when(F.col("n_shingles") > 0, F.least(F.coalesce("component", "first"), "doc_id")).otherwise(F.col("doc_id"))
     out = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))

@@ -19,6 +19,9 @@ RULES = (
     url_filter.Rule("net", "/fr/", "block"),
 )
 
+#: Target weights of the mix: four sources by name, all others share the rest.
+TARGETS, TARGET_REST = {"src0": 0.2, "src1": 0.15, "src2": 0.1, "src3": 0.05}, 0.5
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,7 +49,7 @@ def op5_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pfair_mix.mix(_table(spark, sf_dir, "documents"))
+    return pfair_mix.mix(_table(spark, sf_dir, "documents"), TARGETS, TARGET_REST)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

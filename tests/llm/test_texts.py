@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.llm import common, line_dedup, near_dedup, pfair_mix, quality_rules, substring_dedup
+from siftwell.llm import common, line_dedup, near_dedup, pfair_mix, quality_rules, queries, substring_dedup
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -238,6 +238,13 @@ def test_sketch_estimates_similarity():
     assert near_dedup.band_plan(0.85) == (5, 25) and near_dedup.band_plan(0.8) == (4, 32)
 
 
+def test_texts_of_one_id_are_linked(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue white black grey")
+    rows = [(3, a), (5, a), (5, b), (8, b), (5, ""), (9, c), (9, c), (11, b), (11, c), (1, None)]
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.classes(frame(spark, rows), 3, 0.85).collect())
+    assert got == Counter([(3, 3, True), (5, 3, False), (5, 3, False), (8, 3, False), (5, 5, True), (9, 3, False), (9, 3, False), (11, 3, False), (11, 3, False), (1, 1, True)])
+
+
 def test_keep_first_keeps_columns(spark):
     rows = frame(spark, [(1, "a b c d e f"), (2, "A b c d e f"), (3, "x"), (None, "a b c d e f"), (4, None)], gone="clash", c0=1)
     out = near_dedup.keep_first(rows)
@@ -268,6 +275,10 @@ def test_line_dedup_against_brute_force(spark):
     for limit in (50_000, 0):  # broadcast, and salted join
         got = {r[0]: tuple(r[1:]) for r in line_dedup.digest(df, broadcast_rows=limit).collect()}
         assert got == want
+    twice = line_dedup.digest(df.unionByName(df.where("doc_id < 40"))).where("doc_id < 40").groupBy("doc_id").count().collect()
+    assert all(r["count"] == 2 for r in twice)  # rows of equal id are pages of their own
+    long = spark.createDataFrame([(i, "h", "x" * 300_000 + "\nown %d" % i) for i in range(5)], "doc_id long, source string, text string")
+    assert sorted(r["text"] for r in line_dedup.drop_boilerplate(long).collect()) == [f"own {i}" for i in range(5)]
     out = line_dedup.drop_boilerplate(df)
     assert out.columns[:6] == df.columns and out.count() == 300
     assert not line_dedup.drop_boilerplate(df.limit(0)).collect()
@@ -341,6 +352,21 @@ def test_mix_has_a_class_for_every_source(spark, monkeypatch):
     assert {(r["doc_id"], r["position"]) for r in pfair_mix.mix(df, block_docs=1).collect()} == {(r["doc_id"], r["position"]) for r in out}
 
 
+def test_registered_mix_keeps_to_its_targets(spark, sf):
+    out = queries.op6_pfair_mix(spark, f"{sf}/../sf0.01").collect()
+    assert off_by(out, {**queries.TARGETS, "(rest)": queries.TARGET_REST}) < 1
+
+
+def test_a_source_named_like_the_rest_is_a_class(spark):
+    df = spark.createDataFrame([(i, ["(rest)", "=", None][i % 3], "t") for i in range(300)], "doc_id long, source string, text string")
+    out = pfair_mix.mix(df, block_docs=10).collect()
+    assert len({(r["slot"]) for r in out}) == 30 and Counter(r["class"] for r in out) == {"(rest)": 200, "=": 100}
+    by = defaultdict(set)
+    for r in out:
+        by[r["slot"]].add(r["source"])
+    assert all(len(v) == 1 for v in by.values())
+
+
 def test_schedule_follows_the_fluid_when_classes_end():
     rng = random.Random(4)
     for _ in range(30):
