@@ -157,7 +157,7 @@ def in_role_family(title: Column, allow: str = K.ROLE_ALLOW, deny: str = K.ROLE_
 
 def is_internship(title: Column, employment_type: Column) -> Column:
     kind = F.regexp_replace(F.lower(strip(or_empty(employment_type))), " ", "")
-    return has(title, K.INTERNSHIP_TITLE) | kind.isin(*K.INTERNSHIP_TYPES, "co-op")
+    return has(title, K.INTERNSHIP_TITLE) | kind.isin(*K.INTERNSHIP_TYPES)
 
 
 def is_sandbox(tenant: Column) -> Column:

@@ -12,6 +12,10 @@ from . import fixed as K
 from .text import collapse, has, let, or_empty, strip
 
 
+#: Patterns of a vocabulary that is given as a table.
+PATTERNS = 5000
+
+
 def needed(pattern: str) -> str:
     """An upper-case string that every match of a pattern begins with ("" if there is none to tell)."""
     plain = re.sub(r"\\b", "", pattern)
@@ -33,13 +37,18 @@ def tokens_in(text: Column, vocabulary: dict[str, tuple[str, ...]] = K.VOCABULAR
 
 
 def tokens_by_join(texts: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and token, by joining texts with a table of (token, pattern): for vocabularies too large for one expression.
+    """id and token, a row for each token of a table (token, pattern) that a text states.
 
-    The vocabulary is a parameter table whose size does not depend on the data, so it is broadcast; every text meets every
-    pattern, which is what matching a vocabulary means.
+    The vocabulary is a parameter table: its patterns, counted to be at most ``PATTERNS``, become one expression in which each is compiled
+    once a task. No join, no shuffle.
     """
-    v = F.broadcast(vocabulary.select(F.col("token"), F.concat(F.lit(K.FLAGS), F.col("pattern")).alias("pattern")))
-    return texts.select(F.col(id_col), F.col(text_col)).join(v, F.expr(f"`{text_col}` rlike pattern")).select(id_col, "token").distinct()
+    rows = vocabulary.select("token", "pattern").distinct().limit(PATTERNS + 1).collect()
+    if len(rows) > PATTERNS:
+        raise ValueError(f"a vocabulary of more than {PATTERNS} patterns is no parameter")
+    patterns: dict[str, tuple[str, ...]] = {}
+    for r in sorted(rows):
+        patterns[r["token"]] = (*patterns.get(r["token"], ()), r["pattern"])
+    return texts.select(F.col(id_col), F.explode(tokens_in(F.col(text_col), patterns)).alias("token"))
 
 
 def normalise_requirements(requirements: Column, vocabulary: dict[str, tuple[str, ...]] = K.VOCABULARY) -> Column:

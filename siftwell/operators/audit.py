@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as K
 from ..functions.text import around, matches, or_empty, strip
 from ..functions.tokens import tokens_in
+from ..sources.folders import broadcast_small
 
 _NONE = "array<struct<rule:string,detail:string>>"
 
@@ -137,7 +138,7 @@ def structure(bullets: DataFrame, rewrites: DataFrame) -> DataFrame:
 def anachronisms(pairs: DataFrame, released: DataFrame) -> DataFrame:
     """Tokens released after the role began: exploded tokens against the small release table."""
     named = pairs.where(or_empty(F.col("entry_start")) != "").select("doc_id", "bullet_id", "entry_start", F.explode(tokens_in(F.col("rewritten"))).alias("token"))
-    late = named.join(F.broadcast(released), "token").where("released > entry_start")
+    late = named.join(broadcast_small(released, 10_000), "token").where("released > entry_start")
     return late.select("doc_id", "bullet_id", F.lit("v3-temporal").alias("rule"), F.concat_ws(" ", "token", "released").alias("detail"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed as K
 from ..functions.rules import dedupe_key, posting_id
 from ..schemas import STORED, conform
+from ..sources.folders import remove
 
 
 def best_copies(postings: DataFrame, ordinal: str = "ordinal", key: list[Column] | None = None, text: str = "description") -> DataFrame:
@@ -102,8 +103,9 @@ def mark_applied(corpus: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def save_interpretations(corpus: DataFrame, updates: DataFrame) -> DataFrame:
-    """interpretation from updates (id, payload; one per id); unknown ids do nothing."""
-    u = updates.select("id", F.col("payload").alias("_payload"))
+    """interpretation from updates (id, payload, and perhaps at); unknown ids do nothing. Of several updates of an id the latest counts, or without ``at`` the largest."""
+    newest = F.max_by("payload", "at") if "at" in updates.columns else F.max("payload")
+    u = updates.groupBy("id").agg(newest.alias("_payload"))
     return corpus.join(u, "id", "left").withColumn("interpretation", F.coalesce("_payload", "interpretation")).select(*corpus.columns)
 
 
@@ -132,11 +134,13 @@ def open_rows(corpus: DataFrame) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, folder: str, keep: int = 3) -> str:
-    """Write a snapshot in a directory of its own, then a pointer row: readers see all of it or the one before."""
-    run = uuid.uuid4().hex
+    """Write a snapshot in a directory of its own, then a pointer row: readers see all of it or the one before. The last ``keep`` stay."""
+    run, spark = uuid.uuid4().hex, df.sparkSession
     df.write.parquet(f"{folder}/run={run}")
     pointer = df.sparkSession.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("at"))
     pointer.write.mode("append").parquet(f"{folder}_pointer")
+    for old in spark.read.parquet(f"{folder}_pointer").orderBy(F.desc("at")).select("run").collect()[keep:]:
+        remove(spark, f"{folder}/run={old['run']}")
     return run
 
 

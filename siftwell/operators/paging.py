@@ -11,6 +11,10 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed as K
 from ..functions.text import cap, or_empty
+from ..sources.folders import broadcast_small
+
+#: Rows of a page that are broadcast.
+PAGE_ROWS = 10_000
 
 
 def by_recency(stamp: str, key: str) -> list[Column]:
@@ -53,16 +57,19 @@ def row_filter(levels: Sequence[str] | None = None, posted_after=None, posted_be
 
 
 def filtered_page(rows: DataFrame, where: Column, limit: int, boundary: tuple | None = None, stamp: str = "posted_at", key: str = "posting_id") -> DataFrame:
-    """A page of the matching rows, and how many match in all (``matched``, over the whole view, not below the boundary)."""
+    """A page of the matching rows, and how many match in all (``matched``, over the whole view, not below the boundary).
+
+    rows are those of a published generation: they are read twice, for the count and for the page.
+    """
     hits = rows.where(where)
     matched = hits.agg(F.count("*").alias("matched"))
     return page(hits, limit, stamp, key, boundary).join(matched, F.lit(True))
 
 
 def hydrate(page_rows: DataFrame, corpus: DataFrame, key: str = "posting_id", corpus_key: str = "id") -> DataFrame:
-    """The postings of a page (open or closed); rows whose posting is missing drop out. The page is bounded by its limit."""
+    """The postings of a page (open or closed); rows whose posting is missing drop out. A page is broadcast; more rows than that are an ordinary join."""
     own = [c for c in corpus.columns if c not in page_rows.columns or c == corpus_key]
-    return corpus.select(*own).join(F.broadcast(page_rows), F.col(corpus_key) == F.col(key), "inner")
+    return corpus.select(*own).join(broadcast_small(page_rows, PAGE_ROWS), F.col(corpus_key) == F.col(key), "inner")
 
 
 def source_filter(sources: Sequence[str]) -> Column:
@@ -77,7 +84,8 @@ def tier_filter(tiers: Sequence[str], profile: str | None) -> Column:
 
 
 def top_of_each(rows: DataFrame, group: str, n: int, stamp: str = "posted_at", key: str = "posting_id") -> DataFrame:
-    """The first n of each group in recency order, with ``total`` and ``more``. The count is a pre-aggregated join, not a window."""
+    """The first n of each group in recency order, with ``total`` and ``more``. The count is a pre-aggregated join, not a window;
+    rows are those of a published generation, which are read twice."""
     totals = rows.groupBy(group).agg(F.count("*").alias("total"))
     ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(*by_recency(stamp, key)))).where(F.col("nth") <= n)
     return ranked.join(totals, group).withColumn("more", F.col("total") > n)
@@ -160,7 +168,20 @@ def lookup(corpus: DataFrame, key: str, value) -> DataFrame:
 
 
 def by_url(postings: DataFrame, urls: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """For each wanted url (a small table of requests) the first posting whose url contains its last path segment or whose req_id is it."""
-    w = urls.select(F.col("url").alias("wanted"), F.element_at(F.filter(F.split(F.regexp_replace("url", r"[?#].*$", ""), "/"), lambda s: s != ""), -1).alias("ident"))
-    hit = postings.join(F.broadcast(w), F.expr("contains(url, ident) or req_id = ident"))
-    return hit.groupBy("wanted").agg(F.min_by(F.struct(*postings.columns), ordinal).alias("p")).select("wanted", "p.*")
+    """For each wanted url the first posting whose url contains its last path segment or whose req_id is it.
+
+    An equi-join of the segments with all pieces of the postings' urls that have a segment's length, and with the req_ids.
+    """
+    ident = F.try_element_at(F.filter(F.split(F.regexp_replace("url", r"[?#].*$", ""), "/"), lambda s: s != ""), F.lit(-1))
+    wanted = urls.select(F.col("url").alias("wanted"), ident.alias("ident")).where("ident is not null").distinct()
+    # the distinct lengths are a few small numbers, bounded by the length of a url
+    lengths = [r["n"] for r in wanted.select(F.length("ident").alias("n")).distinct().collect()]
+
+    def pieces_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("url") - n + 1, F.lit(1))), lambda i: F.substring(F.col("url"), i, F.lit(n)))
+
+    none = F.array().cast("array<string>")
+    keys = F.array_distinct(F.array_compact(F.concat(F.array("req_id"), *(F.coalesce(pieces_of(n), none) for n in lengths))))
+    row = F.struct(*postings.columns)
+    hit = postings.select(F.col(ordinal).alias("_at"), row.alias("p"), F.explode(keys).alias("ident")).join(wanted, "ident")
+    return hit.groupBy("wanted").agg(F.min_by("p", "_at").alias("p")).select("wanted", "p.*")

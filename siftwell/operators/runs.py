@@ -45,10 +45,10 @@ def daily_run(corpus: DataFrame, fetch: DataFrame, sources: DataFrame, now: Colu
     stored = lifecycle.read_snapshot(spark, f"{folder}/corpus")
     screened = screening.screen(stored.where("closed_at is null"), wanted)
     rows = screening.stamp_first_seen(screening.view_rows(screened), stored)
-    head = screening.summary(screened, rows, F.lit(stored.count()), now)
-    generation = screening.publish(rows, head, f"{folder}/views")
+    generation = screening.publish(rows, f"{folder}/views", F.lit(stored.count()), now)
+    published = screening.read_generation(spark, f"{folder}/views", generation)  # the screen runs once: what follows reads its rows
     _, new = lifecycle.split_known(best, corpus)
-    todays = scoring.digest(screened.where("kept"), new, most)
+    todays = scoring.digest(published.where("view = 'kept'").withColumnRenamed("posting_id", "id"), new, most)
     counts = (
         fetch.agg(F.count("*").alias("fetched")).join(best.agg(F.count("*").alias("unique")), F.lit(True))
         .join(new.agg(F.count("*").alias("new")), F.lit(True)).join(lifecycle.source_health(sources), F.lit(True))
@@ -83,26 +83,41 @@ def detail(corpus: DataFrame, key: str, mine: Sequence[str] | None = None, wante
     return scoring.score(screening.screen(paging.lookup(corpus, "id", key), wanted), mine).withColumn("first_seen", F.lit(None).cast("timestamp"))
 
 
-def snapshot(rows: DataFrame, corpus: DataFrame, most: int = 5000) -> DataFrame:
-    """The published document in one row: items, internships (cards without prose, at most ``most`` each), gates and facets.
+#: The published collections and the views they show.
+COLLECTIONS = {"items": "kept", "internships": "internships"}
+
+
+def collection(rows: DataFrame, corpus: DataFrame, view: str) -> DataFrame:
+    """All cards of a view, without prose, laid out by ranges in recency order."""
+    shown = paging.project(paging.card(corpus.join(rows.where(F.col("view") == view).select("posting_id", "level", "level_source", "level_why"), F.col("id") == F.col("posting_id"))), paging.CARD_FIELDS)
+    order = paging.by_recency("postedAt", "id")
+    return shown.repartitionByRange(*order).sortWithinPartitions(*order)
 
-    A public page's worth of data, bounded by ``most``; the view itself stays a table.
-    """
-    def cards(view: str, name: str) -> DataFrame:
-        top = rows.where(F.col("view") == view).orderBy(*paging.by_recency("posted_at", "posting_id")).limit(most)
-        shown = paging.project(paging.card(paging.hydrate(top, corpus)), paging.CARD_FIELDS)
-        return shown.agg(F.array_sort(F.collect_list(F.struct(*shown.columns))).alias(name))
 
+def snapshot_summary(rows: DataFrame, corpus: DataFrame) -> DataFrame:
+    """One row: total of each collection, rows per gate, and facets of the kept rows."""
+    totals = rows.agg(*(F.count_if(F.col("view") == v).alias(f"{n}_total") for n, v in COLLECTIONS.items()))
     gates = rows.where("gate <> ''").groupBy("gate").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("gate", "n")))).alias("gates"))
     kept = rows.where("view = 'kept'").join(corpus.select(F.col("id").alias("posting_id"), "ats"), "posting_id")
     faceted = scoring.facets(kept.withColumn("tier", F.lit(None).cast("string")))
     sides = faceted.agg(F.array_sort(F.collect_list(F.struct("facet", "value", "n"))).alias("facets"))
-    return cards("kept", "items").join(cards("internships", "internships"), F.lit(True)).join(gates, F.lit(True)).join(sides, F.lit(True))
+    return totals.join(gates, F.lit(True)).join(sides, F.lit(True))
 
 
-def write_document(document: DataFrame, folder: str) -> None:
-    """The one-row document as JSON."""
-    document.coalesce(1).write.mode("overwrite").json(folder)
+def write_document(rows: DataFrame, corpus: DataFrame, folder: str) -> None:
+    """The published document as JSON: a folder of cards for each collection, whole, and a one-row summary written last.
+
+    The rows written must equal the totals, else the job fails and no summary is there.
+    """
+    spark = rows.sparkSession
+    head = snapshot_summary(rows, corpus)
+    totals = head.first()
+    for name, view in COLLECTIONS.items():
+        collection(rows, corpus, view).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}")
+        written = spark.read.schema("id string").json(f"{folder}/{name}").count()
+        if written != totals[f"{name}_total"]:
+            raise ValueError(f"{name}: wrote {written} of {totals[f'{name}_total']} rows")
+    head.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
 
 
 def compare_with_rank(screened: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from ..functions.rules import (
 )
 from ..functions.text import stamp
 from ..schemas import VIEW_VERSION
+from ..sources.folders import remove
 
 
 def screen(postings: DataFrame, wanted: Sequence[str] = K.JUNIOR_BANDS, include_internships: bool = False, sandbox_key: str = "company") -> DataFrame:
@@ -51,10 +52,9 @@ def funnel(screened: DataFrame) -> DataFrame:
 
 
 def gate_counts(screened: DataFrame) -> DataFrame:
-    """gate and n, a row per gate, zero where none failed. A row counts once per failed gate."""
-    counts = screened.select(F.explode("exclusions").alias("gate")).groupBy("gate").agg(F.count("*").alias("n"))
-    gates = screened.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, K.GATES))).alias("gate"))
-    return gates.join(counts, "gate", "left").select("gate", F.coalesce("n", F.lit(0)).alias("n"))
+    """gate and n, a row per gate, zero where none failed. A row counts once per failed gate. One aggregate, turned into rows."""
+    counts = screened.agg(*(F.count_if(F.array_contains("exclusions", g)).alias(g) for g in K.GATES))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(g).alias("gate"), F.col(g).alias("n")) for g in K.GATES))).alias("x")).select("x.*")
 
 
 def _view_row(rows: DataFrame, view: Column, gate: Column) -> DataFrame:
@@ -64,19 +64,20 @@ def _view_row(rows: DataFrame, view: Column, gate: Column) -> DataFrame:
     return rows.withColumn("gate", gate).select(
         view.alias("view"), "posted_at", c("id").alias("posting_id"), "kept", c("level.level").alias("level"), c("level.source").alias("level_source"),
         explain_level(c("level")).alias("level_why"), c("eligible.checked").alias("eligibility_checked"), c("eligible.sponsorship").alias("sponsorship"),
-        "gate", F.when(c("gate") == "", "").otherwise(reason).alias("reason"), F.when(c("gate") == "", "").otherwise(quote).alias("quote"),
+        "gate", F.when(c("gate") == "", "").otherwise(reason).alias("reason"), F.when(c("gate") == "", "").otherwise(quote).alias("quote"), "leads",
     )
 
 
 def view_rows(screened: DataFrame) -> DataFrame:
     """One row per (posting, view): kept ones, internships that fail nothing else, and one per failed gate.
 
-    A single explode of the views a row belongs to; the screen runs once.
+    A single explode of the views a row belongs to; the screen runs once. ``leads`` marks one row of each posting, so that
+    postings can be counted on the rows.
     """
     gate = F.col("_view")
     internship = F.when((F.array_size("exclusions") == 1) & F.array_contains("exclusions", K.GATES[2]), F.lit("internships"))
     views = F.array_compact(F.concat(F.array(F.when(F.col("kept"), "kept"), internship), F.col("exclusions")))
-    rows = screened.withColumn("_view", F.explode(views))
+    rows = screened.select("*", F.posexplode(views).alias("_at", "_view")).withColumn("leads", F.col("_at") == 0)
     # an internship is kept once that one gate is off
     rows = rows.withColumn("kept", F.col("kept") | (gate == "internships"))
     return _view_row(rows, gate, F.when(gate.isin(*K.GATES), gate).otherwise(""))
@@ -88,21 +89,31 @@ def stamp_first_seen(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     return rows.drop("first_seen").join(seen, "posting_id", "left")
 
 
-def summary(screened: DataFrame, rows: DataFrame, corpus_size: Column, now: Column) -> DataFrame:
-    """The one-row summary of a generation."""
-    gates = gate_counts(screened).agg(F.map_from_entries(F.collect_list(F.struct("gate", "n"))).alias("gates"))
-    held = rows.agg(F.count_if(F.col("view") == "internships").alias("internship_total"))
-    return funnel(screened).join(gates, F.lit(True)).join(held, F.lit(True)).select(
-        stamp(now).alias("generation"), now.alias("screened_at"), corpus_size.alias("corpus_size"), F.col("total").alias("screened"), "kept", "excluded",
-        "gates", "needs_level_check", F.col("kept").alias("eligible_total"), "internship_total", F.lit(VIEW_VERSION).alias("view_version"),
+def summary(rows: DataFrame, corpus_size: Column, now: Column) -> DataFrame:
+    """The one-row summary of a generation, all of it counted in one pass over its view rows."""
+    view, kept = F.col("view"), F.col("view") == "kept"
+    counts = rows.agg(
+        F.count_if("leads").alias("screened"), F.count_if(kept).alias("kept"), F.count_if(F.col("leads") & ~kept).alias("excluded"),
+        F.count_if(kept & (F.col("level") == "unknown")).alias("needs_level_check"), F.count_if(view == "internships").alias("internship_total"),
+        *(F.count_if(view == g).alias(g) for g in K.GATES),
     )
+    gates = F.create_map(*(c for g in K.GATES for c in (F.lit(g), F.col(g))))
+    # an internship leads with the view of its own, so that it counts once
+    return counts.select(
+        stamp(now).alias("generation"), now.alias("screened_at"), corpus_size.alias("corpus_size"), "screened", "kept", "excluded",
+        gates.alias("gates"), "needs_level_check", F.col("kept").alias("eligible_total"), "internship_total", F.lit(VIEW_VERSION).alias("view_version"),
+    )
+
 
+def publish(rows: DataFrame, folder: str, corpus_size: Column, now: Column) -> str:
+    """Write a generation's rows, then its summary, counted on what was written: the screen behind the rows runs once.
 
-def publish(rows: DataFrame, head: DataFrame, folder: str) -> str:
-    """Write a generation's rows, then its summary: readers go by the summary, so a half-written one is not seen."""
-    generation = head.first()["generation"]
+    Readers go by the summary, so a half-written generation is not seen.
+    """
+    generation = rows.sparkSession.range(1).select(stamp(now).alias("g")).first()["g"]
     rows.write.mode("overwrite").partitionBy("view").parquet(f"{folder}/rows/generation={generation}")
-    head.write.mode("append").parquet(f"{folder}/summary")
+    written = rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows/generation={generation}")
+    summary(written, corpus_size, now).write.mode("append").parquet(f"{folder}/summary")
     return generation
 
 
@@ -125,10 +136,19 @@ def read_generation(spark: SparkSession, folder: str, generation: str) -> DataFr
 
 
 def live_generations(heads: DataFrame, now: Column) -> DataFrame:
-    """Generations younger than three days: the others' partitions may be removed."""
+    """Generations younger than three days."""
     return heads.where(F.col("screened_at") > now - F.expr(f"interval {K.VIEW_DAYS} days")).select("generation")
 
 
+def expire(spark: SparkSession, folder: str, now: Column) -> list[str]:
+    """Remove the rows of generations that are no longer live; their names. Summaries (a row a run) stay."""
+    heads = spark.read.parquet(f"{folder}/summary").select("generation", "screened_at").distinct()
+    gone = sorted(r["generation"] for r in heads.join(live_generations(heads, now), "generation", "left_anti").collect())
+    for generation in gone:
+        remove(spark, f"{folder}/rows/generation={generation}")
+    return gone
+
+
 def evaluate(screened: DataFrame) -> DataFrame:
     """Bands by title markers alone against what is kept: a row per label with labelled, kept and share of kept."""
     from ..functions.rules import title_band

@@ -14,6 +14,10 @@ from ..functions.tokens import normalise_requirements, tokens_in
 from .audit import dropped_text, introduced_tokens, number_problems
 
 
+#: A bank that travels with every task has at most so many characters as JSON.
+BANK_CHARS = 64 << 20
+
+
 def bank_array(variants: DataFrame, budgets: DataFrame | None = None) -> DataFrame:
     """One row: ``bank array<struct<bullet_id, budget, variants array<struct<position, variant_id, text, states, delta>>>>``, by bullet id.
 
@@ -77,6 +81,8 @@ def select(postings: DataFrame, bank: DataFrame, requirements: str = "requiremen
     A fold over the bank's bullets in id order inside each row: sequential in a row, parallel over rows, no shuffle
     but for the bank's one broadcast row.
     """
+    if bank.select(F.coalesce(F.length(F.to_json("bank")), F.lit(0)).alias("n")).first()["n"] > BANK_CHARS:
+        raise ValueError(f"a bank of more than {BANK_CHARS} characters is no parameter")
     rows = postings.join(F.broadcast(bank.select(F.col("bank").alias("_bank"))), F.lit(True)).withColumn("_wanted", normalise_requirements(F.col(requirements)))
     start = F.struct(F.array().cast("array<string>").alias("covered"), F.array().cast(f"array<{_CHOICE}>").alias("choices"))
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +9,20 @@ from ..functions import fixed as K
 from ..functions import text as X
 from ..functions import tokens as N
 from ..functions import urls as U
-from ..operators import audit, backlog, inbox, lifecycle, paging, quality, scoring, screening, selection
+from ..operators import backlog, inbox, lifecycle, paging, quality, scoring, screening
 from ..sources import boards, feeds
+from ..sources.folders import shared_folder
 from ..streaming import postings as S
-from .queries import _CAP, _SCREENED, _VIEWS_SQL, _has, _screened, _view_rows, query
+from .queries import _CAP, _SCREENED, _VIEWS_SQL, _has, _published, _screened, _view_rows, query
 from .templates import DAY_2, DAYS_SQL, POSTINGS_SQL, corpus, fetch, postings, table
 
 # --- sources: payloads made from documents ----------------------------------------------------------------------
 
 
-def _payloads(spark: SparkSession, sf_dir: str, job, wrap: str | None = "jobs") -> DataFrame:
+def _payloads(spark: SparkSession, sf_dir: str, job, wrap: str | None = "jobs", where=None) -> DataFrame:
     """A payload of one job per document; tenant is its source."""
     d = table(spark, sf_dir, "documents")
+    d = d if where is None else d.where(where)
     jobs = F.array(F.struct(*(c.alias(n) for n, c in job(F.col("doc_id")).items())))
     return d.select(F.col("source").alias("tenant"), F.lit("wd1").alias("wd"), F.lit("Jobs").alias("site"), F.to_json(F.struct(jobs.alias(wrap)) if wrap else jobs).alias("payload"))
 
@@ -68,13 +67,13 @@ def title_jobs(spark, sf_dir):
 
 @query(
     "src_7_wrapped_pages",
-    """with p as (select o_custkey % 40 as board, o_orderkey % 12 as page, list_sort(list(distinct o_orderpriority)) as paths from orders where o_orderkey % 60 < 36 and o_custkey % 7 < 2 group by 1, 2),
+    """with p as (select o_custkey as board, o_orderkey // 4000 as page, list_sort(list(distinct o_orderpriority)) as paths from orders group by 1, 2),
       b as (select *, row_number() over (partition by board, paths order by page) > 1 as bad from p), f as (select board, min(page) filter (bad) as first_bad from b group by board)
       select b.board, b.page from b join f on b.board = f.board where f.first_bad is null or b.page < f.first_bad""",
 )
 def wrapped_pages(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 60 < 36 and o_custkey % 7 < 2")
-    pages = o.groupBy((F.col("o_custkey") % 40).alias("board"), (F.col("o_orderkey") % 12).alias("page")).agg(F.collect_set("o_orderpriority").alias("paths"))
+    o = table(spark, sf_dir, "orders")
+    pages = o.groupBy(F.col("o_custkey").alias("board"), F.expr("o_orderkey div 4000").alias("page")).agg(F.collect_set("o_orderpriority").alias("paths"))
     return boards.drop_wrapped_pages(pages, ["board"], "page", "paths").select("board", "page")
 
 
@@ -133,14 +132,14 @@ def scraped_jobs(spark, sf_dir):
 
 @query(
     "src_15_answers",
-    """select doc_id::varchar as round, doc_id::varchar as id, 'entry' as band, case when doc_id % 3 <> 0 then (doc_id % 9)::int end as min_years, doc_id % 3 = 0 as bad_years, md5(substr(text, 1, 50)) as evidence
+    """select doc_id::varchar as round, doc_id::varchar as id, 'entry' as band, case when doc_id % 3 <> 0 then (doc_id % 9)::int end as min_years, doc_id % 3 = 0 as bad_years, md5(text) as evidence
       from documents where doc_id % 4 <> 3""",
 )
 def answers(spark, sf_dir):
     n = F.col("doc_id")
     years = F.when(n % 3 == 0, F.lit("true")).otherwise((n % 9).cast("string"))
-    one = F.concat(F.lit('{"id": "'), n.cast("string"), F.lit('", "band": "entry", "min_years": '), years, F.lit(', "evidence": '), F.to_json(F.array(F.substring("text", 1, 50))), F.lit("}"))
-    one = F.regexp_replace(one, r'"evidence": \[(.*)\]\}$', r'"evidence": $1}')
+    one = F.concat(F.lit('{"id": "'), n.cast("string"), F.lit('", "band": "entry", "min_years": '), years, F.lit(', "evidence": '), F.to_json(F.array("text")), F.lit("}"))
+    one = F.regexp_replace(one, r'(?s)"evidence": \[(.*)\]\}$', r'"evidence": $1}')
     text = F.when(n % 4 == 0, F.concat(F.lit('Here you go: {"answers": ['), one, F.lit("]} done"))).when(n % 4 == 1, F.concat(F.lit("```\n["), one, F.lit("]\n```"))).when(n % 4 == 2, F.concat(F.lit('{"answers": ['), one, F.lit("]}")))
     rows = table(spark, sf_dir, "documents").select(n.cast("string").alias("r"), F.coalesce(text, F.lit("no { answer")).alias("t"))
     return feeds.answers(rows, "r", "t").select("round", "id", "band", "min_years", "bad_years", F.md5("evidence").alias("evidence"))
@@ -346,96 +345,17 @@ def first_seen_faults(spark, sf_dir):
     return quality.first_seen_faults(table(spark, sf_dir, "orders").select(n.alias("key"), stamp.alias("first_seen"))).select("key")
 
 
-# --- selection and audit -----------------------------------------------------------------------------------------------
-
-
-def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants from the benchmark items: sentences of the parameter vocabulary around them."""
-    b = table(spark, sf_dir, "benchmark").where("item_id < 24")
-    said = F.element_at(F.array(*map(F.lit, ("Python", "Kafka and SQL", "Docker", "Go, and React", "Java", "Redis with Kafka"))), (F.col("item_id") % 6 + 1).cast("int"))
-    return b.select(
-        F.concat(F.lit("b"), F.lpad(F.expr("item_id div 3").cast("string"), 2, "0")).alias("bullet_id"), (F.col("item_id") % 3).cast("int").alias("position"),
-        F.concat(F.lit("v"), F.col("item_id").cast("string")).alias("variant_id"), F.concat(said, F.lit(" "), F.substring("text", 1, 40)).alias("text"),
-    )
-
-
-@query("greedy_selection")
-def greedy_selection(spark, sf_dir):
-    """PIPE-11: for every posting one variant per bullet, by the tokens its description names."""
-    bank = selection.bank_array(_bank(spark, sf_dir))
-    wants = postings(spark, sf_dir).select("doc_id", N.tokens_in(F.col("description")).alias("requirements"))
-    out = selection.select(wants, bank)
-    chosen = F.array_join(F.transform("choices", lambda c: c["variant_id"]), ",")
-    return out.select("doc_id", chosen.alias("chosen"), F.array_join("covered", ",").alias("covered"), F.array_join("uncovered", ",").alias("uncovered"))
-
-
-def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d = table(spark, sf_dir, "documents")
-    n, text = F.col("doc_id"), F.substring("text", 1, 200)
-    none = F.array().cast("array<string>")
-    bullets = d.select(
-        n.cast("string").alias("doc_id"), F.lit("b").alias("bullet_id"), text.alias("text"), none.alias("tech"), F.array().cast("array<struct<numbers:array<string>,subject_head:string>>").alias("metrics"),
-        F.lit("2015-01").alias("entry_start"), none.alias("allowed_verbs"), F.array(F.substring("text", 1, 10)).alias("must_keep_verbatim"),
-    )
-    change = (
-        F.when(n % 6 == 0, text).when(n % 6 == 1, F.concat(text, F.lit(" TODO"))).when(n % 6 == 2, F.concat(text, F.lit(" 4711 ")))
-        .when(n % 6 == 3, F.lit("")).when(n % 6 == 4, F.concat(text, F.lit(" Kubernetes"))).otherwise(F.concat(text, F.lit(" and"), F.repeat(F.lit(" so"), 30)))
-    )
-    rewrites = d.where("doc_id % 11 <> 10").select(n.cast("string").alias("doc_id"), F.lit("b").alias("bullet_id"), change.alias("rewritten"))
-    return bullets, rewrites
-
-
-@query("rewrite_audit")
-def rewrite_audit(spark, sf_dir):
-    """AUD-11: all violations of all pairs, with the release table and a budget of 40 characters."""
-    bullets, rewrites = _pairs(spark, sf_dir)
-    budgets = spark.range(1).select(F.lit("b").alias("bullet_id"), F.lit(40).alias("budget"))
-    return audit.audit(bullets, rewrites, audit.released_table(spark), budgets)
-
-
-@query(
-    "aud_4_structure",
-    """select doc_id::varchar as doc_id, case when doc_id % 11 = 10 then 'bullet is missing from the rewrite' else 'bullet was emptied' end as detail
-      from documents where doc_id % 11 = 10 or doc_id % 6 = 3 or (doc_id % 6 = 0 and trim(substr(text, 1, 200)) = '')""",
-)
-def structure(spark, sf_dir):
-    return audit.structure(*_pairs(spark, sf_dir)).select("doc_id", "detail")
-
-
-@query(
-    "aud_5_placeholders_width",
-    r"""with p as (select doc_id, substr(text, 1, 200) as old, case doc_id % 6 when 0 then substr(text, 1, 200) when 1 then substr(text, 1, 200) || ' TODO' when 2 then substr(text, 1, 200) || ' 4711 '
-        when 3 then '' when 4 then substr(text, 1, 200) || ' Kubernetes' else substr(text, 1, 200) || ' and' || repeat(' so', 30) end as new from documents where doc_id % 11 <> 10)
-      select doc_id::varchar as doc_id, regexp_matches(new, '\[[A-Z]\]|\[X+\]|\bTODO\b|\bTBD\b') as placeholder, length(new) - length(old) > 40 as wide, not contains(new, substr(old, 1, 10)) as dropped from p""",
-)
-def placeholders(spark, sf_dir):
-    bullets, rewrites = _pairs(spark, sf_dir)
-    pairs = bullets.join(rewrites, ["doc_id", "bullet_id"]).withColumn("budget", F.lit(40))
-    some = lambda c: F.size(c) > 0
-    return pairs.select("doc_id", some(audit.placeholders()).alias("placeholder"), some(audit.width()).alias("wide"), some(audit.dropped_text()).alias("dropped"))
-
-
 # --- sinks and streams ------------------------------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder where executors and driver both see it: the cluster's shared one, or a temporary one on one machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/siftwell/{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="siftwell-")
-
-
 @query("snk_2_published_view", f"with {_VIEWS_SQL} select posting_id, view, level, gate from view_rows")
 def published_view(spark, sf_dir):
-    screened, folder = _screened(spark, sf_dir), _folder(spark)
-    rows = screening.view_rows(screened)
-    head = screening.summary(screened, rows, F.lit(0), F.lit(DAY_2).cast("timestamp"))
-    generation = screening.publish(rows, head, f"{folder}/views")
-    return screening.read_generation(spark, f"{folder}/views", generation).select("posting_id", "view", "level", "gate")
+    return _published(spark, sf_dir).select("posting_id", "view", "level", "gate")
 
 
 @query("snk_1_corpus_snapshot", f"with {DAYS_SQL} select id, title, closed_at from closed")
 def corpus_snapshot(spark, sf_dir):
-    folder = _folder(spark) + "/corpus"
+    folder = shared_folder(spark) + "/corpus"
     lifecycle.write_snapshot(lifecycle.sync(corpus(spark, sf_dir), fetch(spark, sf_dir), F.lit(DAY_2).cast("timestamp"))[0], folder)
     return lifecycle.read_snapshot(spark, folder).select("id", "title", "closed_at")
 
@@ -448,15 +368,15 @@ def _stream(spark: SparkSession, sf_dir: str, name: str, columns) -> DataFrame:
 
 def _finished(df: DataFrame) -> DataFrame:
     """The rows that a stream gives once all that is there has been read."""
-    folder = _folder(df.sparkSession)
+    folder = shared_folder(df.sparkSession)
     q = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
 
 
-@query("stream_first_seen", "select user_id, count(*) as n from (select distinct user_id from events) group by user_id")
+@query("stream_first_seen", "select user_id, 1::bigint as n from events group by user_id")
 def stream_first_seen(spark, sf_dir):
-    """STR-2: the first event of each user within the horizon."""
+    """STR-2: one event of each user within the horizon, the first that arrives."""
     events = _stream(spark, sf_dir, "events", ["user_id", F.col("ts").cast("timestamp").alias("ts")])
     return _finished(S.first_seen(events, ["user_id"], "ts", "90 days")).groupBy("user_id").agg(F.count("*").alias("n"))
 

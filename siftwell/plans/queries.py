@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..functions import tokens as N
 from ..functions import urls as U
 from ..operators import backlog, inbox, lifecycle, paging, quality, scoring, screening
+from ..sources.folders import shared_folder
 from .templates import DAY_1, DAY_2, DAYS_SQL, POSTINGS_SQL, corpus, fetch, postings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,6 +180,13 @@ def _view_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.view_rows(_screened(spark, sf_dir))
 
 
+def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a generation: what reads are made on. The screen runs once, whatever reads follow."""
+    folder = shared_folder(spark)
+    generation = screening.publish(_view_rows(spark, sf_dir), folder, F.lit(0), F.lit(DAY_2).cast("timestamp"))
+    return screening.read_generation(spark, folder, generation)
+
+
 @query("pipe_4_view_rows", f"with {_VIEWS_SQL} select posting_id, view, posted_at, kept, level, level_source, gate, quote from view_rows")
 def view_rows(spark, sf_dir):
     return _view_rows(spark, sf_dir).select("posting_id", "view", "posted_at", "kept", "level", "level_source", "gate", "quote")
@@ -191,7 +199,7 @@ def view_rows(spark, sf_dir):
       from view_rows where gate <> '') select gate, posting_id, nth::int as nth, total, total > 10 as more from ranked where nth <= 10""",
 )
 def gate_top_n(spark, sf_dir):
-    rows = _view_rows(spark, sf_dir).where("gate <> ''")
+    rows = _published(spark, sf_dir).where("gate <> ''")
     return paging.top_of_each(rows, "gate", 10).select("gate", "posting_id", "nth", "total", "more")
 
 
@@ -202,7 +210,7 @@ def gate_top_n(spark, sf_dir):
       select posting_id, posted_at, position::int as position, (select count(*) from hits) as matched, (select count(*) from hits) > 25 as more from top where position <= 25""",
 )
 def filtered_page(spark, sf_dir):
-    rows = _view_rows(spark, sf_dir).where("view = 'kept'")
+    rows = _published(spark, sf_dir).where("view = 'kept'")
     where = paging.row_filter(["entry", "unknown"], posted_after="2024-01-05 00:00:00")
     return paging.filtered_page(rows, where, 25).select("posting_id", "posted_at", "position", "matched", "more")
 
@@ -239,12 +247,12 @@ def evaluation(spark, sf_dir):
 
 @query(
     "win_1_best_copy",
-    """with k as (select doc_id, length(text) as n, source, lower(substr(text, 1, 40)) as head from documents)
+    """with k as (select doc_id, length(text) as n, source, lower(trim(split_part(text, chr(10), 1))) as head from documents)
       select arg_max(doc_id, n * 1000000000 - doc_id) as doc_id, max(n)::int as n, min(doc_id) as first_ordinal from k group by source, head""",
 )
 def best_copy(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    best = lifecycle.best_copies(d, "doc_id", [F.col("source"), F.lower(F.substring("text", 1, 40))], "text")
+    best = lifecycle.best_copies(d, "doc_id", [F.col("source"), F.lower(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))))], "text")
     return best.select("doc_id", F.length("text").alias("n"), "first_ordinal")
 
 
@@ -460,11 +468,6 @@ def pipeline_counts(spark, sf_dir):
 # --- pages and urls -----------------------------------------------------------------------------------------------
 
 
-@query("txt_1_html_to_text")
-def html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
-
-
 @query(
     "url_2_board_slugs",
     """select page_id, lower(split_part(regexp_extract(url, '^https?://([^/?#]+)', 1), '.', 1)) as slug from pages""",

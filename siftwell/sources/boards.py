@@ -153,14 +153,13 @@ NORMALISERS = {"greenhouse": nested_jobs, "ashby": listed_jobs, "lever": array_j
 def normalise(landed: DataFrame) -> DataFrame:
     """Landed payloads (ats, tenant, wd, site, payload) to postings, each branch by its own normaliser.
 
-    An unknown ats fails the job.
+    The landing is partitioned by ats, so that each branch reads its own files and a payload is read once. An unknown ats fails the job.
     """
-    known = F.col("ats").isin(*NORMALISERS)
-    checked = landed.withColumn("ats", F.when(known, F.col("ats")).otherwise(F.raise_error(F.concat(F.lit("no source for "), or_empty(F.col("ats"))))))
-    out = None
-    for ats, parse in NORMALISERS.items():
-        rows = parse(checked.where(F.col("ats") == ats))
-        out = rows if out is None else out.unionByName(rows)
+    ats = or_empty(F.col("ats"))
+    refused = landed.where(~ats.isin(*NORMALISERS)).select(F.raise_error(F.concat(F.lit("no source for "), ats)).cast("string").alias("title"))
+    out = conform(refused, POSTING)
+    for name, parse in NORMALISERS.items():
+        out = out.unionByName(parse(landed.where(F.col("ats") == name)))
     return out
 
 

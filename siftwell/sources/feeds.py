@@ -14,6 +14,7 @@ from ..functions.rules import keyword_score, posting_id, title_matches
 from ..functions.text import first_filled, or_empty
 from ..schemas import ANSWER, POSTING, conform
 from .boards import watchlist
+from .folders import exists
 
 
 def posting_file(spark: SparkSession, path: str) -> DataFrame:
@@ -24,16 +25,11 @@ def posting_file(spark: SparkSession, path: str) -> DataFrame:
 def watchlist_file(spark: SparkSession, path: str, allow_sandbox: bool = False) -> DataFrame:
     """A watchlist document: ``{companies: [..]}`` or a bare list. A missing file is an empty list."""
     row = "struct<company:string,ats:string,tenant:string,wd:string,site:string>"
-    texts = spark.read.option("ignoreMissingFiles", "true").text(path, wholetext=True) if _exists(spark, path) else spark.createDataFrame([], "value string")
+    texts = spark.read.option("ignoreMissingFiles", "true").text(path, wholetext=True) if exists(spark, path) else spark.createDataFrame([], "value string")
     listed = F.when(F.trim("value").startswith("["), F.from_json("value", f"array<{row}>")).otherwise(F.from_json("value", f"companies array<{row}>")["companies"])
     return watchlist(texts.select(F.inline(listed)), allow_sandbox)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def listings(rows: DataFrame, active_only: bool = True) -> DataFrame:
     active = rows.where(F.coalesce(F.col("active"), F.lit(False))) if active_only else rows
     return active.select(or_empty(F.col("company_name")).alias("company"), or_empty(F.col("url")).alias("url"))

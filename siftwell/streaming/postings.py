@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.lifecycle import merge, write_snapshot
 from ..operators.screening import screen
@@ -55,40 +53,51 @@ def gate_counts_stream(screened: DataFrame, at: str, late: str, window: str) ->
     return windowed(screened.withColumn("gate", F.explode("exclusions")), at, late, window, {"n": F.count("*")}, ("gate",))
 
 
-def _track(days: int):
-    width = days * 86_400_000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, is_open = state.get if state.exists else (None, None, False)
-        out = []
-        if state.hasTimedOut:
-            # the timer fires once the watermark has passed last + days
-            out.append((key[0], "closed", pd.Timestamp(last + width, unit="ms")))
-            state.update((first, last, False))
-        else:
-            at = sorted(int(t.timestamp() * 1000) for b in batches for t in b["at"])
-            for t in at:
-                if first is None:
-                    out.append((key[0], "new", pd.Timestamp(t, unit="ms")))
-                    first = t
-                elif not is_open:
-                    out.append((key[0], "reopened", pd.Timestamp(t, unit="ms")))
-                is_open, last = True, max(last or t, t)
-            state.update((first, last, True))
-            state.setTimeoutTimestamp(max(last + width, state.getCurrentWatermarkMs() + 1))
-        ids, changes, times = zip(*out) if out else ((), (), ())
-        yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "change": pd.Series(changes, dtype=object), "at": pd.Series(times, dtype="datetime64[ns]")})
-
-    return step
+class _OpenState(StatefulProcessor):
+    """First and last event of a key in microseconds, and whether it is open; one event-time timer a key."""
+
+    def __init__(self, days: int):
+        self.width = days * 86_400_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.span = handle.getValueState("span", "first long, last long, open boolean")
+
+    def _wait(self, last: int, watermark: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        # a timer fires once the watermark has passed last + days
+        self.handle.registerTimer(max(-(-(last + self.width) // 1000), watermark + 1))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        first, last, is_open = self.span.get() if self.span.exists() else (None, None, False)
+        for at in sorted(r["micros"] for r in rows):
+            if first is None:
+                first = at
+                yield Row(id=key[0], change="new", micros=at)
+            elif not is_open:
+                yield Row(id=key[0], change="reopened", micros=at)
+            is_open, last = True, at if last is None else max(last, at)
+        self.span.update((first, last, True))
+        self._wait(last, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        first, last, is_open = self.span.get()
+        if is_open:
+            self.span.update((first, last, False))
+            yield Row(id=key[0], change="closed", micros=last + self.width)
+
+    def close(self) -> None:
+        pass
 
 
 def open_state(events: DataFrame, id_col: str, at: str, late: str, days: int) -> DataFrame:
     """id, change (new, reopened, closed) and at. A key not seen for ``days`` closes when the watermark passes that.
 
-    A batch run closes what a trusted fetch lacks, which a stream cannot see; the timeout stands in for it. Feed it no
-    events of other sources while one is degraded: without events the watermark stands still and no timer fires.
+    Arbitrary state with event-time timers (``transformWithState``, which needs the RocksDB state store). A batch run closes what a trusted
+    fetch lacks, which a stream cannot see; the timeout stands in for it. Feed it no events of other sources while one is degraded: without
+    events the watermark stands still and no timer fires.
     """
-    rows = events.select(F.col(id_col).cast("string").alias("id"), F.col(at).alias("at")).withWatermark("at", late)
-    return rows.groupBy("id").applyInPandasWithState(
-        _track(days), "id string, change string, at timestamp", "first long, last long, open boolean", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    rows = events.select(F.col(id_col).cast("string").alias("id"), F.col(at).alias("at")).withWatermark("at", late).withColumn("micros", F.unix_micros("at"))
+    changes = rows.groupBy("id").transformWithState(_OpenState(days), "id string, change string, micros long", "append", "EventTime")
+    return changes.select("id", "change", F.timestamp_micros("micros").alias("at"))

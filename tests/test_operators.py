@@ -155,6 +155,11 @@ def test_events_and_snapshots(spark, tmp_path):
     lifecycle.write_snapshot(corpus, folder)
     lifecycle.write_snapshot(twice.drop("experience_level"), folder)
     back = lifecycle.read_snapshot(spark, folder)
+    several = spark.createDataFrame([("b", "x"), ("b", "{}")], "id string, payload string")
+    assert sorted((r["id"], r["interpretation"]) for r in lifecycle.save_interpretations(corpus, several).collect()) == [("a", None), ("b", "{}")]
+    for _ in range(2):
+        lifecycle.write_snapshot(corpus, f"{folder}_few", keep=1)
+    assert len(list((tmp_path / "corpus_few").glob("run=*"))) == 1 and lifecycle.read_snapshot(spark, f"{folder}_few").count() == 2
     assert back.where("applied_at is not null").count() == 1 and back.first()["experience_level"] == ""
     copies = spark.createDataFrame([(0, " Acme", "Dev", "ab"), (1, "acme", "dev ", "abcd"), (2, "ACME", "DEV", "wxyz"), (3, "b", "dev", None)], "ordinal int, company string, title string, description string")
     assert [(r["ordinal"], r["first_ordinal"]) for r in lifecycle.best_copies(copies).orderBy("first_ordinal").collect()] == [(1, 0), (3, 3)]
@@ -197,16 +202,19 @@ def test_demo_corpus(spark, tmp_path):
     corpus = schemas.conform(demo(spark).withColumn("first_seen", at(T0)).withColumn("closed_at", F.when(F.col("n") == 1, at(T1))), schemas.STORED)
     stamped = screening.stamp_first_seen(rows, corpus)
     assert stamped.count() == 18 and stamped.where("first_seen is null").count() == 1
-    head = screening.summary(screened, rows, F.lit(15), at(T2))
     folder = f"file://{tmp_path}/views"
-    generation = screening.publish(stamped, head, folder)
+    generation = screening.publish(stamped, folder, F.lit(15), at(T2))
     assert generation == "20240503T090000.000000Z"
     summary = screening.read_summary(spark, folder)
     assert (summary.first()["internship_total"], summary.first()["gates"]["wrong_seniority_band"]) == (1, 1)
     state = lambda now: screening.readiness(summary, at(now)).first()["state"]
     assert (state(T2), state(T2 + dt.timedelta(hours=49)), state(T1)) == ("ready", "stale", "stale")
     assert screening.readiness(summary.limit(0), at(T2)).first()["state"] == "not_screened"
+    assert tuple(summary.select("screened", "kept", "excluded", "needs_level_check", "corpus_size").first()) == (15, 9, 6, 1, 15)
     assert screening.live_generations(summary, at(T2 + dt.timedelta(days=4))).count() == 0
+    later = screening.publish(stamped, folder, F.lit(15), at(T2 + dt.timedelta(days=4)))
+    assert screening.expire(spark, folder, at(T2 + dt.timedelta(days=1))) == []
+    assert screening.read_generation(spark, folder, later).count() == 18
     kept = screening.read_generation(spark, folder, generation).where("view = 'kept'")
     first = paging.page(kept, 4)
     ids, boundary = [r["posting_id"] for r in first.orderBy("position").collect()], first.where("position = 4").first()
@@ -238,6 +246,9 @@ def test_demo_corpus(spark, tmp_path):
     assert quality.overlap(kept, rows.where("view = 'internships'")).count() == 0
     found = paging.by_url(demo(spark).withColumn("req_id", F.lit("")).withColumn("ordinal", F.col("n")), spark.createDataFrame([("https://y/x/1",)], "url string"))
     assert found.first()["n"] == 1
+    feed = spark.createDataFrame([(0, "https://x/ab-77-c", ""), (1, "https://x/77", ""), (2, "https://x/q", "R9"), (3, "https://y/R9/z", None)], "ordinal int, url string, req_id string")
+    asked = spark.createDataFrame([("https://z/77/?q=1",), ("https://z/R9",), ("https://z/none",), ("///",)], "url string")
+    assert {(r["wanted"], r["ordinal"]) for r in paging.by_url(feed, asked).collect()} == {("https://z/77/?q=1", 0), ("https://z/R9", 2)}
 
 
 # --- scores, selection, audit ---------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwell import schemas
@@ -38,10 +39,13 @@ def test_daily_run_and_reads(spark, tmp_path):
     assert excluded.count() == excluded.select("gate").distinct().count()
     one = runs.detail(stored, rows.where("view = 'kept'").first()["posting_id"], ["Python"]).first()
     assert one["kept"] and one["first_seen"] is None
-    doc = runs.snapshot(rows, stored).first()
-    assert len(doc["items"]) == out["kept"] and len(doc["internships"]) == 1 and doc["gates"]["wrong_seniority_band"] == 1
-    runs.write_document(runs.snapshot(rows, stored), f"{folder}/doc")
-    assert "description\"" not in spark.read.text(f"{folder}/doc").first()["value"].replace("descriptionStatus", "")
+    runs.write_document(rows, stored, f"{folder}/doc")
+    head = spark.read.json(f"{folder}/doc/summary").first()
+    assert (head["items_total"], head["internships_total"], head["gates"]["wrong_seniority_band"]) == (out["kept"], 1, 1)
+    items = spark.read.json(f"{folder}/doc/items")
+    assert items.count() == out["kept"] and "description" not in items.columns and "levelWhy" in items.columns
+    with pytest.raises(ValueError, match="items: wrote"):
+        runs.write_document(rows, stored.limit(3), f"{folder}/short")
     empty = runs.daily_run(stored, posting.limit(0), sources, at(T2 + dt.timedelta(days=1)), folder).first()
     assert (empty["not_closed"], empty["closed"], empty["new"]) == ("empty_fetch", 0, 0)
 
