@@ -86,7 +86,8 @@ def _tile(k: int):
                     at_q, at_c = np.nonzero(~(low > reach[:, None]) & ~own)
                     if not len(at_q):
                         continue
-                    true, ids = np.sqrt(((q[i + at_q] - c[j + at_c]) ** 2).sum(axis=1)), c_id[j + at_c]
+                    # squares are added in the order of the components, as a plain loop does
+                    true, ids = np.sqrt(np.cumsum((q[i + at_q] - c[j + at_c]) ** 2, axis=1)[:, -1]), c_id[j + at_c]
                     order = np.lexsort((ids, true, at_q))
                     at_q, true, ids = at_q[order], true[order], ids[order]
                     new = np.r_[True, (at_q[1:] != at_q[:-1]) | (true[1:] != true[:-1]) | (ids[1:] != ids[:-1])]

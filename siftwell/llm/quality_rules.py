@@ -26,7 +26,7 @@ from .common import PLACE, mix
 _SPACES = " \t\n\v\f\r"
 _WORDS = re.compile(rf"[^{_SPACES}]+")
 _SYMBOLS = b"#*$%&|<>"
-_END = (".", "!", "?", '"', "'", "”", "’", "»", "…", ":", ";", ")", "。", "！", "？", "」", "』", "）", "।", "॥", "؟", "۔", "።")
+END = (".", "!", "?", '"', "'", "”", "’", "»", "…", ":", ";", ")", "。", "！", "？", "」", "』", "）", "।", "॥", "؟", "۔", "።")
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ def line_fails(line: str, words: list[str], rules: Rules, navigation: re.Pattern
         return True
     if n >= rules.run_words and Counter(words).most_common(1)[0][1] > rules.run_share * n:
         return True
-    return n >= rules.sentence_words and not line.rstrip(_SPACES).endswith(_END)
+    return n >= rules.sentence_words and not line.rstrip(_SPACES).endswith(END)
 
 
 def repeated_words(words: list[bytes], size: int = 8) -> int:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from . import block_search, byte_bpe, language_id, line_dedup, near_dedup, pfair_mix, quality_rules, substring_dedup, url_filter, warc
+from .oracles import ORACLES
 
 RULES = (
     url_filter.Rule("com", "/", "allow"),
@@ -79,16 +79,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in all_ten}
 
 
-#: DuckDB SQL where it can say the whole result: exact neighbours, WARC facts and lines.
-OP4 = """
-with p as (select page_id, coalesce(html, '') as html from pages),
-again as (select html, max(page_id) as best, count(*) as n from p where octet_length(encode(html)) >= 1000 group by html having count(*) > 1)
-select p.page_id, octet_length(encode(p.html))::bigint as payload_bytes, sha1(p.html) as payload_digest,
-  case when a.best is not null and a.best <> p.page_id then 'revisit' else 'response' end as record_type,
-  case when a.best is not null and a.best <> p.page_id then a.best end as refers_to
-from p left join again a on p.html = a.html
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4, "op8_line_dedup": line_dedup.ORACLE}
+    return dict(ORACLES)
