@@ -6,12 +6,17 @@ equal windows always meet. Consecutive windows of one text with the same minimis
 packed string. In each bucket sorting groups equal windows exactly (hash order, then bytes), and each
 group's smallest doc_id goes back to the documents that hold a later copy.
 
+Runs of words so common that their bucket would be several times the average come last as minimisers, so that a window's bucket is named by
+its rarer runs; a window of common runs alone is a super-k-mer of its own and its bucket depends on the whole window. Which runs are common
+is estimated on about ``SAMPLE`` documents, as a range partitioning is: it is known before any window is dealt out, holds for all of them and so
+never changes the result.
+
 Documents are handled in chunks of neighbouring ids. A packed string goes out once for a chunk (with
 the chunk's smallest and largest doc_id for it), so a passage in very many documents makes few rows
 in its bucket, and what comes back goes to chunks, never to one task.
 
 Null text: no words. Null doc_id: the row takes no part and keeps all its words. Repeated rows of one
-doc_id are judged alike (neither is smaller). Fewer than ``window`` words: nothing is removed.
+doc_id are judged alike (neither is smaller) and meet in one task. Fewer than ``window`` words: nothing is removed.
 """
 
 from __future__ import annotations
@@ -33,21 +38,35 @@ CHUNK_BITS = 8
 BUCKETS_EACH = 8
 #: Packed bytes held in a task before they are sent on.
 FLUSH_BYTES = 24 << 20
+#: Documents on which common runs of words are estimated, and a run's share of all runs, in buckets' average shares, from which it is common.
+SAMPLE, COMMON = 20_000, 4
+_LATE = np.uint64(1 << 63)
 
 _PACKED = "bucket int, n int, strings binary, facts binary"
 _FACTS = np.dtype([("chunk", "i8"), ("doc", "i8"), ("tag", "i8"), ("word", "i4"), ("last", "i8")])
 _FOUND = np.dtype([("doc", "i8"), ("tag", "i8"), ("word", "i4"), ("n", "i4"), ("first", "i8")])
 
 
-def _super_kmers(table: WordTable, window: int, minimiser: int, buckets: int):
-    """First and last window of each super-k-mer, and its bucket."""
+def _runs(table: WordTable, size: int) -> np.ndarray:
+    """A hash below 2^63 for each run of ``size`` words."""
+    return table.windows(size)[0] >> np.uint64(1)
+
+
+def _super_kmers(table: WordTable, window: int, minimiser: int, buckets: int, common: np.ndarray):
+    """First and last window of each super-k-mer, and its bucket. common: sorted hashes of runs that come last."""
     n = len(table) - window + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3
-    grams = np.zeros(len(table) - minimiser + 1, np.uint64)
-    for k in range(minimiser):
-        grams += table.hash[k : k + len(grams)] * PLACE[k]
-    least = sliding_min(mix(grams), window - minimiser + 1)[:n]
+    grams = _runs(table, minimiser)
+    if len(common):
+        grams[common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams] |= _LATE
+    least = sliding_min(grams, window - minimiser + 1)[:n]
+    alone = np.flatnonzero(least >= _LATE)
+    if len(alone):
+        own = np.zeros(len(alone), np.uint64)
+        for k in range(window):
+            own += table.hash[alone + k] * PLACE[k]
+        least[alone] = mix(own) | _LATE
     whole = table.doc[:n] == table.doc[window - 1 :]
     start = whole.copy()
     start[1:] &= (least[1:] != least[:-1]) | (table.doc[1:n] != table.doc[: n - 1])
@@ -57,7 +76,7 @@ def _super_kmers(table: WordTable, window: int, minimiser: int, buckets: int):
     return first, np.flatnonzero(ends), (mix(least[first]) % np.uint64(buckets)).astype(np.int64)
 
 
-def _pack(window: int, minimiser: int, buckets: int):
+def _pack(window: int, minimiser: int, buckets: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdCompressor(level=3)
         held: dict[tuple[int, bytes], list] = {}
@@ -92,7 +111,7 @@ def _pack(window: int, minimiser: int, buckets: int):
                     room += len(part[-1])
                     j += 1
                 table = WordTable(part)
-                first, last, bucket = _super_kmers(table, window, minimiser, buckets)
+                first, last, bucket = _super_kmers(table, window, minimiser, buckets, common.value)
                 a, b = table.start[first].tolist(), table.end[last + window - 1].tolist()
                 docs = table.doc[first] if len(first) else first
                 words = (first - table.base[docs]).tolist() if len(first) else []
@@ -117,6 +136,29 @@ def _pack(window: int, minimiser: int, buckets: int):
     return run
 
 
+def _count_runs(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary())
+            for i in range(0, len(texts), 500):
+                table = WordTable([joined(t) for t in texts.slice(i, 500).to_pylist()])
+                runs, n = np.unique(_runs(table, size)[table.windows(size)[1]], return_counts=True)
+                often = n > 1  # a run that is common occurs again among 500 texts
+                yield pa.RecordBatch.from_arrays([pa.array(runs[often].view(np.int64)), pa.array(n[often]), pa.array(np.where(np.arange(often.sum()) == 0, n.sum(), 0))], names=["run", "n", "all"])
+
+    return run
+
+
+def common_runs(rows: DataFrame, minimiser: int, buckets: int) -> np.ndarray:
+    """Sorted hashes of the common runs; at most a quarter as many as there are buckets, by their definition. rows: doc_id and text."""
+    total = rows.count()
+    sampled = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // SAMPLE))) == 0).select("text")
+    counts = sampled.mapInArrow(_count_runs(minimiser), "run long, n long, all long")
+    whole = counts.agg(F.sum("all").alias("n")).first()["n"] or 0
+    often = counts.groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") > max(7.0, COMMON * whole / buckets))
+    return np.sort(np.array([r["run"] for r in often.select("run").collect()], np.int64).view(np.uint64))
+
+
 def _meet(window: int):
     """Equal windows of a bucket, exactly; for each chunk, the runs of windows that some smaller document has."""
 
@@ -235,11 +277,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, minimiser: int = 4, id_col
         raise ValueError("1 <= minimiser <= window is needed")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    packed = rows.where("doc_id is not null and text is not null").mapInArrow(
-        _pack(window, minimiser, BUCKETS_EACH * partitions(spark)), _PACKED
-    )
+    full, buckets = rows.where("doc_id is not null and text is not null"), BUCKETS_EACH * partitions(spark)
+    common = spark.sparkContext.broadcast(common_runs(full.select("doc_id", "text"), minimiser, buckets))
+    packed = full.mapInArrow(_pack(window, minimiser, buckets, common), _PACKED)
     found = packed.groupBy("bucket").applyInArrow(_meet(window), "chunk long, found binary")
-    by_chunk = rows.withColumn("chunk", F.expr(f"coalesce(shiftright(doc_id, {CHUNK_BITS}), -1 - pmod(tag, 1048576))"))
+    # rows without an id take no part and are spread over chunks of their own
+    by_chunk = rows.withColumn("chunk", F.coalesce(F.shiftright("doc_id", CHUNK_BITS), -(F.lit(1 << 60) + F.monotonically_increasing_id() % (1 << 20))))
     bundles = by_chunk.mapInArrow(_bundle, "chunk long, ids array<long>, tags array<long>, texts binary")
     return bundles.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
         _apply(window), "doc_id long, n_words long, n_removed long, kept_text string"

@@ -77,6 +77,25 @@ def test_substring_dedup_against_brute_force(spark, corpus):
     assert not substring_dedup.remove_repeats(frame(spark, [])).collect()
 
 
+def test_common_runs_spread_over_buckets(spark, monkeypatch):
+    """A passage in every document: its runs come last as minimisers, and the result is the same."""
+    rng = random.Random(5)
+    license_ = " ".join(f"lic{i}" for i in range(40))
+    rows = [(i, " ".join([*(f"w{rng.randint(0, 3000)}" for _ in range(30)), license_, *(f"v{rng.randint(0, 3000)}" for _ in range(20))])) for i in range(300)]
+    df = frame(spark, rows)
+    often = substring_dedup.common_runs(df, 4, 400)
+    table = common.WordTable([common.joined(license_.encode())])
+    assert set(often.tolist()) == set(substring_dedup._runs(table, 4).tolist())
+    first, last, bucket = substring_dedup._super_kmers(table, 13, 4, 400, often)
+    assert (first == last).all() and len(first) == 28 and len(set(bucket.tolist())) > 20
+    plain = substring_dedup._super_kmers(table, 13, 4, 400, often[:0])[2]
+    assert len(set(plain.tolist())) < 10
+    out = Counter(map(tuple, substring_dedup.remove_repeats(df).collect()))
+    monkeypatch.setattr(substring_dedup, "COMMON", 1e9)
+    assert out == Counter(map(tuple, substring_dedup.remove_repeats(df).collect()))
+    assert sum(r[2] >= 40 for r in out) == 299
+
+
 def test_equal_hashes_of_different_windows_are_told_apart():
     table = common.WordTable([b"a b c", b"a b d", b"a b c", b"x y z"])
     at = np.flatnonzero(table.windows(3)[1])
