@@ -30,12 +30,20 @@ def title_band(title: Column, rules=K.TITLE_BANDS) -> Column:
 NEEDED = {
     "years": ("YEAR",),
     "clearance": ("CLEARANCE", ("/", "SCI"), "SECRET", "POLYGRAPH", "TRUST"),
-    "citizenship": ("CITIZEN", "ITAR", "EXPORT", "PERSON"),
+    "citizenship": ("CITIZEN", "ITAR", ("EXPORT", "CONTROL"), ("PERSON", "MUST")),
     "no_sponsorship": ("SPONSOR", "VISA"),
     "sponsorship": ("SPONSOR", "H1B", "H-1B"),
 }
 
 
+#: The patterns with what each of their alternatives begins with said before: most places of a text then cost one look at a letter.
+CLEARANCE = r"(?=[scatpqld])\b" + K.CLEARANCE
+CITIZENSHIP = r"(?=[murcei])\b" + K.CITIZENSHIP
+NO_SPONSORSHIP = r"(?=[nucdws])" + K.NO_SPONSORSHIP
+YES_SPONSORSHIP = r"(?=[wdchaovs])" + K.YES_SPONSORSHIP
+EDUCATION_NOISE = r"(?=[\dgcf])" + K.EDUCATION_NOISE
+
+
 def may_hold(upper: Column, gate: str) -> Column:
     """Whether an upper-cased text holds what a match of the gate's pattern needs."""
     groups = (g if isinstance(g, tuple) else (g,) for g in NEEDED[gate])
@@ -49,7 +57,7 @@ def min_years(description: Column) -> Column:
         found = F.concat(*(F.regexp_extract_all(text, F.lit(K.FLAGS + p), F.lit(1)) for p in K.YEARS_PATTERNS))
         return F.array_min(F.filter(F.transform(found, lambda x: x.try_cast("int")), lambda x: x.between(0, K.MAX_YEARS)))
 
-    text = F.regexp_replace(description, K.FLAGS + K.EDUCATION_NOISE, " ")
+    text = F.regexp_replace(description, K.FLAGS + EDUCATION_NOISE, " ")
     return F.when(may_hold(F.upper(description), "years"), let(text, least))
 
 
@@ -91,14 +99,14 @@ def citizenship_evidence(description: Column, window: int = K.VETO_WINDOW) -> Co
     Mostly the first match decides; only where it is taken back are all matches listed.
     """
     vetoed = lambda start, text: has(around(description, start, F.length(text), window), K.CITIZENSHIP_VETO)
-    binding = F.filter(matches(description, K.CITIZENSHIP), lambda m: ~vetoed(m["start"], m["text"]))
+    binding = F.filter(matches(description, CITIZENSHIP), lambda m: ~vetoed(m["start"], m["text"]))
     later = or_empty(strip(F.get(binding, 0)["text"]))
 
     def decide(first: Column) -> Column:
-        back = let(first_start(description, K.CITIZENSHIP), lambda start: vetoed(start, first))
+        back = let(first_start(description, CITIZENSHIP), lambda start: vetoed(start, first))
         return F.when(first == "", "").when(back, later).otherwise(strip(first))
 
-    return or_empty(let(F.regexp_extract(description, K.FLAGS + K.CITIZENSHIP, 0), decide))
+    return or_empty(let(F.regexp_extract(description, K.FLAGS + CITIZENSHIP, 0), decide))
 
 
 def eligibility(description: Column, available: Column) -> Column:
@@ -113,8 +121,8 @@ def eligibility(description: Column, available: Column) -> Column:
     def quotes(upper: Column) -> Column:
         look = lambda gate, c: F.when(may_hold(upper, gate), c).otherwise("").alias(gate)
         return F.struct(
-            look("clearance", evidence(text, K.CLEARANCE)), look("citizenship", citizenship_evidence(text)),
-            look("no_sponsorship", evidence(text, K.NO_SPONSORSHIP)), look("sponsorship", evidence(text, K.YES_SPONSORSHIP)),
+            look("clearance", evidence(text, CLEARANCE)), look("citizenship", citizenship_evidence(text)),
+            look("no_sponsorship", evidence(text, NO_SPONSORSHIP)), look("sponsorship", evidence(text, YES_SPONSORSHIP)),
         )
 
     def decide(q: Column) -> Column:

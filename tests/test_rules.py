@@ -180,3 +180,20 @@ def test_apply_urls(spark):
     got = many(spark, URLS, lambda u: U.classify_apply_url(u, F.lit("")))
     assert [g and (g["ats"], g["tenant"], g["wd"], g["site"]) for g in got] == list(URLS.values())
     assert many(spark, ["https://jobs.lever.co/leverdemo/1", "https://acme.wd1.x.com/a", "x"], U.board_slugs) == [["jobs", "leverdemo"], ["acme"], []]
+
+
+def test_said_beginnings_change_no_match(spark):
+    """The quick forms of the patterns match what the patterns match, in texts made of their own words."""
+    import random
+
+    rng = random.Random(3)
+    words = (
+        "must required to be a us U.S. united states citizen citizens citizenship is mandatory only ITAR export controlled regulations person requires hold or lawful permanent residents requirement "
+        "security clearance active ts / sci top secret polygraph public trust q l dod ability obtain not unable cannot do will won't sponsor sponsorship visa work visas no without the need for we are "
+        "happy open offer available h-1b transfers welcome 4 4- year degree program graduating completed finish by 2024 cohort . , é ſecurity ıtar"
+    ).split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for quick, plain in ((R.CLEARANCE, K.CLEARANCE), (R.CITIZENSHIP, K.CITIZENSHIP), (R.NO_SPONSORSHIP, K.NO_SPONSORSHIP), (R.YES_SPONSORSHIP, K.YES_SPONSORSHIP), (R.EDUCATION_NOISE, K.EDUCATION_NOISE)):
+        a, b = (F.regexp_extract_all("t", F.lit(K.FLAGS + p), F.lit(0)) for p in (quick, plain))
+        assert df.where(a != b).count() == 0 and df.where(F.size(b) > 0).count() > 50, plain
