@@ -77,7 +77,9 @@ def drop_boilerplate(
     else:
         spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64(at[id_col], "text"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
-    kept = F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.get("keys", _slot(_key(x))), _key(x)) | ~x.rlike(_WORD))
+    # a line's key is computed once: it is the one element of an array
+    common = lambda x: F.exists(F.array(_key(x)), lambda k: F.array_contains(F.get("keys", _slot(k)), k))
+    kept = F.filter(_lines(F.col("text")), lambda x: ~common(x) | ~x.rlike(_WORD))
     joined = joined.withColumn("kept", F.when(F.col("keys").isNull(), _lines(F.col("text"))).otherwise(kept))
     columns = [F.array_join("kept", "\n").alias(b) if b == text_col else F.col(a).alias(b) for a, b in zip(inner, names)]
     n_lines = F.coalesce(F.size(_lines(F.col("text"))), F.lit(0))
