@@ -31,6 +31,8 @@ FEATURES = 1 << 13
 ORDERS = (2, 3, 4)
 #: Largest number of languages with the exhaustive code.
 EXHAUSTIVE = 6
+#: Labels that may be languages; more than that is an error in the data, not a model.
+MOST = 1000
 #: Bytes and texts that are counted at once.
 _SLICE, _TEXTS = 1 << 18, 64
 
@@ -127,13 +129,13 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key_col).alias("pick")
     )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST + 1).collect()}
+    if len(sizes) > MOST:
+        raise ValueError(f"more than {MOST} labels are no languages")
     if not sizes:
         return Model((), np.zeros((0, 1), np.int8), np.zeros((FEATURES, 1)), np.ones(1))
-    share: Column = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    picked = rows.where(F.expr("pmod(pick, 1000000)") < share * 1_000_000).select("lang", "text")
+    shares = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))))
+    picked = rows.where(F.expr("pmod(pick, 1000000)") < F.try_element_at(shares, "lang") * 1_000_000).select("lang", "text")
     parts = picked.mapInArrow(_count, "lang string, counts array<long>")
     summed = parts.select("lang", F.posexplode("counts")).groupBy("lang", "pos").agg(F.sum("col").alias("n"))
     langs = tuple(sorted(sizes))

@@ -101,6 +101,31 @@ def test_encode_texts(spark, reference):
     assert not byte_bpe.encode(df.limit(0), VOCAB, public_tokenizers.PATTERN).collect()
 
 
+def test_decoding_by_hand(spark, sf):
+    """Loss-weighted decoding with plain loops over hashed byte n-grams."""
+    model = language_id.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    texts = ["The old house by the river", "Das alte Haus am Fluss", "xq", "La vieille maison, près de la rivière 12!", "½"]
+    want = []
+    for t in texts:
+        data = [c if 65 <= c < 91 or 97 <= c < 123 or c >= 128 else 32 for c in b"\n" + t.lower().encode() + b"\n"]
+        counts = Counter()
+        for n in language_id.ORDERS:
+            for i in range(len(data) - n + 1):
+                h = data[i]
+                for c in data[i + 1 : i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+                h = (h * 0x9E3779B1 + n * 0x85EBCA6B) & 0xFFFFFFFF
+                h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+                counts[h >> 19] += 1
+        total = counts.total()
+        margins = [sum(k * model.weights[f, b] for f, k in counts.items()) / total**0.5 for b in range(model.code.shape[1])]
+        loss = [sum(w * np.log1p(np.exp(-m * c)) for m, c, w in zip(margins, row, model.trust)) for row in model.code.tolist()]
+        p = np.exp(-(np.array(loss) - min(loss)))
+        want.append((model.langs[int(np.argmin(loss))], float(p.max() / p.sum())) if any(map(str.isalpha, t)) else ("und", 0.0))
+    got = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, ["doc_id"]).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == [lang for lang, _ in want] and np.allclose([r["score"] for r in got], [p for _, p in want])
+
+
 def test_codewords_are_apart():
     assert language_id.codewords(4).shape == (4, 7)
     for k in range(2, 14):
@@ -293,6 +318,19 @@ def test_url_model_on_urls_it_has_not_seen(spark, sf):
     assert n[True, True] >= 0.9 * (n[True, True] + n.get((True, False), 0)) and n[False, False] >= 0.95 * (n[False, False] + n.get((False, True), 0))
 
 
+def test_url_scores_by_hand(spark):
+    """The score is the logistic function of the model's weights at the hashed n-grams of host and path, each counted once."""
+    from pyspark.ml.feature import HashingTF
+
+    model, hashing = url_filter.train(spark), HashingTF(numFeatures=url_filter.FEATURES)
+    urls = ["https://WWW.Poker-Room.example.net/en/5?x=1", "http://ab.org", "none", "https://library.example.org/guide#a"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_filter.judge(df, (), model).collect():
+        grams = {m + w[i : i + n] for m, t in (("h", r["host"]), ("p", r["path"])) for n in (3, 4) for w in ["^" + t + "$"] for i in range(len(w) - n + 1)}
+        z = model.intercept + sum(model.coefficients[i] for i in {hashing.indexOf(g) for g in grams})
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-9 and r["verdict"] == ("block" if r["score"] >= 0.5 else "allow")
+
+
 def test_very_long_and_repeated_urls(spark):
     long = "https://library.example.org/" + "guide/" * 20_000
     df = spark.createDataFrame([(1, long), (2, "https://a.net/es/"), (2, "https://a.net/es/"), (None, "https://a.net/es/")], "page_id long, url string")
@@ -331,6 +369,24 @@ def test_pipeline_keeps_one_whole_document_of_copies(spark, sf):
     assert {i: t for i, t in kept.items() if i < 90} == {i: t.split("\n")[1] for i, _, t in rows[:90]}
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    english = "the house by the river was old and the people who lived there were kind to all that came by on the road"
+    german = "das haus am fluss war alt und die leute die dort wohnten waren freundlich zu allen die auf der strasse vorbeikamen"
+    other = "ein ganz anderer satz von bergen und seen ohne die leute von dort der nur hier steht und sonst nirgends zu lesen ist"
+    rows = [(i, f"{t} number {'abcdefghij'[i % 10] * (i // 10 + 1)}", lang, "s%d" % (i % 3), None) for i in range(60) for t, lang in [((english, "en"), (german, "de"))[i % 2]]]
+    rows += [(100, None, "en", "s1", 5), (101, "", None, None, 0), (102, "½ ²", "en", None, 3), (None, english + " without an id", "en", "s1", 9), (103, english + " without a source", "en", None, 9)]
+    rows += [(104, english * 200, "en", "s2", 1), (105, other, "de", "s1", 7), (105, other, "de", "s1", 7), (106, other, "de", "s1", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/a/documents.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}/a").collect()
+    ids = Counter(r["doc_id"] for r in out)
+    assert not ids.keys() & {100, 101, 102} and {None, 103, 104} <= ids.keys()  # no letters, no language; a null id or source is no reason to go
+    assert ids[105] == 2 and 106 not in ids  # rows of one id stay together, its copy goes
+    assert len({r["position"] for r in out}) == len(out) and all(r["n_tokens"] == len(r["token_ids"]) > 0 for r in out)
+    df.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/b").collect() == []
+
+
 def test_pipeline_result_follows_the_schedule(spark, sf, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])  # mixing and tokenising
     out = corpus_pipeline.run(spark, sf)
