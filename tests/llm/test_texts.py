@@ -367,6 +367,10 @@ def test_mix_has_a_class_for_every_source(spark, monkeypatch):
     out = pfair_mix.mix(df, block_docs=1).collect()
     assert {r["class"] for r in out} == set(sizes) and len(sizes) == 300
     assert off_by(out, {c: n**0.7 for c, n in sizes.items()}) < 1
+    monkeypatch.setattr(pfair_mix, "MOST_BLOCKS", 450)  # blocks of twenty documents
+    few = pfair_mix.mix(df, block_docs=1).collect()
+    assert len({r["slot"] for r in few}) <= 450 + 300 and off_by(few, {c: n**0.7 for c, n in sizes.items()}) < 1 and len({r["position"] for r in few}) == 9000
+    monkeypatch.setattr(pfair_mix, "MOST_BLOCKS", 4_000_000)
     monkeypatch.setattr(pfair_mix, "BROADCAST_BLOCKS", 0)  # join by shuffle
     assert {(r["doc_id"], r["position"]) for r in pfair_mix.mix(df, block_docs=1).collect()} == {(r["doc_id"], r["position"]) for r in out}
 
