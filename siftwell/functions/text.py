@@ -53,6 +53,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """The value as a column that the optimizer does not copy into the filters and generators above it.
+
+    It takes a condition on a random number, which always holds, for a reason to evaluate the expression in one place.
+    """
+    return F.when(F.rand(0) >= 0, value)
+
+
 def has(text: Column, pattern: str, flags: str = FLAGS) -> Column:
     """Whether the pattern occurs; false for null."""
     return F.coalesce(text.rlike(flags + pattern), F.lit(False))

@@ -26,6 +26,13 @@ def best_copies(postings: DataFrame, ordinal: str = "ordinal", key: list[Column]
     return keyed.groupBy(*names).agg(best.alias("_row"), F.min(ordinal).alias("first_ordinal")).select("_row.*", "first_ordinal")
 
 
+def fetch_report(postings: DataFrame) -> DataFrame:
+    """raw, uniq (distinct by company and title) and no_description of a fetch, in one row."""
+    return postings.agg(
+        F.count("*").alias("raw"), F.count_distinct(dedupe_key(F.col("company"), F.col("title"))).alias("uniq"), F.count_if(~F.col("desc_available")).alias("no_description"),
+    )
+
+
 def with_id(postings: DataFrame) -> DataFrame:
     return postings.withColumn("id", posting_id(F.col("url")))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions.rules import keyword_score, level_confirmed, posting_id, title_matches
-from ..functions.text import strip, strip_tags
+from ..functions.text import once, strip, strip_tags
 from ..functions.tokens import coverage_line, coverage_score, explain_score, gap, sections, tokens_in, unscored_reason
 
 
@@ -29,7 +29,7 @@ def score(postings: DataFrame, mine: Column | Sequence[str] | None, confirmed: C
     sure = level_confirmed(F.col("level")) if confirmed is None else confirmed
     # in steps, so that each row's patterns are evaluated once
     split = postings.withColumn("_parts", sections(F.col("description")))
-    found = split.withColumns({"_req": tokens_in(F.col("_parts.required"), vocabulary), "_pref": tokens_in(F.col("_parts.preferred"), vocabulary)})
+    found = split.withColumns({"_req": once(tokens_in(F.col("_parts.required"), vocabulary)), "_pref": once(tokens_in(F.col("_parts.preferred"), vocabulary))})
     reported = found.withColumn("report", gap(F.col("_req"), F.col("_pref"), own))
     scored = reported.withColumn("score", coverage_score(F.col("report"), sure)).drop("_parts", "_req", "_pref")
     return scored.withColumns({

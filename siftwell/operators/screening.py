@@ -19,7 +19,7 @@ from ..functions.rules import (
     level,
     wrong_band,
 )
-from ..functions.text import stamp
+from ..functions.text import once, stamp
 from ..schemas import VIEW_VERSION
 from ..sources.folders import remove
 
@@ -27,12 +27,12 @@ from ..sources.folders import remove
 def screen(postings: DataFrame, wanted: Sequence[str] = K.JUNIOR_BANDS, include_internships: bool = False, sandbox_key: str = "company") -> DataFrame:
     """level, eligible, exclusions (failed gates in gate order) and kept beside the postings' columns. No shuffle.
 
-    Works on streaming frames alike. ``sandbox_key="tenant"`` tests the tenant instead of the company's name.
+    Filters on the result read it and do not screen again. Works on streaming frames alike. ``sandbox_key="tenant"`` tests the tenant instead of the company's name.
     """
     c = F.col
     judged = postings.withColumns({
-        "level": level(c("title"), c("description"), c("desc_available")),
-        "eligible": eligibility(c("description"), c("desc_available")),
+        "level": once(level(c("title"), c("description"), c("desc_available"))),
+        "eligible": once(eligibility(c("description"), c("desc_available"))),
     })
     intern = F.lit(False) if include_internships else is_internship(c("title"), c("employment_type"))
     failed = (
@@ -149,6 +149,11 @@ def expire(spark: SparkSession, folder: str, now: Column) -> list[str]:
     return gone
 
 
+def seeded_sample(rows: DataFrame, n: int = 50, seed: int = 7, key: str = "id") -> DataFrame:
+    """n rows in the order of a seeded digest of their key: the same at every run and however rows are dealt out. A top-k cut."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
 def evaluate(screened: DataFrame) -> DataFrame:
     """Bands by title markers alone against what is kept: a row per label with labelled, kept and share of kept."""
     from ..functions.rules import title_band

@@ -254,11 +254,11 @@ def open_rows(spark, sf_dir):
     return lifecycle.open_rows(synced).select("id", "posted_at")
 
 
-@query("ord_8_seeded_sample")
+@query("ord_8_seeded_sample", f"with {_SCREENED} select id, array_to_string(gates, ',') as exclusions from screened where not kept order by md5('7:' || id), id limit 50")
 def seeded_sample(spark, sf_dir):
-    """Fifty excluded rows by a seeded hash: the same at every run."""
+    """Fifty excluded rows by a seeded digest: the same at every run."""
     gated = _screened(spark, sf_dir).where("not kept").select("id", "exclusions")
-    return gated.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(50).select("id", F.array_join("exclusions", ",").alias("exclusions"))
+    return screening.seeded_sample(gated).select("id", F.array_join("exclusions", ",").alias("exclusions"))
 
 
 @query(
@@ -266,10 +266,7 @@ def seeded_sample(spark, sf_dir):
     f"""with {DAYS_SQL} select count(*) as raw, count(distinct (lower(company), lower(title))) as uniq, count(*) filter (not desc_available) as no_description from day2""",
 )
 def fetch_report(spark, sf_dir):
-    from ..functions.rules import dedupe_key
-
-    rows = fetch(spark, sf_dir)
-    return rows.agg(F.count("*").alias("raw"), F.count_distinct(dedupe_key(F.col("company"), F.col("title"))).alias("uniq"), F.count_if(~F.col("desc_available")).alias("no_description"))
+    return lifecycle.fetch_report(fetch(spark, sf_dir))
 
 
 @query(

@@ -13,7 +13,7 @@ from ..functions import urls as U
 from ..operators import backlog, inbox, lifecycle, paging, quality, runs, scoring, screening
 from ..schemas import POSTING, STORED, conform
 from ..sources import boards, feeds
-from ..sources.folders import shared_folder, written
+from ..sources.folders import shared_folder
 from ..streaming import postings as S
 from .more import _finished, _payloads, _stream
 from .queries import _SCORE_SQL, _SCREENED, _TRIAGED, _VIEWS_SQL, PROSE, _has, _published, _scored, _screened, _tokens_sql, _triaged, _view_rows, query
@@ -217,6 +217,22 @@ def score_explained(spark, sf_dir):
     )
 
 
+_Q = "chr(39)"
+
+
+@query(
+    "pipe_2_reasons",
+    f"""with {_VIEWS_SQL}, r as (select v.posting_id, v.view, v.level, p.title, p.company, p.employment_type, s.clearance, s.citizenship, s.refused, regexp_extract(p.title, '(?i){K.INTERNSHIP_TITLE}', 0) as hit,
+        s.level_source, s.years from view_rows v join postings p on v.posting_id = p.id join screened s on s.id = v.posting_id)
+      select posting_id, view, case view when '{K.GATES[0]}' then 'not a software engineering role: ' || {_Q} || title || {_Q} when '{K.GATES[1]}' then {_Q} || company || {_Q} || ' is an ATS vendor demo board, not an employer'
+        when '{K.GATES[2]}' then 'internship, not full-time — ' || case when hit <> '' then {_Q} || hit || {_Q} || ' in the title' else 'employment type ' || {_Q} || employment_type || {_Q} end
+        when '{K.GATES[3]}' then 'seniority band is ' || level || ', not entry-level' when '{K.GATES[4]}' then 'clearance required — ' || {_Q} || clearance || {_Q}
+        when '{K.GATES[5]}' then 'citizenship/ITAR — ' || {_Q} || citizenship || {_Q} when '{K.GATES[6]}' then 'will not sponsor — ' || {_Q} || refused || {_Q} else '' end as reason, {_LEVEL_SQL} as level_why from r""",
+)
+def gate_reasons(spark, sf_dir):
+    return _view_rows(spark, sf_dir).select("posting_id", "view", "reason", "level_why")
+
+
 # --- reads of a published view ----------------------------------------------------------------------------------------
 
 _RECENT = "posted_at desc nulls last, posting_id desc"
@@ -253,7 +269,7 @@ def filtered_items(spark, sf_dir):
     _SCORE_SQL + " select conv_id, turn from tiered where tier in ('strong', 'exact match')",
 )
 def tier_filter(spark, sf_dir):
-    return written(_scored(spark, sf_dir)).where(paging.tier_filter(["strong", "exact match"], "profile")).select("conv_id", "turn")
+    return _scored(spark, sf_dir).where(paging.tier_filter(["strong", "exact match"], "profile")).select("conv_id", "turn")
 
 
 @query(
@@ -500,7 +516,7 @@ def prose(spark, sf_dir):
 @query("chk_7_scores", _SCORE_SQL + " select conv_id, turn from tiered where turn % 3 = 0")
 def score_faults(spark, sf_dir):
     """Scores of every third turn lose their tier: these are the faults."""
-    s = written(_scored(spark, sf_dir).select("conv_id", "turn", "score"))
+    s = _scored(spark, sf_dir).select("conv_id", "turn", "score")
     broken = s.withColumn("score", s["score"].withField("tier", F.when(F.col("turn") % 3 != 0, s["score"]["tier"])))
     return quality.score_faults(broken).select("conv_id", "turn")
 

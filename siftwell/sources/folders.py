@@ -36,13 +36,6 @@ def remove(spark: SparkSession, folder: str) -> None:
     system.delete(target, True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read back: a filter on what is costly to compute then does not compute it twice."""
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(f"{folder}/rows")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
-
-
 def broadcast_small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """Broadcast a table that is counted to have at most ``most`` rows; a larger one is left to the planner."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
