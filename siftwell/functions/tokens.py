@@ -25,11 +25,16 @@ def needed(pattern: str) -> str:
     return head.replace("\\", "").upper()
 
 
+def begun(pattern: str) -> str:
+    """A pattern that begins at a word with its first letter said before: a look at a letter is far quicker than one for a word's boundary."""
+    return f"(?={pattern[2]}){pattern}" if re.match(r"\\b[A-Za-z0-9]", pattern) else pattern
+
+
 def tokens_in(text: Column, vocabulary: dict[str, tuple[str, ...]] = K.VOCABULARY) -> Column:
     """The sorted tokens of the vocabulary that a text states. One pass per row, no shuffle; a pattern runs only where its plain beginning occurs."""
 
     def found(upper: Column) -> Column:
-        one = lambda p: upper.contains(needed(p)) & has(text, p)
+        one = lambda p: upper.contains(needed(p)) & has(text, begun(p))
         hits = [F.when(reduce(lambda a, b: a | b, map(one, patterns)), F.lit(token)) for token, patterns in sorted(vocabulary.items())]
         return F.array_sort(F.array_compact(F.array(*hits)))
 

@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
-from ..functions.text import around, matches, or_empty, strip
+from ..functions.text import around, once, or_empty, strip
 from ..functions.tokens import tokens_in
 from ..sources.folders import broadcast_small
 
+#: Rows of a release table.
+RELEASES = 10_000
 _NONE = "array<struct<rule:string,detail:string>>"
 
 
@@ -36,13 +38,15 @@ def _declared(c: str, kind: str = "array<string>") -> Column:
 
 def numbers_in(text: Column) -> Column:
     """Numbers a reader would take as a claim: product names' numbers are blanked first."""
-    cleaned = F.regexp_replace(text, K.FLAGS + K.PRODUCT_NUMBERS, " ")
-    found = F.regexp_extract_all(cleaned, F.lit("(?U)" + K.NUMBER), F.lit(0))
+    # what the patterns begin with is said before their alternatives and boundaries
+    cleaned = F.regexp_replace(text, K.FLAGS + r"(?=[ohpsetub])" + K.PRODUCT_NUMBERS, " ")
+    found = F.regexp_extract_all(cleaned, F.lit(r"(?U)(?=\d)" + K.NUMBER), F.lit(0))
     return F.array_distinct(F.transform(found, lambda n: F.regexp_replace(n, r"\.+$", "")))
 
 
-def introduced_tokens() -> Column:
-    new = F.array_except(tokens_in(F.col("rewritten")), _declared("tech"))
+def introduced_tokens(tokens: Column | None = None) -> Column:
+    """tokens: those of the rewrite, where they are there already."""
+    new = F.array_except(tokens_in(F.col("rewritten")) if tokens is None else tokens, _declared("tech"))
     return _if(F.size(new) > 0, "v1-technology", F.concat(F.lit("introduces "), _list(new)))
 
 
@@ -69,10 +73,12 @@ def _near(text: Column, number: Column, subject: Column) -> Column:
     return F.exists(starts, lambda s: F.lower(around(text, s, F.length(number), K.SUBJECT_WINDOW)).contains(F.lower(subject)))
 
 
-def number_problems() -> Column:
+def number_problems(numbers: Column | None = None) -> Column:
+    """numbers: those of the rewrite, where they are there already."""
+    numbers = numbers_in(F.col("rewritten")) if numbers is None else numbers
     plain = lambda c: F.transform(c, lambda n: F.replace(n, F.lit(","), F.lit("")))
     allowed = F.coalesce(_allowed_numbers(), F.array().cast("array<string>"))
-    invented = F.filter(numbers_in(F.col("rewritten")), lambda n: ~F.array_contains(plain(allowed), F.replace(n, F.lit(","), F.lit(""))))
+    invented = F.filter(numbers, lambda n: ~F.array_contains(plain(allowed), F.replace(n, F.lit(","), F.lit(""))))
     stated = _if(F.size(invented) > 0, "v2-number", F.concat(F.lit("states "), _list(invented)))
     # the first number of a metric that stands away from its subject
     moved = F.filter(
@@ -115,11 +121,16 @@ def reused_numbers() -> Column:
     return F.transform(more, lambda n: F.struct(F.lit("v9-borrowed-digit").alias("rule"), n.alias("detail")))
 
 
-def new_names() -> Column:
-    words = F.regexp_extract_all("rewritten", F.lit(K.WORD), F.lit(0))
-    rest = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-    source = F.regexp_extract_all("text", F.lit(K.WORD), F.lit(0))
-    odd = F.filter(F.array_except(rest, source), lambda w: (F.length(w) > 1) & w.rlike("^[A-Z]"))
+def names_in(text: Column, rest: bool = False) -> Column:
+    """The distinct words of more than one letter that begin with a capital; with ``rest`` without the text's first word."""
+    words = F.regexp_extract_all(text, F.lit(K.WORD), F.lit(0))
+    some = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))) if rest else words
+    return F.array_distinct(F.filter(some, lambda w: (F.length(w) > 1) & w.rlike("^[A-Z]")))
+
+
+def new_names(names: Column | None = None, source: Column | None = None) -> Column:
+    """names and source: those of the rewrite (its first word left out) and of the text, where they are there already."""
+    odd = F.array_except(names_in(F.col("rewritten"), rest=True) if names is None else names, names_in(F.col("text")) if source is None else source)
     return _if(F.size(odd) > 0, "v10-proper-noun", _list(odd))
 
 
@@ -142,19 +153,38 @@ def anachronisms(pairs: DataFrame, released: DataFrame) -> DataFrame:
     return late.select("doc_id", "bullet_id", F.lit("v3-temporal").alias("rule"), F.concat_ws(" ", "token", "released").alias("detail"))
 
 
+def late_tokens(tokens: Column, released: DataFrame) -> Column:
+    """As :func:`anachronisms`, as a column: the release table, of at most ``RELEASES`` rows, becomes a map."""
+    rows = released.limit(RELEASES + 1).collect()
+    if len(rows) > RELEASES:
+        raise ValueError(f"a release table of more than {RELEASES} rows is no parameter")
+    if not rows:
+        return F.array().cast(_NONE)
+    at = F.create_map(*(F.lit(x) for r in rows for x in (r["token"], r["released"])))
+    late = F.filter(tokens, lambda t: (or_empty(F.col("entry_start")) != "") & (F.try_element_at(at, t) > F.col("entry_start")))
+    return F.transform(late, lambda t: F.struct(F.lit("v3-temporal").alias("rule"), F.concat_ws(" ", t, F.try_element_at(at, t)).alias("detail")))
+
+
 def released_table(spark) -> DataFrame:
     return spark.range(1).select(F.explode(F.create_map(*(F.lit(x) for pair in K.RELEASED.items() for x in pair))).alias("token", "released"))
 
 
 def audit(bullets: DataFrame, rewrites: DataFrame, released: DataFrame | None = None, budgets: DataFrame | None = None, strict: bool = True) -> DataFrame:
-    """All violations (doc_id, bullet_id, rule, detail). The temporal rule needs ``released``, the width rule ``budgets``."""
-    pairs = bullets.join(rewrites, ["doc_id", "bullet_id"])
+    """All violations (doc_id, bullet_id, rule, detail). The temporal rule needs ``released``, the width rule ``budgets``.
+
+    What is found in one text alone is found before the join, where the texts are read.
+    """
+    text = F.col("rewritten")
+    read = rewrites.withColumns({"_tokens": once(tokens_in(text)), "_numbers": once(numbers_in(text)), "_names": once(names_in(text, rest=True))})
+    pairs = bullets.withColumn("_source", once(names_in(F.col("text")))).join(read, ["doc_id", "bullet_id"])
     pairs = pairs.withColumn("budget", F.lit(None).cast("int")) if budgets is None else pairs.join(budgets, "bullet_id", "left")
-    rules = [introduced_tokens(), number_problems(), placeholders(), width()]
-    rules += [lead_verb(), dropped_text(), reused_numbers(), new_names()] if strict else []
-    rows = pairs.select("doc_id", "bullet_id", F.explode(F.concat(*rules)).alias("x")).select("doc_id", "bullet_id", "x.rule", "x.detail")
-    rows = rows.unionByName(structure(bullets, rewrites))
-    return rows if released is None else rows.unionByName(anachronisms(pairs, released))
+    tokens = F.col("_tokens")
+    rules = [introduced_tokens(tokens), number_problems(F.col("_numbers")), placeholders(), width()]
+    rules += [lead_verb(), dropped_text(), reused_numbers(), new_names(F.col("_names"), F.col("_source"))] if strict else []
+    rules += [] if released is None else [late_tokens(tokens, released)]
+    found = pairs.select("doc_id", "bullet_id", once(F.concat(*rules)).alias("found"))
+    rows = found.select("doc_id", "bullet_id", F.explode("found").alias("x")).select("doc_id", "bullet_id", "x.rule", "x.detail")
+    return rows.unionByName(structure(bullets, rewrites))
 
 
 def verdicts(bullets: DataFrame, violations: DataFrame) -> DataFrame:
