@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
@@ -73,14 +73,19 @@ def labels(spark, sf_dir):
 
 # --- sources ---------------------------------------------------------------------------------------------------------
 
-_HTML = F.concat(F.lit("&lt;p&gt;"), F.translate("text", "<>&", ""), F.lit("&lt;/p&gt;&lt;script&gt;a()&lt;/script&gt;"))
+
+
+def _html() -> Column:
+    return F.concat(F.lit("&lt;p&gt;"), F.translate("text", "<>&", ""), F.lit("&lt;/p&gt;&lt;script&gt;a()&lt;/script&gt;"))
+
+
 _HTML_SQL = f"md5({_readable_sql(chr(39) + ' ' + chr(39) + ' || translate(text, ' + chr(39) + '<>&' + chr(39) + ', ' + chr(39) + chr(39) + ')')})"
 _WORDLESS = f"{_readable_sql('translate(text, ' + chr(39) + '<>&' + chr(39) + ', ' + chr(39) + chr(39) + ')')} = ''"
 
 
 def _nested(n):
     return {
-        "title": F.lit("Dev"), "absolute_url": F.concat(F.lit("https://x/"), n.cast("string")), "content": _HTML, "company_name": F.when(n % 2 == 0, "Beta"), "location": F.struct(F.col("lang").alias("name")),
+        "title": F.lit("Dev"), "absolute_url": F.concat(F.lit("https://x/"), n.cast("string")), "content": _html(), "company_name": F.when(n % 2 == 0, "Beta"), "location": F.struct(F.col("lang").alias("name")),
         "requisition_id": F.when(n % 3 == 0, F.concat(F.lit("R"), n.cast("string"))), "id": n, "first_published": F.when(n % 4 == 0, "2024-02-01"), "updated_at": F.lit("2024-03-01T00:00:00Z"),
     }
 
@@ -113,7 +118,7 @@ def search_jobs(spark, sf_dir):
 
 def _widget(n):
     return {
-        "title": F.when(n % 7 != 0, "Dev"), "shortlink": F.concat(F.lit("https://x/"), n.cast("string")), "description": F.when(n % 2 == 0, F.lit("<br>")), "full_description": _HTML,
+        "title": F.when(n % 7 != 0, "Dev"), "shortlink": F.concat(F.lit("https://x/"), n.cast("string")), "description": F.when(n % 2 == 0, F.lit("<br>")), "full_description": _html(),
         "city": F.col("lang"), "shortcode": F.concat(F.lit("S"), n.cast("string")), "created_at": F.lit("2024-01-01"),
     }
 
