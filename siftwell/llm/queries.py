@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_search, byte_bpe, language_id, line_dedup, near_dedup, pfair_mix, quality_rules, substring_dedup, url_filter, warc
+from . import block_search, byte_bpe, hard_negatives, language_id, line_dedup, near_dedup, pfair_mix, quality_rules, substring_dedup, url_filter, warc
 from .oracles import ORACLES
 
 RULES = (
@@ -71,12 +71,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ten = (
+    every = (
         op1_substring_dedup, op2_quality_rules, op3_language_id, op4_warc, op5_block_search, op6_pfair_mix, op7_near_dedup, op8_line_dedup,
-        op9_url_filter, op10_byte_bpe,
+        op9_url_filter, op10_byte_bpe, op11_hard_negatives,
     )
-    return {f.__name__: f for f in all_ten}
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
