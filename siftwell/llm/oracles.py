@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import ORACLE as OP12
 from .hard_negatives import ORACLE as OP11
 from .line_dedup import ORACLE as OP8
 from .quality_rules import END, Rules
@@ -79,4 +80,4 @@ parts as (select a as doc_id, min(b) as component_id from reach group by a)
 select w.doc_id, coalesce(s.n, 0) as n_shingles, p.component_id, w.doc_id = p.component_id as kept from w left join sizes s on w.r = s.r left join parts p on w.doc_id = p.doc_id
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_quality_rules": OP2, "op4_warc": OP4, "op5_block_search": OP5, "op7_near_dedup": OP7, "op8_line_dedup": OP8, "op11_hard_negatives": OP11}
+ORACLES = {"op1_substring_dedup": OP1, "op2_quality_rules": OP2, "op4_warc": OP4, "op5_block_search": OP5, "op7_near_dedup": OP7, "op8_line_dedup": OP8, "op11_hard_negatives": OP11, "op12_collocations": OP12}

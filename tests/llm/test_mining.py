@@ -1,11 +1,13 @@
 """Hard negatives, phrases and packing against brute force on small tables, odd rows included."""
 
 import random
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from siftwell.llm import hard_negatives
+from siftwell.llm import collocations, hard_negatives
 
 
 def test_strassen_is_exact():
@@ -49,3 +51,81 @@ def test_hard_negatives_against_brute_force(spark, monkeypatch):
         got = hard_negatives.mine(df.repartition(3), F.col("vec_id") % 50 == 0)
         assert sorted(map(tuple, got.collect())) == want
     assert not hard_negatives.mine(df.limit(0), F.col("vec_id") % 50 == 0).collect()
+
+
+PIECE, WORD = re.compile(r"[.,;:!?\x0A-\x0D]"), re.compile(r"[^\x20\x09]+")
+
+
+def pieces_of(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return [WORD.findall(p) for p in PIECE.split(low)]
+
+
+def brute_phrases(rows, min_count, depth, best, percent):
+    counts, totals = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        for w in pieces_of(text):
+            totals[lang or "und" if lang is None else lang] += len(w)
+            for k in range(1, depth + 1):
+                for i in range(len(w) - k + 1):
+                    counts["und" if lang is None else lang][tuple(w[i : i + k])] += 1
+    out = []
+    for lang, f in counts.items():
+        common = {p: a for p, a in f.items() if len(p) > 1 and a >= min_count}
+        scored = []
+        for p, a in common.items():
+            score, k = min((1000000 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            inside = any(len(q) > len(p) and 100 * b >= percent * a and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, b in common.items())
+            if not inside:
+                scored.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, n + 1, p.decode(), -a, l, r, totals[lang], -s) for n, (s, a, p, l, r) in enumerate(sorted(scored)[:best])]
+    return sorted(out)
+
+
+def test_index_counts_phrases_both_ways():
+    rng = random.Random(1)
+    for _ in range(40):
+        ids = np.array([0, *(rng.choice([0, 1, 1, 2, 3, 4]) for _ in range(rng.randint(1, 80))), 0])
+        top = int(ids.max())
+        if not top:
+            continue
+        index = collocations.Index.of(ids, 4)
+        text = ids.tolist()
+        want = [Counter(tuple(text[i : i + k]) for i in range(len(text) - k + 1) if 0 not in text[i : i + k]) for k in (1, 2, 3, 4)]
+        for turns in ((True, True, True), (False, False, False), (True, False, True), (False, True, False)):
+            found = index.words()
+            for k, left in zip(range(4), (*turns, None)):
+                assert {tuple(w): n for w, n in zip(found.words.tolist(), found.count.tolist()) if n} == want[k]
+                # both directions hold the same phrase: what follows and precedes agrees with the text
+                found = index.extend(found, left) if left is not None else found
+
+
+def test_long_texts_are_cut_without_losing_phrases():
+    rng = random.Random(2)
+    for size in (8, 20, 57):
+        for _ in range(60):
+            text = "".join(rng.choice(["a ", "b ", "cc ", "ddddddddddddddd ", ". ", "\t", "  ", "\n", "e"]) for _ in range(rng.randint(0, 80)))
+            want, got = Counter(), Counter()
+            for w in pieces_of(text):
+                want.update(tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+            parts = list(collocations._segments(text, size, 3))
+            for part, weight in parts:
+                for w in pieces_of(part.decode()):
+                    for k in (1, 2, 3):
+                        for i in range(len(w) - k + 1):
+                            got[tuple(w[i : i + k])] += weight
+            assert {p: n for p, n in got.items() if n} == want, text
+
+
+def test_collocations_against_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["new", "New", "york", "the", "of", "été", "漢字", "x\x1cy", "a\x00b", "\xa0", "𝒳", "#"]) if rng.random() < 0.7 else f"w{rng.randint(0, 300)}"
+    glue = lambda: rng.choice([" ", " ", " ", " ", "\t", "  ", ", ", ". ", "\n", "!?", "\x0b"])
+    rows = [(rng.choice(["en", "en", "en", "de", None, ""]), "".join(word() + glue() for _ in range(rng.randint(0, 120)))) for _ in range(300)]
+    rows += [("en", None), ("en", ""), ("fr", " \t .,"), ("de", "ja wohl " * 3000), ("de", "machine learning model. " * 40), ("xx", "one pair of words")]
+    df = spark.createDataFrame(rows, "lang string, text string").withColumns({"phrase": F.lit("x"), "shard": F.lit(1), "n": F.lit(2)})
+    for percent, size, depth, best in ((50, 0, 3, 2000), (80, 700, 3, 15), (50, 3000, 4, 40)):
+        want = brute_phrases(rows, 10, depth, best, percent)
+        got = collocations.mine(df.repartition(5), max_words=depth, best=best, absorb_percent=percent, shard_bytes=size)
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 40
+    assert not collocations.mine(df.limit(0)).collect()
