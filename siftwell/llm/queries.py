@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_search, byte_bpe, collocations, hard_negatives, language_id, line_dedup, near_dedup, pfair_mix, quality_rules, substring_dedup, url_filter, warc
+from . import bin_completion, block_search, byte_bpe, collocations, hard_negatives, language_id, line_dedup, near_dedup, pfair_mix, quality_rules, substring_dedup, url_filter, warc
 from .oracles import ORACLES
 
 RULES = (
@@ -80,10 +80,14 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir, "documents"))
 
 
+def op13_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_completion.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_substring_dedup, op2_quality_rules, op3_language_id, op4_warc, op5_block_search, op6_pfair_mix, op7_near_dedup, op8_line_dedup,
-        op9_url_filter, op10_byte_bpe, op11_hard_negatives, op12_collocations,
+        op9_url_filter, op10_byte_bpe, op11_hard_negatives, op12_collocations, op13_bin_completion,
     )
     return {f.__name__: f for f in every}
 

@@ -2,12 +2,16 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from siftwell.llm import collocations, hard_negatives
+from siftwell.llm import bin_completion, collocations, hard_negatives
 
 
 def test_strassen_is_exact():
@@ -129,3 +133,118 @@ def test_collocations_against_brute_force(spark):
         got = collocations.mine(df.repartition(5), max_words=depth, best=best, absorb_percent=percent, shard_bytes=size)
         assert sorted(map(tuple, got.collect())) == want and len(want) > 40
     assert not collocations.mine(df.limit(0)).collect()
+
+
+@pytest.fixture(scope="module")
+def words_file():
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def tokenizer(words_file):
+    t = Tokenizer.from_file(words_file)
+    t.encode_special_tokens = True
+    return t
+
+
+def test_parts_of_words_have_the_ids_of_whole_texts(words_file, tokenizer, monkeypatch):
+    with open(words_file, encoding="utf-8") as file:
+        tokens = bin_completion.Tokens(file.read(), kept=50)  # forgets again and again
+    rng = random.Random(0)
+    chars = list("abIHJTWYhjtwyéÉß.,'’s\"!-_ \t\n\xa0̱̌́̇İ×÷Σς漢😀019²½\x85\x1c\x0b<|>") + ["'s", "'re", "n't", "<|endoftext|>", "don't ", "HE'LL "]
+    monkeypatch.setattr(bin_completion, "SLICE_BYTES", 40)
+    for _ in range(150):
+        texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 90))) for _ in range(rng.randint(1, 6))]
+        got = defaultdict(list)
+        for held in bin_completion._slices([x.encode() for x in texts]):
+            ids, ends = tokens.encode([t for _, t, _ in held])
+            for (row, _, _), own in zip(held, np.split(ids, ends[:-1])):
+                got[row] += own.tolist()
+        for i, text in enumerate(texts):
+            assert got[i] == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def check_packing(counts, packing):
+    cap, used = len(counts) - 1, Counter()
+    for filling, n in packing:
+        assert n > 0 and sum(x * k for x, k in filling) <= cap
+        for x, k in filling:
+            used[x] += k * n
+    assert used == Counter({i: n for i, n in enumerate(counts) if n})
+    return sum(n for _, n in packing)
+
+
+def fewest(pieces, cap):
+    """By trying everything: pieces into bins, longest first, equal rooms once."""
+    pieces, best = sorted(pieces, reverse=True), [len(pieces)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(rooms)
+            return
+        for r in {r for r in rooms if r >= pieces[i]}:
+            rest = list(rooms)
+            rest.remove(r)
+            go(i + 1, (*rest, r - pieces[i]))
+        go(i + 1, (*rooms, cap - pieces[i]))
+
+    go(0, ())
+    return best[0]
+
+
+def test_bin_completion_finds_the_fewest_sequences():
+    rng, better = random.Random(3), 0
+    for case in range(150):
+        cap = rng.choice([20, 60, 100])
+        pieces = [rng.randint(1 if case % 3 else cap // 4, cap if case % 2 else cap // 2 + 1) for _ in range(rng.randint(0, 10))]
+        counts = [pieces.count(i) for i in range(cap + 1)]
+        greedy, found = check_packing(counts, bin_completion.best_fit(counts := np.array(counts))), check_packing(counts, bin_completion.complete(counts))
+        assert bin_completion.lower_bound(counts) <= found == fewest(pieces, cap)
+        better += found < greedy
+    # best fit takes 4 sequences here, completion 3
+    hard = np.bincount([44, 6, 24, 24, 23, 22, 21, 26, 50, 26, 24, 8][:11], minlength=101)
+    assert check_packing(hard, bin_completion.complete(hard)) == fewest(np.repeat(np.arange(101), hard).tolist(), 100)
+    assert better
+
+
+def test_bin_completion_on_many_pieces():
+    rng = np.random.default_rng(1)
+    for draw in (lambda: rng.integers(1, 2049, 200_000), lambda: rng.integers(600, 1100, 50_000), lambda: np.minimum(2048, rng.geometric(0.003, 100_000)), lambda: np.full(10_001, 2), lambda: rng.choice([1025, 700, 323, 5], 5_000)):
+        counts = np.bincount(draw(), minlength=2049)
+        greedy, found = check_packing(counts, bin_completion.best_fit(counts)), check_packing(counts, bin_completion.complete(counts, steps=3000))
+        assert bin_completion.lower_bound(counts) <= found <= greedy
+
+
+def test_fillings_do_not_dominate_each_other():
+    counts = np.bincount([30, 30, 20, 10, 10, 7, 3], minlength=61)
+    assert bin_completion.fillings(counts, 30) == [((30, 1),)]
+    assert all(sum(x * k for x, k in f) <= 47 for f in bin_completion.fillings(counts, 47))
+    assert bin_completion.fillings(counts, 47)[0] == ((30, 1), (10, 1), (7, 1))
+    assert bin_completion._dominates(((30, 1),), ((20, 1), (10, 1))) and not bin_completion._dominates(((20, 1), (10, 1)), ((30, 1),))
+
+
+def test_packing_against_the_library(spark, tokenizer, words_file, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["The", "quick", "brown", "don't", "été", "漢字", "x9", "."]) for _ in range(rng.choice([0, 1, 3, 20, 60, 300])))) for i in range(150)]
+    rows += [(1000, None), (1001, ""), (1002, "one two"), (1002, "one two"), (1002, "three"), (None, "no id"), (1003, "long text " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"length": F.lit("x"), "n": F.lit(1), "_part": F.lit(2), "piece": F.lit(None)})
+    monkeypatch.setattr(bin_completion, "SLICE_BYTES", 5000)
+    got = bin_completion.pack(df.repartition(3), words_file, capacity=64, with_ids=True).collect()
+    want = Counter()
+    for i, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        for piece, start in enumerate(range(0, len(ids), 64)):
+            own = ids[start : start + 64]
+            want[i, piece, start, len(own), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own)), tuple(own)] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32, tuple(r.token_ids)) for r in got) == want
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for own in sequences.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= 64
+    counts = np.bincount([r.length for r in got], minlength=65)
+    assert bin_completion.lower_bound(counts) <= len(sequences) <= sum(n for _, n in bin_completion.best_fit(counts))
+    assert not bin_completion.pack(df.limit(0), words_file).collect()
