@@ -17,6 +17,7 @@ length are tokenised whole, a slice at a time. An empty table gives no rows.
 from __future__ import annotations
 
 import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 from .common import materialise, partitions, release
 
 #: Bytes of text tokenised at once, and words whose ids a worker keeps.
-SLICE_BYTES, KEPT = 2 << 20, 300_000
+SLICE_BYTES, KEPT = 4 << 20, 800_000
 #: Steps of the search, and fillings tried at each.
 STEPS, FILLINGS = 20_000, 3
 
@@ -49,66 +50,90 @@ _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
 def units(buf: bytes) -> pa.Array:
-    """Cut a text into runs of spaces and parts of words at places where the tokenizer starts anew in any case.
+    """Cut a text into parts of words, each with the spaces behind it, at places where the tokenizer starts anew in any case.
 
-    These are white space, the place between a letter and a mark, and that between a mark other than ``'`` and a letter (ASCII;
+    These are behind white space, between a letter and a mark, and between a mark other than ``'`` and a letter (ASCII;
     before a mark also Latin-1 letters). Capitals followed by ASCII are lower-cased: nothing can combine with them.
     """
     arr = np.frombuffer(buf.translate(_SPACES), np.uint8)
     space, letter, mark = arr == 32, _LETTER[arr], _MARK[arr]
     capital = _CAPITAL[arr]
     capital[:-1] &= arr[1:] < 128
-    low = np.where(capital, arr + 32, arr).astype(np.uint8)
+    low = arr + np.uint8(32) * capital
     before = letter.copy()
     before[1:] |= (arr[:-1] == 0xC3) & (arr[1:] != 0x97) & (arr[1:] != 0xB7)  # é and the like, not × and ÷
     cut = np.ones(len(arr) + 1, bool)
-    cut[1:-1] = (space[1:] != space[:-1]) | (before[:-1] & mark[1:]) | (mark[:-1] & (arr[:-1] != 39) & letter[1:])
-    offsets = np.flatnonzero(cut).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(low)])
+    cut[1:-1] = (space[:-1] & ~space[1:]) | (before[:-1] & mark[1:]) | (mark[:-1] & (arr[:-1] != 39) & letter[1:])
+    offsets = np.flatnonzero(cut).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(low)])
 
 
 class Tokens:
     """Ids of texts, by a word table of the tokenizer's results."""
 
-    def __init__(self, definition: str, kept: int = KEPT):
-        import os
+    #: Plain words that are given to the tokenizer as one text.
+    TOGETHER = 256
 
+    def __init__(self, definition: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_str(definition), kept
         self.tokenizer.encode_special_tokens = True  # special tokens' strings are ordinary text
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[bytes, int] = {}
         self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters only: many in one text, told apart by the tokens that end a word."""
+        n = self.TOGETHER
+        ids, _ = self._encode([b" ".join(words[i : i + n]).decode() for i in range(0, len(words), n)])
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) == len(words) and (not len(words) or last[-1] == len(ids) - 1):
+            return ids, np.diff(np.r_[-1, last])
+        return self._encode([w.decode() for w in words])
+
     def _places(self, words: list[bytes]) -> np.ndarray:
         if len(self.place) > self.kept:
             self._forget()
-        new = [w for w in words if w not in self.place]
+        known = self.place
+        out = [known.get(w, -1) for w in words]
+        new = [i for i, at in enumerate(out) if at < 0]
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            sizes = np.array([len(x) for x in found], np.int64)
-            self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(sizes) - sizes]
-            self.sizes = np.r_[self.sizes, sizes]
-            self.ids = np.r_[self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))]
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        return np.array([self.place[w] for w in words], np.int64)
+            fresh = list(dict.fromkeys(words[i] for i in new))
+            plain = [w.isalpha() for w in fresh]  # of bytes: ASCII letters
+            for encode, own in ((self._plain, [w for w, p in zip(fresh, plain) if p]), (lambda x: self._encode([w.decode() for w in x]), [w for w, p in zip(fresh, plain) if not p])):
+                ids, sizes = encode(own)
+                self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(sizes) - sizes]
+                self.sizes, self.ids = np.r_[self.sizes, sizes], np.r_[self.ids, ids]
+                known.update(zip(own, range(len(known), len(known) + len(own))))
+            for i in new:
+                out[i] = known[words[i]]
+        return np.array(out, np.int64)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind one another, and where each text's end."""
         ends = np.cumsum([len(t) + 1 for t in texts])  # a space parts the texts
         items = units(b" ".join(texts) + b" ")
         coded = items.dictionary_encode()
-        at = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        at = self._places([w.rstrip(b" ") for w in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
         sizes = self.sizes[at]
         after = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.starts[at] - after + sizes, sizes) + np.arange(int(after[-1]) if len(after) else 0)]
-        offsets = np.frombuffer(items.buffers()[1], np.int64)[: len(items) + 1]
-        # a text ends before its space; a run of spaces may cross into the next text, but has no ids
-        return ids, np.r_[0, after][np.searchsorted(offsets, ends - 1, side="left")]
+        ids = self.ids[np.repeat(self.starts[at] - after + sizes, sizes) + np.arange(int(after[-1]))]
+        starts = np.frombuffer(items.buffers()[1], np.int32)[: len(items)]
+        # parts of a text begin before the space that ends it
+        return ids, np.r_[0, after][np.searchsorted(starts, ends - 1, side="left")]
 
 
 def _slices(texts: list[bytes]) -> Iterator[list[tuple[int, bytes, bool]]]:
