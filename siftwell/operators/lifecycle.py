@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed as K
 from ..functions.rules import dedupe_key, posting_id
 from ..schemas import STORED, conform
-from ..sources.folders import remove
+from ..sources.folders import children, exists, remove
 
 
 def best_copies(postings: DataFrame, ordinal: str = "ordinal", key: list[Column] | None = None, text: str = "description") -> DataFrame:
@@ -43,14 +43,16 @@ def split_known(fetch: DataFrame, corpus: DataFrame, key: str = "id") -> tuple[D
     return ids.join(have, key, "left_semi"), ids.join(have, key, "left_anti")
 
 
-def merge(corpus: DataFrame, fetch: DataFrame, now: Column) -> DataFrame:
+def merge(corpus: DataFrame, fetch: DataFrame, now: Column, close: bool = False) -> DataFrame:
     """Upsert a fetch. A match is seen now, is open again, and takes title and location, and the description only if there is one.
 
-    All else keeps what was first seen. New rows come in; rows not fetched stay as they are. One full outer join on id.
+    All else keeps what was first seen. New rows come in; rows not fetched stay as they are, or with ``close`` those that are open are
+    closed now. One full outer join on id, which knows who came, so that closing takes no join of its own.
     """
     schema = corpus.columns
-    latest = fetch.groupBy("id").agg(F.max_by(F.struct(*fetch.columns), F.struct(F.col("desc_available"), F.length("description"), "url")).alias("_f")).select("_f.*")
-    f = latest.select(*(F.col(c).alias(f"f_{c}") for c in latest.columns))
+    latest = fetch.groupBy("id").agg(F.max_by(F.struct(*fetch.columns), F.struct(F.col("desc_available"), F.length("description"), "url")).alias("_f"))
+    # the key itself, not its copy in the struct: the join finds the rows dealt out by it
+    f = latest.select(F.col("id").alias("f_id"), *(F.col(f"_f.{c}").alias(f"f_{c}") for c in fetch.columns if c != "id"))
     both = corpus.join(f, corpus["id"] == f["f_id"], "full_outer")
     came, old = F.col("f_id").isNotNull(), F.col("id").isNotNull()
     fresh_text = came & (F.col("f_desc_available") | ~old)
@@ -58,13 +60,13 @@ def merge(corpus: DataFrame, fetch: DataFrame, now: Column) -> DataFrame:
         "id": F.coalesce("id", "f_id"),
         "last_seen": F.when(came, now).otherwise(F.col("last_seen")),
         "first_seen": F.when(old, F.col("first_seen")).otherwise(now),
-        "closed_at": F.when(~came, F.col("closed_at")),
+        "closed_at": F.when(~came, F.coalesce("closed_at", now) if close else F.col("closed_at")),
         "title": F.when(came, F.col("f_title")).otherwise(F.col("title")),
         "location": F.when(came, F.col("f_location")).otherwise(F.col("location")),
         "description": F.when(fresh_text, F.col("f_description")).otherwise(F.col("description")),
         "desc_available": F.coalesce(F.col("desc_available"), F.lit(False)) | F.coalesce(F.col("f_desc_available"), F.lit(False)),
     }
-    fetched = set(latest.columns)
+    fetched = set(fetch.columns)
     out = []
     for c in schema:
         keep = F.when(old, F.col(c)).otherwise(F.col(f"f_{c}")) if c in fetched else F.col(c)
@@ -99,8 +101,8 @@ def closing_refused(fetch: DataFrame, sources: DataFrame | None = None) -> str |
 
 def sync(corpus: DataFrame, fetch: DataFrame, now: Column, sources: DataFrame | None = None) -> tuple[DataFrame, str | None]:
     """Merge, then close what vanished unless that is refused; the corpus and the refusal."""
-    merged, refused = merge(corpus, fetch, now), closing_refused(fetch, sources)
-    return (merged if refused else close_missing(merged, fetch, now)), refused
+    refused = closing_refused(fetch, sources)
+    return merge(corpus, fetch, now, close=not refused), refused
 
 
 def mark_applied(corpus: DataFrame, events: DataFrame) -> DataFrame:
@@ -141,19 +143,34 @@ def open_rows(corpus: DataFrame) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, folder: str, keep: int = 3) -> str:
-    """Write a snapshot in a directory of its own, then a pointer row: readers see all of it or the one before. The last ``keep`` stay."""
+    """Write a snapshot in a directory of its own, then a numbered pointer: readers see all of it or the one before.
+
+    The last ``keep`` stay; what falls out goes with its pointer, so there are never more than these to look at.
+    """
     run, spark = uuid.uuid4().hex, df.sparkSession
     df.write.parquet(f"{folder}/run={run}")
-    pointer = df.sparkSession.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("at"))
-    pointer.write.mode("append").parquet(f"{folder}_pointer")
-    for old in spark.read.parquet(f"{folder}_pointer").orderBy(F.desc("at")).select("run").collect()[keep:]:
-        remove(spark, f"{folder}/run={old['run']}")
+    known = _pointers(spark, folder)
+    pointer = spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("at"))
+    pointer.write.parquet(f"{folder}_pointer/v={(known[-1] if known else 0) + 1}")
+    for old in known[: max(0, len(known) + 1 - keep)]:
+        remove(spark, f"{folder}/run={_run(spark, folder, old)}")
+        remove(spark, f"{folder}_pointer/v={old}")
     return run
 
 
+def _pointers(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the pointers that were written whole, oldest first."""
+    found = [name for name in children(spark, f"{folder}_pointer") if name.startswith("v=")]
+    return sorted(int(name[2:]) for name in found if exists(spark, f"{folder}_pointer/{name}/_SUCCESS"))
+
+
+def _run(spark: SparkSession, folder: str, pointer: int) -> str:
+    return spark.read.schema("run string").parquet(f"{folder}_pointer/v={pointer}").first()["run"]
+
+
 def read_snapshot(spark: SparkSession, folder: str, schema: str = STORED) -> DataFrame:
     """The newest snapshot, columns added since it was written filled in."""
-    run = spark.read.parquet(f"{folder}_pointer").orderBy(F.desc("at")).first()["run"]
+    run = _run(spark, folder, _pointers(spark, folder)[-1])
     return conform(spark.read.parquet(f"{folder}/run={run}"), schema)
 
 

@@ -10,7 +10,7 @@ from ..functions import rules as R
 from ..functions import text as X
 from ..functions import tokens as N
 from ..functions import urls as U
-from ..operators import backlog, inbox, lifecycle, paging, quality, runs, scoring, screening
+from ..operators import backlog, buckets, inbox, lifecycle, paging, quality, runs, scoring, screening
 from ..schemas import POSTING, STORED, conform
 from ..sources import boards, feeds
 from ..sources.folders import shared_folder
@@ -531,14 +531,16 @@ def score_faults(spark, sf_dir):
 
 @query("str_1_merge", f"with {DAYS_SQL} select id, title, description, closed_at from merged")
 def merge_stream(spark, sf_dir):
-    """STR-1: the second day's fetch as a stream, merged micro-batch by micro-batch into the stored corpus."""
+    """STR-1: the second day's fetch as a stream of three batches that overlap, each merged into the buckets it touches."""
     folder = shared_folder(spark)
-    lifecycle.write_snapshot(corpus(spark, sf_dir), f"{folder}/corpus")
+    buckets.create(corpus(spark, sf_dir), f"{folder}/corpus", buckets=8)
     came = fetch(spark, sf_dir).withColumn("fetched_at", F.lit(DAY_2).cast("timestamp"))
-    came.repartition(3, "id").write.parquet(f"{folder}/fetch")
+    part = F.pmod(F.xxhash64("id"), F.lit(8))
+    for first, last in ((0, 3), (2, 5), (5, 7)):  # by bucket; the third bucket's rows come twice
+        came.where(part.between(first, last)).coalesce(1).write.mode("append").parquet(f"{folder}/fetch")
     live = spark.readStream.schema(came.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/fetch")
-    S.merge_stream(live, lambda: lifecycle.read_snapshot(spark, f"{folder}/corpus"), f"{folder}/corpus", f"{folder}/checkpoint").awaitTermination()
-    return lifecycle.read_snapshot(spark, f"{folder}/corpus").select("id", "title", "description", "closed_at")
+    S.merge_stream(live, f"{folder}/corpus", f"{folder}/checkpoint").awaitTermination()
+    return buckets.read(spark, f"{folder}/corpus").select("id", "title", "description", "closed_at")
 
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"

@@ -30,6 +30,12 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return system.exists(target)
 
 
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names of a folder's entries; none where there is no folder."""
+    system, target = _path(spark, folder)
+    return sorted(entry.getPath().getName() for entry in system.listStatus(target)) if system.exists(target) else []
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Remove a folder, or nothing where there is none."""
     system, target = _path(spark, folder)

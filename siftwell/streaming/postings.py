@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.lifecycle import merge, write_snapshot
+from ..operators import buckets
 from ..operators.screening import screen
 
 
-def merge_stream(fetches: DataFrame, read: Callable[[], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
-    """Merge each micro-batch into the corpus: the batch upsert inside ``foreachBatch``. fetches need a ``fetched_at``.
+def merge_stream(fetches: DataFrame, folder: str, checkpoint: str, stream: str = "fetches") -> StreamingQuery:
+    """Merge each micro-batch into the bucketed corpus in ``folder`` (``operators.buckets``). fetches need a ``fetched_at``.
 
-    read gives the corpus as it is; the merged one is a new snapshot in ``folder``. A batch that is repeated merges to the same rows.
+    A batch rewrites only the buckets that hold its ids. The manifest names the stream and its epoch, so that a batch that is
+    repeated after a failure changes nothing.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        if batch.take(1):
-            now = F.lit(batch.agg(F.max("fetched_at")).first()[0])
-            write_snapshot(merge(read(), batch.drop("fetched_at"), now), folder)
+        latest = batch.agg(F.max("fetched_at")).first()[0]
+        if latest is not None:
+            buckets.merge_into(batch.drop("fetched_at"), folder, F.lit(latest), stream=stream, epoch=epoch)
 
     return fetches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from siftwell import schemas
-from siftwell.operators import lifecycle, screening
+from siftwell.operators import buckets, lifecycle, screening
 from siftwell.streaming import postings as S
 
 
@@ -31,18 +31,75 @@ def test_first_seen_and_windows(spark, sf, tmp_path):
     assert batch.count() - win.count() <= events.select("event_type").distinct().count() * 2  # the last windows are still open
 
 
+def files_of(folder):
+    """Data files by bucket."""
+    out = {}
+    for f in (folder / "data").rglob("*.parquet"):
+        out.setdefault(int(f.parent.name.split("=")[1]), set()).add(str(f))
+    return out
+
+
+def test_merge_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    day = lambda d: dt.datetime(2024, 5, d)
+    rows = [(f"p{i}", f"T{i}", i % 2 == 0, day(1)) for i in range(400)]
+    corpus = schemas.conform(spark.createDataFrame(rows, "id string, title string, desc_available boolean, first_seen timestamp"), schemas.STORED)
+    folder = f"file://{tmp_path}/corpus"
+    buckets.create(corpus, folder, buckets=16)
+    before = files_of(tmp_path / "corpus")
+    assert set(before) == set(range(16)) and buckets.read(spark, folder).exceptAll(corpus).count() == 0
+    place = lambda df: df.select("id", buckets._place(16).alias("b")).collect()
+    few = [r["id"] for r in place(corpus) if r["b"] in (3, 7)][:4] + ["new1"]
+    fetch = schemas.conform(spark.createDataFrame([(i, f"{i} again", True, "text") for i in few], "id string, title string, desc_available boolean, description string"), "id string, " + schemas.POSTING)
+    touched = {r["b"] for r in place(fetch)}
+    head = buckets.merge_into(fetch, folder, F.lit(day(2)), stream="s", epoch=4)
+    after = files_of(tmp_path / "corpus")
+    assert all(after[b] == before[b] for b in range(16) if b not in touched)
+    assert all(after[b] > before[b] for b in touched)  # the former version can still be read
+    want = lifecycle.merge(corpus, fetch, F.lit(day(2)))
+    got = buckets.read(spark, folder)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() == 401
+    # an epoch that comes again, an older one, and a fetch without rows change nothing
+    for epoch, rows in ((4, fetch), (3, fetch), (5, fetch.limit(0))):
+        assert buckets.merge_into(rows, folder, F.lit(day(3)), stream="s", epoch=epoch) == head
+    assert files_of(tmp_path / "corpus") == after
+    # closing touches all; old versions go with their files, those of the last ones stay
+    one = fetch.limit(1)
+    closed = lifecycle.sync(got, one, F.lit(day(4)))[0].collect()
+    buckets.merge_into(one, folder, F.lit(day(4)), close=True, keep=2)
+    assert sorted(map(tuple, buckets.read(spark, folder).collect())) == sorted(map(tuple, closed))
+    assert buckets.versions(spark, folder) == [2, 3]
+    left = files_of(tmp_path / "corpus")
+    assert all(not (left[b] & before[b]) for b in touched) and all(left[b] > before[b] for b in range(16) if b not in touched)
+    empty = f"file://{tmp_path}/empty"
+    buckets.create(corpus.limit(0), empty, buckets=4)
+    assert not buckets.read(spark, empty).collect()
+    assert buckets.read(spark, empty).columns == corpus.columns
+    buckets.merge_into(fetch, empty, F.lit(day(2)))
+    assert buckets.read(spark, empty).count() == 5
+
+
 def test_merge_stream_equals_batch(spark, tmp_path):
     day = lambda d: dt.datetime(2024, 5, d)
     corpus = schemas.conform(spark.createDataFrame([("a", "A", True, day(1)), ("b", "B", True, day(1))], "id string, title string, desc_available boolean, first_seen timestamp"), schemas.STORED)
     folder = f"file://{tmp_path}/corpus"
-    lifecycle.write_snapshot(corpus, folder)
+    buckets.create(corpus, folder, buckets=4)
     rows = spark.createDataFrame([("a", "A2", True), ("c", "C", True)], "id string, title string, desc_available boolean")
     fetch = schemas.conform(rows, "id string, " + schemas.POSTING)
     live = stream(spark, fetch.withColumn("fetched_at", F.lit(day(2))).coalesce(1), tmp_path / "f")
-    S.merge_stream(live, lambda: lifecycle.read_snapshot(spark, folder), folder, f"{tmp_path}/cp").awaitTermination()
+    S.merge_stream(live, folder, f"{tmp_path}/cp").awaitTermination()
     want = lifecycle.merge(corpus, fetch, F.lit(day(2)))
-    got = lifecycle.read_snapshot(spark, folder)
+    got = buckets.read(spark, folder)
     assert got.exceptAll(want).count() == 0 and got.count() == 3
+    # the same files from the start under a new checkpoint: the epoch is known, nothing is written
+    version = buckets.manifest(spark, folder).version
+    S.merge_stream(live, folder, f"{tmp_path}/cp2").awaitTermination()
+    assert buckets.manifest(spark, folder).version == version
+
+
+def test_sync_shuffles_the_corpus_once(spark):
+    df = schemas.conform(spark.range(5).select(F.col("id").cast("string")), schemas.STORED)
+    plan = lifecycle.merge(df, df.drop("first_seen", "last_seen", "closed_at", "interpretation", "applied_at"), F.current_timestamp(), close=True)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # the corpus, and the fetch
 
 
 def test_open_state_times_out_and_reopens(spark, tmp_path):
