@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,15 +37,18 @@ def daily_run(corpus: DataFrame, fetch: DataFrame, sources: DataFrame, now: Colu
     """One supply run: dedupe the fetch, merge and close, screen the *stored* open corpus, publish, digest; a summary row.
 
     The merged corpus is written first and read back, so that all later steps see one snapshot. Every count is always
-    there; ``not_closed`` holds the reason only when closing was refused.
+    there; ``not_closed`` holds the reason only when closing was refused. ``rescreened`` postings are new or changed since the generation
+    before, or all where there is none or the rules are others; the rows of the rest are carried over.
     """
     spark = corpus.sparkSession
-    best = lifecycle.with_id(lifecycle.best_copies(fetch))
+    deduped = f"{folder}/fetch/{uuid.uuid4().hex}"
+    lifecycle.with_id(lifecycle.best_copies(fetch)).write.parquet(deduped)  # three steps read it
+    best = spark.read.parquet(deduped)
     merged, refused = lifecycle.sync(corpus, best, now, sources)
     lifecycle.write_snapshot(merged, f"{folder}/corpus")
     stored = lifecycle.read_snapshot(spark, f"{folder}/corpus")
-    screened = screening.screen(stored.where("closed_at is null"), wanted)
-    rows = screening.stamp_first_seen(screening.view_rows(screened), stored)
+    rows, rescreened = screening.rescreen(stored.where("closed_at is null"), screening.newest_rows(spark, f"{folder}/views"), f"{folder}/screening", wanted)
+    rows = screening.stamp_first_seen(rows, stored)
     generation = screening.publish(rows, f"{folder}/views", F.lit(stored.count()), now)
     published = screening.read_generation(spark, f"{folder}/views", generation)  # the screen runs once: what follows reads its rows
     _, new = lifecycle.split_known(best, corpus)
@@ -56,7 +60,7 @@ def daily_run(corpus: DataFrame, fetch: DataFrame, sources: DataFrame, now: Colu
         .join(todays.agg(F.count("*").alias("digest")), F.lit(True)).join(screening.read_summary(spark, f"{folder}/views"), F.lit(True))
     )
     return counts.select(
-        F.lit(generation).alias("generation"), "fetched", "unique", (F.col("fetched") - F.col("unique")).alias("duplicates"), "new", "closed", "attempted", "failed", "degraded", "failures",
+        F.lit(generation).alias("generation"), F.lit(rescreened).cast("long").alias("rescreened"), "fetched", "unique", (F.col("fetched") - F.col("unique")).alias("duplicates"), "new", "closed", "attempted", "failed", "degraded", "failures",
         "screened", "kept", "excluded", "gates", "needs_level_check", "internship_total", "digest", F.lit(refused).cast("string").alias("not_closed"),
     )
 

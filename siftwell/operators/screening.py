@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fixed as K
 from ..functions.rules import (
@@ -21,7 +24,10 @@ from ..functions.rules import (
 )
 from ..functions.text import once, stamp
 from ..schemas import VIEW_VERSION
-from ..sources.folders import remove
+from ..sources.folders import exists, remove
+
+#: Postings to screen that are broadcast to the corpus; more are joined by shuffle.
+DELTA_ROWS = 100_000
 
 
 def screen(postings: DataFrame, wanted: Sequence[str] = K.JUNIOR_BANDS, include_internships: bool = False, sandbox_key: str = "company") -> DataFrame:
@@ -57,6 +63,48 @@ def gate_counts(screened: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.array(*(F.struct(F.lit(g).alias("gate"), F.col(g).alias("n")) for g in K.GATES))).alias("x")).select("x.*")
 
 
+#: What a screen and its view rows depend on in a posting.
+JUDGED = ("title", "company", "tenant", "description", "desc_available", "employment_type", "posted_at")
+
+
+def rules_version(wanted: Sequence[str] = K.JUNIOR_BANDS, include_internships: bool = False, sandbox_key: str = "company") -> str:
+    """A digest of all fixed values and of a screen's options: another one means that everything is to be screened anew."""
+    fixed = [(n, v) for n, v in sorted(vars(K).items()) if n.isupper() or n.startswith("_") and n[1:2].isupper()]
+    return hashlib.sha256(repr((VIEW_VERSION, tuple(wanted), include_internships, sandbox_key, fixed)).encode()).hexdigest()[:16]
+
+
+def judged(version: str) -> Column:
+    """A digest of what a posting is judged by, under a version of the rules. Null and empty differ; no field can run into the next."""
+    fields = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in JUDGED]
+    return F.sha2(F.concat(F.lit(version), *fields), 256)
+
+
+def rescreen(
+    postings: DataFrame, former: DataFrame | None, folder: str, wanted: Sequence[str] = K.JUNIOR_BANDS, include_internships: bool = False, sandbox_key: str = "company"
+) -> tuple[DataFrame, int]:
+    """View rows of ``postings``, and how many of these were screened for them.
+
+    Rows of postings that are as they were when ``former`` (the rows of a generation) was made, under the same rules, are carried over from it; only
+    new and changed ones meet the patterns. The digests, a small table beside the texts, are written once to ``folder``; former rows without digests
+    are not used. The postings to screen are broadcast if they are few, else joined by shuffle.
+    """
+    spark = postings.sparkSession
+    options = (wanted, include_internships, sandbox_key)
+    digests = f"{folder}/digests-{uuid.uuid4().hex}"
+    postings.select("id", judged(rules_version(*options)).alias("judged")).write.parquet(digests)
+    now = spark.read.schema("id string, judged string").parquet(digests)
+    if former is None or "judged" not in former.columns:
+        former = None
+    todo = now if former is None else now.join(former.where("leads").select(F.col("posting_id").alias("id"), "judged"), ["id", "judged"], "left_anti")
+    n = todo.count()
+    few = F.broadcast(todo) if n <= DELTA_ROWS else todo
+    rows = view_rows(screen(postings.join(few, "id"), *options))
+    if former is None:
+        return rows, n
+    kept = former.join(now.withColumnRenamed("id", "posting_id"), ["posting_id", "judged"], "left_semi")
+    return kept.select(*rows.columns).unionByName(rows), n
+
+
 def _view_row(rows: DataFrame, view: Column, gate: Column) -> DataFrame:
     c = F.col
     reason = gate_reason(c("gate"), c("title"), c("company"), c("employment_type"), c("level"), c("eligible"))
@@ -64,7 +112,7 @@ def _view_row(rows: DataFrame, view: Column, gate: Column) -> DataFrame:
     return rows.withColumn("gate", gate).select(
         view.alias("view"), "posted_at", c("id").alias("posting_id"), "kept", c("level.level").alias("level"), c("level.source").alias("level_source"),
         explain_level(c("level")).alias("level_why"), c("eligible.checked").alias("eligibility_checked"), c("eligible.sponsorship").alias("sponsorship"),
-        "gate", F.when(c("gate") == "", "").otherwise(reason).alias("reason"), F.when(c("gate") == "", "").otherwise(quote).alias("quote"), "leads",
+        "gate", F.when(c("gate") == "", "").otherwise(reason).alias("reason"), F.when(c("gate") == "", "").otherwise(quote).alias("quote"), "leads", *(["judged"] if "judged" in rows.columns else []),
     )
 
 
@@ -135,6 +183,14 @@ def read_generation(spark: SparkSession, folder: str, generation: str) -> DataFr
     return spark.read.parquet(f"{folder}/rows/generation={generation}").withColumn("generation", F.lit(generation))
 
 
+def newest_rows(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The rows of the newest generation of this version, or None where there is none (any more)."""
+    head = read_summary(spark, folder).first() if exists(spark, f"{folder}/summary") else None
+    if head is None or not exists(spark, f"{folder}/rows/generation={head['generation']}"):
+        return None
+    return read_generation(spark, folder, head["generation"])
+
+
 def live_generations(heads: DataFrame, now: Column) -> DataFrame:
     """Generations younger than three days."""
     return heads.where(F.col("screened_at") > now - F.expr(f"interval {K.VIEW_DAYS} days")).select("generation")
@@ -163,5 +219,6 @@ def evaluate(screened: DataFrame) -> DataFrame:
         F.when(~in_role_family(F.col("title")), "not_swe").when(band.isin("entry", "intern"), "junior").when(band.isin("senior", "mid"), band).otherwise("unmarked")
     )
     by = screened.groupBy(label.alias("label")).agg(F.count("*").alias("labelled"), F.count_if("kept").alias("kept"))
-    total = screened.agg(F.count_if("kept").alias("all_kept"))
-    return by.join(total, F.lit(True)).select("label", "labelled", "kept", (F.col("kept") / F.greatest("all_kept", F.lit(1))).alias("share_of_kept"))
+    # the labels are five at most: their sum is a window over them, and the screen runs once
+    total = F.greatest(F.sum("kept").over(Window.partitionBy()), F.lit(1))
+    return by.withColumn("share_of_kept", F.col("kept") / total)

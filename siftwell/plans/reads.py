@@ -375,6 +375,22 @@ def daily_run(spark, sf_dir):
     return out.select("fetched", F.col("unique").alias("uniq"), F.col("new").alias("fresh"), "closed", "screened", "kept", "excluded", "needs_level_check", "digest")
 
 
+@query(
+    "pipe_4_delta_screen",
+    f"""with {_VIEWS_SQL} select posting_id, view, posted_at, kept, level, level_source, gate, quote, (select count(*) from documents where doc_id % 50 = 3 or doc_id % 40 = 7) as rescreened from view_rows""",
+)
+def delta_screen(spark, sf_dir):
+    """PIPE-4 and PIPE-5: a generation lacks some postings and has others under another title; the next one screens just these."""
+    folder, rows = shared_folder(spark), postings(spark, sf_dir)
+    n = F.col("doc_id")
+    before = rows.where(n % 40 != 7).withColumn("title", F.when(n % 50 == 3, "Former Title").otherwise(F.col("title")))
+    screening.publish(screening.rescreen(before, None, folder)[0], folder, F.lit(0), F.lit(DAY_1).cast("timestamp"))
+    now, rescreened = screening.rescreen(rows, screening.newest_rows(spark, folder), folder)
+    generation = screening.publish(now, folder, F.lit(0), F.lit(DAY_2).cast("timestamp"))
+    out = screening.read_generation(spark, folder, generation).withColumn("rescreened", F.lit(rescreened).cast("long"))
+    return out.select("posting_id", "view", "posted_at", "kept", "level", "level_source", "gate", "quote", "rescreened")
+
+
 @query(
     "snk_3_expiry",
     f"with {_VIEWS_SQL} select g.generation, count(*) as n from view_rows, (values ('20240303T000000.000000Z'), ('20240304T000000.000000Z')) g(generation) group by g.generation",
