@@ -33,7 +33,7 @@ from .common import PLACE, forget, materialise, mix, partitions, release
 #: Bytes of text in a shard (its index takes some ten times that while it is built).
 SHARD_BYTES = 12 << 20
 #: Bits of a phrase's hash that are sent; phrases that share them are told apart by text afterwards.
-HASH_BYTES = 6
+HASH_BYTES = 4
 #: Parts per language into which the best phrases are split before they meet.
 TOP_PARTS = 64
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
