@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -9,15 +10,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed as K
+from .literals import occurring, table_of
 from .text import collapse, has, let, or_empty, strip
 
 
-#: Patterns of a vocabulary that is given as a table.
-PATTERNS = 5000
+#: Patterns of a vocabulary table that become one expression, and those of one index beyond that.
+PATTERNS, INDEXED = 100, 100_000
+
+
+def _alternatives(pattern: str) -> bool:
+    """Whether a pattern has alternatives outside of its groups and classes."""
+    depth, flat = 0, re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]])*\]", "", pattern)
+    for c in flat:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            return True
+    return False
 
 
 def needed(pattern: str) -> str:
     """An upper-case string that every match of a pattern begins with ("" if there is none to tell)."""
+    if _alternatives(pattern):
+        return ""
     plain = re.sub(r"\\b", "", pattern)
     head = re.match(r"(?:[A-Za-z0-9 #/]|\\[+.])*", plain)[0]
     if plain[len(head) : len(head) + 1] in ("?", "*", "{"):
@@ -44,16 +58,43 @@ def tokens_in(text: Column, vocabulary: dict[str, tuple[str, ...]] = K.VOCABULAR
 def tokens_by_join(texts: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and token, a row for each token of a table (token, pattern) that a text states.
 
-    The vocabulary is a parameter table: its patterns, counted to be at most ``PATTERNS``, become one expression in which each is compiled
-    once a task. No join, no shuffle.
+    Up to ``PATTERNS`` patterns become one expression. More are found by an index of the strings that their matches begin with: one pass over
+    a text tells which of these occur, and only their patterns run; patterns without such a string run on every text. The table
+    comes to the driver in parts of ``INDEXED`` patterns, each of which is one pass over the texts. No shuffle of texts.
     """
-    rows = vocabulary.select("token", "pattern").distinct().limit(PATTERNS + 1).collect()
-    if len(rows) > PATTERNS:
-        raise ValueError(f"a vocabulary of more than {PATTERNS} patterns is no parameter")
-    patterns: dict[str, tuple[str, ...]] = {}
-    for r in sorted(rows):
-        patterns[r["token"]] = (*patterns.get(r["token"], ()), r["pattern"])
-    return texts.select(F.col(id_col), F.explode(tokens_in(F.col(text_col), patterns)).alias("token"))
+    rows = vocabulary.select("token", "pattern").distinct()
+    few = rows.limit(PATTERNS + 1).collect()
+    if len(few) <= PATTERNS:
+        patterns: dict[str, tuple[str, ...]] = {}
+        for r in sorted(few):
+            patterns[r["token"]] = (*patterns.get(r["token"], ()), r["pattern"])
+        return texts.select(F.col(id_col), F.explode(tokens_in(F.col(text_col), patterns)).alias("token"))
+    parts = -(-rows.count() // INDEXED)
+    part = F.pmod(F.xxhash64("token"), F.lit(parts))  # all patterns of a token in one part
+    found = [_indexed(texts, sorted(rows.where(part == i).collect()), id_col, text_col) for i in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _indexed(texts: DataFrame, rows: list, id_col: str, text_col: str) -> DataFrame:
+    """Tokens of a part of a vocabulary by the index of beginnings."""
+    of: dict[str, list[int]] = {}
+    bounds: dict[str, int] = {}
+    for i, r in enumerate(rows):
+        string, plain = needed(r["pattern"]), r["pattern"]
+        of.setdefault(string, []).append(i)
+        # whether a match begins where a word does, and whether the string is the whole match and ends a word
+        own = bool(re.match(r"\\b[A-Za-z0-9]", plain)) + 2 * bool(re.fullmatch(r"(\\b)?[A-Za-z0-9 ]*[A-Za-z0-9]\\b", plain))
+        bounds[string] = bounds.get(string, 3) & own
+    always = of.pop("", [])
+    strings = sorted(of)
+    places = [of[s] for s in strings]
+    text = F.col(text_col)
+    hits = texts.select(F.col(id_col), text.alias("_text"), occurring(F.upper(text), strings, [bounds[s] for s in strings]).alias("_hits"))
+    by_string = F.from_json(F.lit(json.dumps(places)), "array<array<int>>")
+    candidates = F.flatten(F.concat(F.transform("_hits", lambda h: F.get(by_string, h)), F.array(F.lit(always).cast("array<int>")) if always else F.array().cast("array<array<int>>")))
+    patterns, tokens = table_of([K.FLAGS + begun(r["pattern"]) for r in rows]), table_of([r["token"] for r in rows])
+    stated = F.filter(candidates, lambda i: F.rlike(F.col("_text"), F.get(patterns, i)))
+    return hits.select(id_col, F.explode(F.array_distinct(F.transform(stated, lambda i: F.get(tokens, i)))).alias("token"))
 
 
 def normalise_requirements(requirements: Column, vocabulary: dict[str, tuple[str, ...]] = K.VOCABULARY) -> Column:

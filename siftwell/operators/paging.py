@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import fixed as K
+from ..functions.literals import matches
 from ..functions.text import cap, or_empty
 from ..sources.folders import broadcast_small
 
@@ -170,18 +171,17 @@ def lookup(corpus: DataFrame, key: str, value) -> DataFrame:
 def by_url(postings: DataFrame, urls: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """For each wanted url the first posting whose url contains its last path segment or whose req_id is it.
 
-    An equi-join of the segments with all pieces of the postings' urls that have a segment's length, and with the req_ids.
+    An automaton of the segments runs over each posting's url once. Only (ordinal, segment) pairs that match are grouped; the postings themselves are
+    fetched by ordinal for the ones found. A url without a path segment finds nothing.
     """
-    ident = F.try_element_at(F.filter(F.split(F.regexp_replace("url", r"[?#].*$", ""), "/"), lambda s: s != ""), F.lit(-1))
+    path = F.regexp_replace(F.regexp_replace("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*", ""), r"[?#].*$", "")
+    ident = F.try_element_at(F.filter(F.split(path, "/"), lambda s: s != ""), F.lit(-1))
     wanted = urls.select(F.col("url").alias("wanted"), ident.alias("ident")).where("ident is not null").distinct()
-    # the distinct lengths are a few small numbers, bounded by the length of a url
-    lengths = [r["n"] for r in wanted.select(F.length("ident").alias("n")).distinct().collect()]
-
-    def pieces_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("url") - n + 1, F.lit(1))), lambda i: F.substring(F.col("url"), i, F.lit(n)))
-
-    none = F.array().cast("array<string>")
-    keys = F.array_distinct(F.array_compact(F.concat(F.array("req_id"), *(F.coalesce(pieces_of(n), none) for n in lengths))))
-    row = F.struct(*postings.columns)
-    hit = postings.select(F.col(ordinal).alias("_at"), row.alias("p"), F.explode(keys).alias("ident")).join(wanted, "ident")
-    return hit.groupBy("wanted").agg(F.min_by("p", "_at").alias("p")).select("wanted", "p.*")
+    kind = postings.schema[ordinal].dataType
+    within = matches(postings, wanted, ordinal, "url", "ident").select(F.col("id").cast(kind).alias("_at"), F.col("string").alias("ident"))
+    named = postings.select(F.col(ordinal).alias("_at"), F.col("req_id").alias("ident")).join(wanted.select("ident").distinct(), "ident", "left_semi")
+    first = within.unionByName(named.select("_at", "ident")).groupBy("ident").agg(F.min("_at").alias("_at"))
+    found = wanted.join(first, "ident").select("wanted", "_at")
+    rows = postings.join(broadcast_small(found), postings[ordinal] == found["_at"])
+    # an ordinal that several postings share gives one of them
+    return rows.groupBy("wanted").agg(F.min_by(F.struct(*(postings[c] for c in postings.columns)), "_at").alias("p")).select("wanted", "p.*")

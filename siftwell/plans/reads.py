@@ -329,18 +329,31 @@ def details(spark, sf_dir):
 
 @query(
     "join_15_by_url",
-    """with w as (select c_custkey as k, 'https://a.example/jobs/' || case when c_custkey % 2 = 0 then '8' || c_custkey else 'R' || c_custkey end || '/?src=' || c_nationkey as wanted from customer where c_acctbal > 9000),
-      i as (select wanted, case when k % 2 = 0 then '8' || k else 'R' || k end as ident from w), p as (select s_suppkey as n, 'https://b.example/x8' || s_suppkey || '-q' as url, 'R' || (s_suppkey * 2 + 1) as req from supplier)
-      select i.wanted, min(p.n) as n from i join p on contains(p.url, i.ident) or p.req = i.ident group by i.wanted""",
+    """with w as (select c_custkey as k, 'https://a.example/jobs/' || case when c_custkey % 2 = 0 then '8' || c_custkey else 'R' || c_custkey end || '/?src=' || c_nationkey as wanted from customer),
+      i as (select wanted, case when k % 2 = 0 then '8' || k else 'R' || k end as ident from w), p as (select s_suppkey as n, 'https://b.example/x8' || s_suppkey || '-q' as url, 'R' || (s_suppkey * 2 + 1) as req from supplier),
+      pieces as (select n, unnest(flatten(list_transform(range(1, length(url) + 1), lambda a: list_transform(range(1, 12), lambda k: substr(url, a, k))))) as ident from p union all select n, req from p)
+      select i.wanted, min(p.n) as n from i join pieces p using (ident) group by i.wanted""",
 )
 def by_url(spark, sf_dir):
     k, n = F.col("c_custkey"), F.col("s_suppkey")
     ident = F.concat(F.when(k % 2 == 0, "8").otherwise("R"), k.cast("string"))
-    asked = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.concat(F.lit("https://a.example/jobs/"), ident, F.lit("/?src="), F.col("c_nationkey").cast("string")).alias("url"))
+    asked = table(spark, sf_dir, "customer").select(F.concat(F.lit("https://a.example/jobs/"), ident, F.lit("/?src="), F.col("c_nationkey").cast("string")).alias("url"))
     feed = table(spark, sf_dir, "supplier").select(n.alias("n"), F.concat(F.lit("https://b.example/x8"), n.cast("string"), F.lit("-q")).alias("url"), F.concat(F.lit("R"), (n * 2 + 1).cast("string")).alias("req_id"))
     return paging.by_url(feed, asked, "n").select("wanted", "n")
 
 
+@query(
+    "join_10_large_vocabulary",
+    r"""with v as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as token from benchmark),
+      w as (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^\pL\pN_]+')) as token from documents) select doc_id, token from w join v using (token)""",
+)
+def large_vocabulary(spark, sf_dir):
+    """JOIN-10 with a pattern for every word of the benchmark's passages: thousands of them, found by the index of their beginnings."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("token"))
+    vocabulary = words.select("token", F.concat(F.lit(r"\b"), "token", F.lit(r"\b")).alias("pattern"))
+    return N.tokens_by_join(table(spark, sf_dir, "documents"), vocabulary, "doc_id", "text")
+
+
 @query("pred_16_readiness", "select case when count(*) filter (c) = 0 then 'not_screened' when max(ts) filter (c) > timestamp '2024-02-01' or max(ts) filter (c) < timestamp '2024-01-30' then 'stale' else 'ready' end as state from (select ts, event_type = 'error' as c from events)")
 def readiness(spark, sf_dir):
     heads = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("screened_at")).orderBy(F.desc("screened_at")).limit(1)
