@@ -13,7 +13,7 @@ from ..operators import backlog, inbox, lifecycle, paging, quality, scoring, scr
 from ..sources import boards, feeds
 from ..sources.folders import shared_folder
 from ..streaming import postings as S
-from .queries import _CAP, _SCREENED, _VIEWS_SQL, _has, _published, _screened, _view_rows, query
+from .queries import _CAP, _SCREENED, _TRIAGED, _VIEWS_SQL, _has, _published, _screened, _triaged, _view_rows, query
 from .templates import DAY_2, DAYS_SQL, POSTINGS_SQL, corpus, fetch, postings, table
 
 # --- sources: payloads made from documents ----------------------------------------------------------------------
@@ -141,7 +141,9 @@ def answers(spark, sf_dir):
     one = F.concat(F.lit('{"id": "'), n.cast("string"), F.lit('", "band": "entry", "min_years": '), years, F.lit(', "evidence": '), F.to_json(F.array("text")), F.lit("}"))
     one = F.regexp_replace(one, r'(?s)"evidence": \[(.*)\]\}$', r'"evidence": $1}')
     text = F.when(n % 4 == 0, F.concat(F.lit('Here you go: {"answers": ['), one, F.lit("]} done"))).when(n % 4 == 1, F.concat(F.lit("```\n["), one, F.lit("]\n```"))).when(n % 4 == 2, F.concat(F.lit('{"answers": ['), one, F.lit("]}")))
-    rows = table(spark, sf_dir, "documents").select(n.cast("string").alias("r"), F.coalesce(text, F.lit("no { answer")).alias("t"))
+    # one round in four is no JSON: brackets that never close, in a text that would take a walk from each of them
+    hostile = F.concat(F.repeat(F.when(n % 8 == 3, "[").otherwise('{"answers": '), F.lit(20_000)), F.col("text"))
+    rows = table(spark, sf_dir, "documents").select(n.cast("string").alias("r"), F.coalesce(text, hostile).alias("t"))
     return feeds.answers(rows, "r", "t").select("round", "id", "band", "min_years", "bad_years", F.md5("evidence").alias("evidence"))
 
 
@@ -306,13 +308,17 @@ def usage(spark, sf_dir):
 
 @query(
     "agg_7_briefing",
-    f"""with t as (select role = 'user' or {_has('text', K.MAIL_SUBJECT)} as is_job from conversations) select count(*) as scanned, count(*) filter (is_job) as job_mail, count(*) filter (not is_job) as noise from t""",
+    _TRIAGED + """, d as (select *, is_job and status in ('offer', 'interview') as due from s), p as (select string_agg(status || ':' || n, ',' order by status) as pipeline from (select status, count(*) as n from s where is_job group by status))
+      select count(*) as scanned, count(*) filter (is_job) as job_mail, count(*) filter (not is_job) as noise, count(*) filter (due) as needs_action_total, (select pipeline from p) as pipeline,
+        md5(coalesce(string_agg(status || '|' || role || '|' || text, chr(10) order by status, role, text) filter (due), '')) as needs_action from d""",
 )
 def briefing(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    mails = inbox.triage(c.select(F.col("role").alias("sender"), F.col("text").alias("subject"), F.lit("").alias("snippet")), K.MAIL_STATUS, ("user",))
+    """AGG-7 and PIPE-17: the roll-up with the whole list of what needs action."""
     jobs = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.col("p_size").alias("score"))
-    return inbox.briefing(mails, jobs, F.lit(DAY_2).cast("timestamp")).select("scanned", "job_mail", "noise")
+    b = inbox.briefing(_triaged(spark, sf_dir), jobs, F.lit(DAY_2).cast("timestamp"))
+    listed = F.array_join(F.transform("needs_action", lambda m: F.concat_ws("|", m["status"], m["sender"], m["subject"])), "\n")
+    pipeline = F.array_join(F.transform(F.array_sort(F.map_entries("pipeline")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return b.select("scanned", "job_mail", "noise", "needs_action_total", pipeline.alias("pipeline"), F.md5(listed).alias("needs_action"))
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,16 +70,96 @@ def scraped_jobs(rows: DataFrame, most: int = 25, min_score: int = 30) -> DataFr
     return top.select(posting_id(F.col("url")).alias("id"), "title", "company", "location", "url", "score")
 
 
+#: Containers within one another that an answer may have; a value with more is not read.
+NESTING = 200
+
+_BLANK = re.compile(r"[ \t\n\r]*")
+_STRING = re.compile(r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"')
+_SCALAR = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|NaN|-?Infinity")
+
+
+class _Spans:
+    """Where the JSON objects and arrays of a text end.
+
+    What a container's end is depends on its start alone, so each start is judged once: a container that closes skips over those within
+    it that are known, and one that fails takes with it all that are open around the failure. The work is linear in the text,
+    however its brackets lie, and nothing recurses.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.ends = text, {}
+
+    def end(self, start: int) -> tuple[int, int]:
+        """The end of the container at ``start`` (-1 if it is none) and how deep it is nested."""
+        if start not in self.ends:
+            self._walk(start)
+        return self.ends[start]
+
+    def _walk(self, start: int) -> None:
+        text, blank = self.text, lambda i: _BLANK.match(self.text, i).end()
+        stack = [[start, 1]]
+        at, fresh = start + 1, True  # fresh: nothing in the innermost container yet
+        while stack:
+            opener = text[stack[-1][0]]
+            at = blank(at)
+            c = text[at : at + 1]
+            if c == ("}" if opener == "{" else "]"):  # only ever reached where a container may close
+                begun, depth = stack.pop()
+                at += 1
+                self.ends[begun] = at, depth
+                if stack:
+                    stack[-1][1] = max(stack[-1][1], depth + 1)
+                fresh = False
+                continue
+            if not fresh:
+                if c != ",":
+                    break
+                at = blank(at + 1)
+            if opener == "{":
+                key = _STRING.match(text, at)
+                if not key:
+                    break
+                at = blank(key.end())
+                if text[at : at + 1] != ":":
+                    break
+                at = blank(at + 1)
+            c = text[at : at + 1]
+            if c and c in "{[":
+                if at not in self.ends:
+                    stack.append([at, 1])
+                    at, fresh = at + 1, True
+                    continue
+                end, depth = self.ends[at]
+                if end < 0:
+                    break
+                stack[-1][1] = max(stack[-1][1], depth + 1)
+                at = end
+            else:
+                value = _STRING.match(text, at) if c == '"' else _SCALAR.match(text, at)
+                if not value:
+                    break
+                at = value.end()
+            fresh = False
+        for begun, _ in stack:
+            self.ends[begun] = -1, 0
+
+
 def first_json(raw: str, openers: str = "{["):
-    """The first JSON object in a text, else the first array, else None."""
-    decoder = json.JSONDecoder()
+    """The first JSON object in a text, else the first array, else None.
+
+    Linear in the text's length. A value nested beyond ``NESTING``, or with a number that Python does not read, makes the text one without JSON.
+    """
+    spans = _Spans(raw)
     for opener in openers:
         at = raw.find(opener)
         while at >= 0:
-            try:
-                return decoder.raw_decode(raw, at)[0]
-            except json.JSONDecodeError:
-                at = raw.find(opener, at + 1)
+            end, depth = spans.end(at)
+            if end >= 0:
+                try:
+                    return json.loads(raw[at:end]) if depth <= NESTING else None
+                except ValueError:
+                    return None
+            at = raw.find(opener, at + 1)
     return None
 
 
@@ -92,7 +173,8 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 items = first_json(text or "", "[")  # a bare list: the first object was its first answer
             for i, a in enumerate(items if isinstance(items, list) else []):
                 if isinstance(a, dict):
-                    get = lambda k, a=a: a.get(k) if isinstance(a.get(k), str) else None
+                    # half of a surrogate pair, which JSON may spell, is no text
+                    get = lambda k, a=a: a[k].encode("utf-8", "replace").decode() if isinstance(a.get(k), str) else None
                     years = a.get("min_years")
                     whole = isinstance(years, int) and not isinstance(years, bool) and abs(years) < 1 << 31
                     bad = years is not None and not whole

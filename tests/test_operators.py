@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +114,38 @@ def test_answers_are_found_in_free_text(spark):
     assert feeds.first_json('{bad} then {"x": {"y": [1]}}') == {"x": {"y": [1]}} and feeds.first_json("none") is None
 
 
+def plain_first_json(raw):
+    for opener in "{[":
+        at = raw.find(opener)
+        while at >= 0:
+            try:
+                return json.JSONDecoder().raw_decode(raw, at)[0]
+            except json.JSONDecodeError:
+                at = raw.find(opener, at + 1)
+    return None
+
+
+def test_first_json_is_the_decoders_and_linear():
+    rng = random.Random(5)
+    bits = ["{", "}", "[", "]", '"', '"a"', ":", ",", " ", "1", "-0.5e3", "01", "true", "nul", "null", "NaN", "-Infinity", "\\", '\\"', "\\u00e9", "\\x", "\n", "\t", "x", '{"a":1}', "[1,2]", '"k":', '{"k":[]}', '":"', '{}']
+    for _ in range(60_000):
+        raw = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert repr(feeds.first_json(raw)) == repr(plain_first_json(raw)), raw
+    hostile = ["[" * 100_000, '{"a":' * 60_000, '{"' * 60_000, '{":"' * 60_000, "{" * 100_000 + "}" * 100_000, '[{"a":' * 40_000 + "1", '{"a": "' + "{" * 100_000, '{"\\' * 50_000, "[[" * 50_000 + "]" * 99_999, "[1," * 60_000, "{}x" * 3 + "1" * 9000]
+    began = time.monotonic()
+    for raw in hostile:
+        feeds.first_json("x " + raw)
+    assert time.monotonic() - began < 20
+    assert feeds.first_json("x " + "[" * 100_000) is None and feeds.first_json("[" * 5000 + "]" * 5000) is None and feeds.first_json("[" + "9" * 9000 + "]") is None
+    assert feeds.first_json("[" * 100_000 + '{"a": 1}') == {"a": 1} and feeds.first_json("[" * 200 + "]" * 200) is not None
+
+
+def test_a_bad_answer_loses_only_itself(spark):
+    rows = [("1", "[" * 100_000), ("2", '{"answers": [{"id": "a", "evidence": "\\ud800 half"}]}'), ("3", "{" * 50_000 + '"answers": [{"id": "b"}]}'), ("4", '[{"id": "c"}, 3, null, {"id": 7}]'), ("5", '{"answers": ' + "9" * 9000 + "}")]
+    got = sorted((r["round"], r["position"], r["id"]) for r in feeds.answers(spark.createDataFrame(rows, "r string, t string"), "r", "t").collect())
+    assert got == [("2", 0, "a"), ("3", 0, "b"), ("4", 0, "c"), ("4", 3, None)]
+
+
 # --- lifecycle ---------------------------------------------------------------------------------------------------
 
 
