@@ -15,7 +15,7 @@ from ..schemas import POSTING, STORED, conform
 from ..sources import boards, feeds
 from ..sources.folders import shared_folder
 from ..streaming import postings as S
-from .more import _finished, _payloads, _stream
+from .more import _finished, _payloads, _stateful, _stream
 from .queries import _SCORE_SQL, _SCREENED, _TRIAGED, _VIEWS_SQL, PROSE, _has, _published, _scored, _screened, _tokens_sql, _triaged, _view_rows, query
 from .templates import DAY_1, DAY_2, DAYS_SQL, POSTINGS_SQL, corpus, fetch, postings, table
 
@@ -572,19 +572,57 @@ def merge_stream(spark, sf_dir):
     return buckets.read(spark, f"{folder}/corpus").select("id", "title", "description", "closed_at")
 
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-
-
 @query("str_3_open_state", "select user_id::varchar as id, 'new' as change, min(ts) as at from events group by user_id")
 def open_state(spark, sf_dir):
     """STR-3: each user's first event opens it; with a timeout beyond the table none closes."""
     events = _stream(spark, sf_dir, "events", ["user_id", F.col("ts").cast("timestamp").alias("ts")])
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        return _finished(S.open_state(events, "user_id", "ts", "1 hour", 400))
-    finally:
-        spark.conf.set(_STORE, before)
+    return _stateful(S.open_state(events, "user_id", "ts", "1 hour", 400))
+
+
+@query(
+    "str_3_guarded_closing",
+    """with e as (select (user_id % 5)::varchar as source, user_id::varchar as id, ts as moment from events where event_type <> 'error'),
+      h as (select s.source::varchar as source, d.day::timestamp as moment, (day(d.day) + s.source) % 4 = 0 as degraded from (select distinct ts::date as day from events) d, (select unnest(range(5)) as source) s),
+      w as (select (select greatest((select max(moment) from e), (select max(moment) from h))) - interval 1 hour as until),
+      s as (select distinct source, id, moment from e, w where moment <= until),
+      n as (select *, lag(moment) over (partition by id order by moment) as former, lead(moment) over (partition by id order by moment) as following, moment + interval 2 day as due from s),
+      x as (select n.*, coalesce((select arg_max(h.degraded, h.moment) from h where h.source = n.source and h.moment <= n.due), false) as held,
+          (select min(h.moment) from h where h.source = n.source and h.moment > n.due and not h.degraded) as trusted from n),
+      y as (select *, (following is null or following > due) and due <= (select until from w) as overdue from x),
+      z as (select *, overdue and (not held or coalesce(trusted <= (select until from w) and (following is null or following > trusted), false)) as closes from y)
+      select source, id, 'new' as change, moment as at from z where former is null
+      union all select source, id, 'held', due from z where overdue and held
+      union all select source, id, 'closed', case when held then trusted else due end from z where closes
+      union all select source, id, 'reopened', following from z where closes and following is not null""",
+)
+def guarded_closing(spark, sf_dir):
+    """STR-3: postings' events and their sources' daily judgements in one state; every fourth day a source is degraded."""
+    folder = shared_folder(spark)
+    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct()
+    source = F.explode(F.sequence(F.lit(0), F.lit(4)))
+    health = days.select("day", source.alias("source")).select("source", ((F.dayofmonth("day") + F.col("source")) % 4 == 0).alias("degraded"), F.col("day").cast("timestamp").alias("at"))
+    health.coalesce(1).write.parquet(f"{folder}/health")
+    events = _stream(spark, sf_dir, "events", [(F.col("user_id") % 5).alias("source"), F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), "event_type"])
+    judged = spark.readStream.schema("source int, degraded boolean, at timestamp").parquet(f"{folder}/health")
+    return _stateful(S.guarded_state(events.where("event_type <> 'error'"), judged, "1 hour", 2, parts=4))
+
+
+@query(
+    "str_4_missing_days",
+    """with r as (select * from events where day(ts) % 5 <> 2), d as (select ts::date as day, min(value) as fetched, min(user_id)::double as kept, max(event_id)::double as failed from r group by 1),
+      c as (select unnest(generate_series(date '2023-12-30', date '2024-02-02', interval 1 day))::date as day)
+      select c.day::varchar as day, d.fetched, d.kept, d.failed, d.fetched is null or d.fetched < 1 or d.kept < 2 or d.failed > 204 as breach from c left join d on c.day = d.day""",
+)
+def missing_days(spark, sf_dir):
+    """STR-4: run health of a stream in which every fifth day has no run: a heartbeat's timer tells of those."""
+    folder = shared_folder(spark)
+    # the events' months with some days around them, and a last tick that carries the watermark beyond the end
+    ticks = table(spark, sf_dir, "events").agg(F.to_date(F.lit("2023-12-30")).alias("a"), F.to_date(F.lit("2024-02-02")).alias("b")).select(F.explode(F.sequence("a", F.date_add("b", 2))).alias("day"))
+    ticks.select(F.col("day").cast("timestamp").alias("at")).coalesce(1).write.parquet(f"{folder}/ticks")
+    beats = spark.readStream.schema("at timestamp").parquet(f"{folder}/ticks")
+    columns = [F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("fetched"), F.col("user_id").alias("kept"), F.col("event_id").alias("failed")]
+    runs_ = _stream(spark, sf_dir, "events", columns).where(F.dayofmonth("at") % 5 != 2)
+    return _stateful(S.run_health(runs_, beats, "1 hour", 1, 2)).withColumn("day", F.col("day").cast("string"))
 
 
 @query("str_5_screen", f"with {_SCREENED} select doc_id, kept, array_to_string(gates, ',') as exclusions from screened")

@@ -124,3 +124,42 @@ def test_screen_on_a_stream(spark, tmp_path):
     assert got.exceptAll(screening.screen(df).select("title", "kept", "exclusions")).count() == 0 and got.where("kept").count() == 1
     counts = run(S.gate_counts_stream(S.screen_stream(live), "posted_at", "1 hour", "1 day"), "gates_complete", "complete")
     assert {r["gate"] for r in counts.collect()} == {"not_a_software_role", "wrong_seniority_band"}
+
+
+def in_batches(spark, folder, schema, batches, make, out):
+    """Rows given by a stream that gets the batches one run after the other."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        live = spark.readStream.schema(schema).parquet(str(folder))
+        q = make(live).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", f"{out}-cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.parquet(str(out))
+
+
+def test_earliest_event_whatever_arrives_first(spark, tmp_path):
+    at = lambda h: dt.datetime(2024, 5, 1, h)
+    batches = [[("a", at(5), 1), ("b", at(3), 2), ("b", at(3), 1)], [("a", at(4), 3), ("c", at(6), None)], [("a", at(7), 9), ("c", at(6), 4)], [("z", at(23), 0)], [("z", at(23), 1)]]
+    got = in_batches(spark, tmp_path / "e", "k string, at timestamp, n int", batches, lambda s: S.earliest(s, ["k"], "at", "3 hours"), tmp_path / "out")
+    assert sorted((r["k"], r["at"].hour, r["n"]) for r in got.collect()) == [("a", 4, 3), ("b", 3, 1), ("c", 6, 4)]
+
+
+def test_closing_waits_for_trust_however_rows_are_dealt(spark, tmp_path):
+    day = lambda d, h=0: dt.datetime(2024, 5, d, h)
+    rows = [("s", "gone", day(1), None), ("s", "back", day(1), None), ("s", "seen", day(1), None), ("t", "other", day(1), None)]
+    rows += [("s", None, day(2), True), ("t", None, day(2), False), ("s", None, day(3), True), ("s", None, day(6), False), ("s", "back", day(5), None), ("s", "seen", day(6), None), ("s", "gone", day(9), None), ("s", None, day(20), False), (None, "x", day(2), None)]
+    want = [("s", "back", "held", 4), ("s", "back", "new", 1), ("s", "gone", "closed", 6), ("s", "gone", "held", 4), ("s", "gone", "new", 1), ("s", "gone", "reopened", 9), ("s", "gone", "closed", 12)]
+    want += [("s", "seen", "held", 4), ("s", "seen", "new", 1), ("t", "other", "new", 1), ("t", "other", "closed", 4), ("s", "back", "closed", 8), ("s", "seen", "closed", 9)]
+    kind = "source string, id string, at timestamp, degraded boolean"
+    make = lambda s: S.guarded_state(s.where("id is not null"), s.where("id is null").select("source", "degraded", "at"), "5 days", 3, parts=2)
+    for name, batches in (("one", [rows]), ("many", [rows[:3], rows[3:5], [*rows[8:10], rows[5]], [*rows[6:8], *rows[10:]]])):
+        got = in_batches(spark, tmp_path / name, kind, batches, make, tmp_path / f"{name}-out")
+        assert sorted((r["source"], r["id"], r["change"], r["at"].day) for r in got.collect()) == sorted(want), name
+
+
+def test_days_without_a_run_breach(spark, tmp_path):
+    at = lambda d, h=0: dt.datetime(2024, 5, d, h)
+    runs = [[(at(1, 8), 9000, 500, 3, False), (at(1), None, None, None, True)], [(at(2), None, None, None, True)], [(at(3, 9), 9000, 50, 3, False), (at(3), None, None, None, True), (at(3, 10), 8000, 500, 7, False)], [(at(6), None, None, None, True)]]
+    kind = "at timestamp, fetched int, kept int, failed int, tick boolean"
+    make = lambda s: S.run_health(s.where("not tick"), s.where("tick").select("at"), "2 hours")
+    got = in_batches(spark, tmp_path / "r", kind, runs, make, tmp_path / "out")
+    assert sorted((r["day"].day, r["fetched"], r["kept"], r["failed"], r["breach"]) for r in got.collect()) == [(1, 9000, 500, 3, False), (2, None, None, None, True), (3, 8000, 50, 7, True)]
