@@ -71,7 +71,20 @@ def read_view(
 ) -> DataFrame:
     """A page of a view: filtered and cut first, hydrated after, scored last; ``matched`` counts the whole view."""
     own = rows.where(F.col("view") == view)
-    page = paging.filtered_page(own, F.lit(True) if where is None else where, min(limit, 100), boundary)
+    return finish(paging.filtered_page(own, F.lit(True) if where is None else where, min(limit, 100), boundary), corpus, mine)
+
+
+def read_published(spark: SparkSession, folder: str, corpus: DataFrame, view: str, limit: int = 25, boundary: tuple | None = None, mine: Sequence[str] | None = None, **filters) -> DataFrame:
+    """As :func:`read_view`, of the newest generation in ``folder``: the count comes from its cube and only the page's files are opened.
+
+    filters: levels, posted_after, posted_before, include_undated (see ``paging.row_filter``).
+    """
+    generation = screening.read_summary(spark, folder).first()["generation"]
+    return finish(paging.published_page(spark, folder, generation, view, min(limit, 100), boundary, **filters), corpus, mine)
+
+
+def finish(page: DataFrame, corpus: DataFrame, mine: Sequence[str] | None = None) -> DataFrame:
+    """A page's rows with their postings, scored."""
     items = paging.hydrate(page.withColumnRenamed("level", "band"), corpus)
     leveled = items.withColumn("level", F.struct(F.col("band").alias("level"), F.col("level_source").alias("source")))
     return scoring.score(leveled, mine).withColumn("level", F.col("band")).drop("band")

@@ -154,13 +154,27 @@ def summary(rows: DataFrame, corpus_size: Column, now: Column) -> DataFrame:
 
 
 def publish(rows: DataFrame, folder: str, corpus_size: Column, now: Column) -> str:
-    """Write a generation's rows, then its summary, counted on what was written: the screen behind the rows runs once.
+    """Write a generation: its rows, a table of its files, a cube of counts, then its summary, all counted on what was written.
 
-    Readers go by the summary, so a half-written generation is not seen.
+    The screen behind the rows runs once: rows are staged, then laid out by view and recency, so that a file holds a short stretch of time and a
+    page needs few of them. The cube (view, level, day, n) is as small as there are days. Readers go by the summary, so a half-written
+    generation is not seen.
     """
-    generation = rows.sparkSession.range(1).select(stamp(now).alias("g")).first()["g"]
-    rows.write.mode("overwrite").partitionBy("view").parquet(f"{folder}/rows/generation={generation}")
-    written = rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows/generation={generation}")
+    spark = rows.sparkSession
+    generation = spark.range(1).select(stamp(now).alias("g")).first()["g"]
+    staging, target = f"{folder}/staging/{uuid.uuid4().hex}", f"{folder}/rows/generation={generation}"
+    rows.write.parquet(staging)
+    order = (F.col("view"), F.col("posted_at").desc_nulls_last(), F.col("posting_id").desc())
+    staged = spark.read.schema(rows.schema).parquet(staging)
+    staged.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("view").parquet(target)
+    remove(spark, staging)
+    written = spark.read.schema(rows.schema).parquet(target)
+    by_file = written.groupBy("view", F.col("_metadata.file_path").alias("file")).agg(
+        F.count("*").alias("n"), F.min("posted_at").alias("oldest"), F.max("posted_at").alias("newest"), F.count_if(F.col("posted_at").isNull()).alias("undated")
+    )
+    by_file.coalesce(1).write.mode("overwrite").parquet(f"{folder}/files/generation={generation}")
+    cube = written.groupBy("view", "level", F.to_date("posted_at").alias("day")).agg(F.count("*").alias("n"))
+    cube.coalesce(1).write.mode("overwrite").parquet(f"{folder}/cube/generation={generation}")
     summary(written, corpus_size, now).write.mode("append").parquet(f"{folder}/summary")
     return generation
 
@@ -201,7 +215,8 @@ def expire(spark: SparkSession, folder: str, now: Column) -> list[str]:
     heads = spark.read.parquet(f"{folder}/summary").select("generation", "screened_at").distinct()
     gone = sorted(r["generation"] for r in heads.join(live_generations(heads, now), "generation", "left_anti").collect())
     for generation in gone:
-        remove(spark, f"{folder}/rows/generation={generation}")
+        for part in ("rows", "files", "cube"):
+            remove(spark, f"{folder}/{part}/generation={generation}")
     return gone
 
 

@@ -182,9 +182,13 @@ def _view_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of a generation: what reads are made on. The screen runs once, whatever reads follow."""
+    return screening.read_generation(spark, *_generation(spark, sf_dir))
+
+
+def _generation(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Folder and name of a published generation."""
     folder = shared_folder(spark)
-    generation = screening.publish(_view_rows(spark, sf_dir), folder, F.lit(0), F.lit(DAY_2).cast("timestamp"))
-    return screening.read_generation(spark, folder, generation)
+    return folder, screening.publish(_view_rows(spark, sf_dir), folder, F.lit(0), F.lit(DAY_2).cast("timestamp"))
 
 
 @query("pipe_4_view_rows", f"with {_VIEWS_SQL} select posting_id, view, posted_at, kept, level, level_source, gate, quote from view_rows")
@@ -210,9 +214,8 @@ def gate_top_n(spark, sf_dir):
       select posting_id, posted_at, position::int as position, (select count(*) from hits) as matched, (select count(*) from hits) > 25 as more from top where position <= 25""",
 )
 def filtered_page(spark, sf_dir):
-    rows = _published(spark, sf_dir).where("view = 'kept'")
-    where = paging.row_filter(["entry", "unknown"], posted_after="2024-01-05 00:00:00")
-    return paging.filtered_page(rows, where, 25).select("posting_id", "posted_at", "position", "matched", "more")
+    page = paging.published_page(spark, *_generation(spark, sf_dir), "kept", 25, levels=["entry", "unknown"], posted_after="2024-01-05 00:00:00")
+    return page.select("posting_id", "posted_at", "position", "matched", "more")
 
 
 @query(

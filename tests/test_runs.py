@@ -35,6 +35,8 @@ def test_daily_run_and_reads(spark, tmp_path):
     rows = screening.read_generation(spark, f"{folder}/views", out["generation"])
     page = runs.read_view(rows, stored, "kept", 3, mine=["Python"])
     assert page.count() == 3 and page.first()["matched"] == out["kept"] and "score" in page.columns
+    same = runs.read_published(spark, f"{folder}/views", stored, "kept", 3, mine=["Python"])
+    assert sorted(map(str, same.select(*page.columns).collect())) == sorted(map(str, page.collect()))
     excluded = runs.read_excluded(rows, 1)
     assert excluded.count() == excluded.select("gate").distinct().count()
     one = runs.detail(stored, rows.where("view = 'kept'").first()["posting_id"], ["Python"]).first()
@@ -52,6 +54,42 @@ def test_daily_run_and_reads(spark, tmp_path):
     assert (empty["not_closed"], empty["closed"], empty["new"]) == ("empty_fetch", 0, 0)
 
 
+def test_published_pages_open_few_files_and_count_from_the_cube(spark, tmp_path):
+    folder = f"file://{tmp_path}/v"
+    n = F.col("id")
+    moment = F.when(n % 11 != 0, F.timestamp_micros(F.lit(1_704_067_200_000_000) + (n * 7919) % 4000 * 3_600_000_000 + (n % 7 - 3)))
+    base = spark.range(6000).select(
+        F.when(n % 3 == 0, "kept").otherwise("internships").alias("view"), moment.alias("posted_at"), F.concat(F.lit("p"), n.cast("string")).alias("posting_id"), F.lit(True).alias("kept"),
+        F.element_at(F.array(*map(F.lit, ("entry", "intern", "unknown"))), (n % 3 + F.when(n % 2 == 0, 0).otherwise(1)).cast("int") % 3 + 1).alias("level"), F.lit("").alias("gate"), F.lit(True).alias("leads"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        generation = screening.publish(base, folder, F.lit(0), at(T0))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = screening.read_generation(spark, folder, generation)
+    total = spark.read.parquet(f"{folder}/files/generation={generation}").where("view = 'kept'").count()
+    assert total > 10
+    day = lambda d, *t: dt.datetime(2024, 2, d, *t)
+    cases = [
+        {}, {"levels": ["entry"]}, {"levels": ["entry", "unknown"], "posted_after": day(3)}, {"posted_after": day(3, 7, 30), "posted_before": day(20, 12)}, {"posted_before": day(2)},
+        {"posted_after": dt.datetime(2030, 1, 1)}, {"posted_after": day(3), "include_undated": True}, {"include_undated": False}, {"levels": ["none"]}, {"posted_after": day(9, 5), "posted_before": day(9, 6)},
+    ]
+    starts = ((25, None), (25, (day(10, 3), "p5")), (3, (None, "p3")), (5000, None), (25, (dt.datetime(2023, 1, 1), "x")))
+    for i, filters in enumerate(cases):
+        for limit, boundary in (starts[i % 5], starts[(i + 1) % 5]):
+            page = paging.published_page(spark, folder, generation, "kept", limit, boundary, **filters)
+            want = paging.filtered_page(rows.where("view = 'kept'"), paging.row_filter(**filters), limit, boundary)
+            get = lambda df: sorted((r["position"], r["posting_id"], r["posted_at"], r["more"], r["matched"]) for r in df.collect())
+            assert get(page) == get(want), (filters, limit, boundary)
+    top = paging.published_page(spark, folder, generation, "kept", 25, levels=["entry"], posted_after=day(3))
+    assert len(top.inputFiles()) <= 3 < total
+    screening.expire(spark, folder, at(T2 + dt.timedelta(days=30)))
+    assert not list((tmp_path / "v" / "cube").iterdir()) and not list((tmp_path / "v" / "files").iterdir())
+
+
 def test_delta_screening_carries_rows_over(spark, tmp_path):
     folder = f"file://{tmp_path}/v"
     rows = schemas.conform(demo(spark), schemas.STORED)
