@@ -8,9 +8,10 @@ slot ``ceil((j + 1) / w)`` in which its end is passed; the released block with t
 fits these windows, so no block is late, and at every prefix each class has less than one block more or less than
 its weight's share. Windows are computed in whole numbers, without rounding. Nothing is repeated or dropped: every document gets one position.
 
-The slots are laid out by one task that holds two numbers a class and streams a row per block. So that this task does not grow with the
-corpus, a block holds more than ``block_docs`` documents where there would be more than ``MOST_BLOCKS`` blocks (and one for each class). Documents find
-their block by a count per part of a class and a join, by broadcast only where blocks are counted few (``BROADCAST_BLOCKS``).
+The slots are laid out by one task that holds two numbers a class and streams a row per block (some microseconds each; a block is ``block_docs``
+documents at every size of the corpus). Which of the blocks that are due goes first depends on all slots before, so that this is one
+pass in order; a larger ``block_docs`` shortens it. Documents find their block by a count per part of a class and a join, by broadcast only
+where blocks are counted few (``BROADCAST_BLOCKS``).
 
 Weights given: sources without one share ``rest_weight`` as one class. None given: every source is a class and weighs its
 count to the power ``temperature``. A class of weight zero comes after all others. A null source belongs to the rest. With a
@@ -39,8 +40,6 @@ from .common import materialise
 SALT_BITS = 10
 #: Slots of at most this many blocks are broadcast, else documents meet them in a join by shuffle.
 BROADCAST_BLOCKS = 200_000
-#: Blocks of a schedule: beyond so many documents a block holds more than ``block_docs``.
-MOST_BLOCKS = 4_000_000
 REST = "(rest)"
 _NAMED = "="  # before the names of sources, so that none is the rest's
 
@@ -171,7 +170,6 @@ def place(rows: DataFrame, weights, rest_weight, block_docs, period, temperature
         of_class = F.when(own.isin(list(weights)) if weights else F.lit(False), own).otherwise(F.lit(REST))
     salted = rows.withColumn("class", of_class).withColumn("salt", F.shiftrightunsigned("order", 64 - SALT_BITS).cast("int"))
     sizes = materialise(salted.groupBy("class", "salt").agg(F.count("*").alias("n")), "mix-sizes")
-    block_docs = max(block_docs, -(-(sizes.agg(F.sum("n").alias("n")).first()["n"] or 0) // MOST_BLOCKS))
     total = sizes.groupBy("class").agg(F.sum("n").alias("n"))
     if weights is None:
         weighed = total.withColumn("weight", F.pow("n", F.lit(float(temperature))))
