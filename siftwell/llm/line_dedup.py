@@ -12,9 +12,9 @@ lines all go keeps an empty text.
 
 What grows is pre-aggregated before each shuffle: pages per host, and pages per (host, line); of distinct texts only the
 lines' hashes are shuffled, and the lines of a host meet its total in salted parts. A host
-has at most (lines of a page) / ``max_ratio`` boilerplate lines, in a table of ``SLOTS`` lists by hash, so that a line is compared with few of them; where all hosts' together are few
-(``broadcast_rows``, counted first) they are broadcast and texts are not shuffled at all, else texts meet
-them in a join on the host, whose hot hosts are salted.
+has at most (lines of a page) / ``max_ratio`` boilerplate lines, in a table of lists by hash, one for every ``LIST`` of them, so that a line is compared with few
+and a host's table is as large as its lines (some 30 bytes each); where all hosts' together are few (``broadcast_rows``, counted first, so some megabytes)
+they are broadcast and texts are not shuffled at all, else texts meet them in a plain join on the host, in which Spark splits hot hosts.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 _WORD = r"[^\x20\x09-\x0D]"
-#: Lists of a host's table of boilerplate lines, and parts of a host in the join with its total.
-SLOTS, SALTS = 256, 32
+#: Boilerplate lines of a host for each list of its table, and parts of a host in the join with its total.
+LIST, SALTS = 8, 32
 
 
 def _lines(text: Column) -> Column:
@@ -37,12 +37,12 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(key["a"], F.lit(SLOTS)).cast("int")
+def _slot(key: Column, lists: Column) -> Column:
+    return F.pmod(key["a"], lists.cast("long"))
 
 
 def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int, distinct: bool = True) -> DataFrame:
-    """host, ``keys`` (the keys of its boilerplate lines, an array of SLOTS arrays) and their number n. pages: columns host and text."""
+    """host, ``keys`` (the keys of its n boilerplate lines, an array of arrays by hash) and n. pages: columns host and text."""
     rows = pages.where("host is not null")
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: x.rlike(_WORD)), _key))
     lines, content = rows.select("host", keys.alias("keys")), _key(F.col("text")).alias("content")
@@ -53,17 +53,15 @@ def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int, distinct: bo
     counts = lines.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     parts = totals.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     common = counts.withColumn("part", F.pmod(F.col("key.b"), F.lit(SALTS)).cast("int")).join(parts, ["host", "part"]).where(F.col("n") > max_ratio * F.col("total"))
-    slots = common.groupBy("host", _slot(F.col("key")).alias("slot")).agg(F.collect_list("key").alias("own"))
-    filled = F.map_from_entries(F.collect_list(F.struct("slot", "own")))
-    by_host = slots.groupBy("host").agg(filled.alias("filled"), F.sum(F.size("own")).alias("n"))
-    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    table = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.try_element_at("filled", i), none))
+    by_host = common.groupBy("host").agg(F.collect_list("key").alias("all")).select("host", "all", F.size("all").cast("long").alias("n"))
+    lists = F.expr(f"n div {LIST} + 1")
+    table = F.transform(F.sequence(F.lit(0).cast("long"), lists - 1), lambda i: F.filter("all", lambda k: _slot(k, lists) == i))
     return by_host.select("host", table.alias("keys"), "n")
 
 
 def drop_boilerplate(
     docs: DataFrame, max_ratio: float = 0.02, min_pages: int = 3, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text",
-    broadcast_rows: int = 50_000, salts: int = 32, distinct: bool = True,
+    broadcast_rows: int = 50_000, distinct: bool = True,
 ) -> DataFrame:
     """All columns of ``docs``, the text without boilerplate lines, and n_lines and n_dropped (``_siftwell_``-prefixed)."""
     names = docs.columns
@@ -75,10 +73,9 @@ def drop_boilerplate(
     if lines <= broadcast_rows:
         joined = rows.join(F.broadcast(found), "host", "left")
     else:
-        spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64(at[id_col], "text"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
+        joined = rows.join(found.hint("merge"), "host", "left")
     # a line's key is computed once: it is the one element of an array
-    common = lambda x: F.exists(F.array(_key(x)), lambda k: F.array_contains(F.get("keys", _slot(k)), k))
+    common = lambda x: F.exists(F.array(_key(x)), lambda k: F.array_contains(F.get("keys", _slot(k, F.size("keys")).cast("int")), k))
     kept = F.filter(_lines(F.col("text")), lambda x: ~common(x) | ~x.rlike(_WORD))
     joined = joined.withColumn("kept", F.when(F.col("keys").isNull(), _lines(F.col("text"))).otherwise(kept))
     columns = [F.array_join("kept", "\n").alias(b) if b == text_col else F.col(a).alias(b) for a, b in zip(inner, names)]
