@@ -53,22 +53,32 @@ _SYLLABLES = ("lor", "mar", "vel", "sta", "den", "kin", "bro", "wes", "pal", "tu
 _LEFT_OUT = ("free-bets", "casino-win", "cheap-pills", "adult-x", "spam-farm", "ads-track")
 
 
-def labelled_table(spark: SparkSession, rows: int = 1800) -> DataFrame:
-    """The default training data: number, url and label (1 blocks), a third of them to block, made by a rule in Spark."""
+def labelled_table(spark: SparkSession, rows: int = 3600) -> DataFrame:
+    """The default training data: number, url, label (1 blocks), junk and plain (the word of these lists in the name, or null), a third of them to block.
+
+    Made by a rule in Spark. Of the names to block, and of those with a place, two thirds pair a listed word with another one or with an invented word, so that either
+    part of a name tells by itself and verdicts carry over to words that are not listed.
+    """
     n = F.col("number")
     pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (at % len(words) + 1).cast("int"))
     of = lambda size: F.floor(n / size)
-    junk, lure = pick(_JUNK, of(3)), pick(_LURES, of(3) * 7 + of(90))
-    plain = F.when(of(6) % 2 == 0, F.concat(pick(_PLACES, of(6) + of(180)), F.lit("-"), pick(_PLAIN, of(6)))).otherwise(pick(_PLAIN, of(6)))
+    invented = lambda at: F.concat(pick(_SYLLABLES, at), pick(_SYLLABLES, F.floor(at / 20) * 3 + at * 7), F.when(at % 4 == 0, pick(_SYLLABLES, at + 7)).otherwise(""))
+    kind = of(18) % 3  # of the first and second part: both listed, only the second, only the first
+    junk, plain = F.when(kind != 2, pick(_JUNK, of(3))), F.when(kind != 2, pick(_PLAIN, of(6)))
+    lure, place = F.when(kind != 1, pick(_LURES, of(3) * 7 + of(90))), F.when(kind != 1, pick(_PLACES, of(6) + of(180)))
+    other = invented(of(3) + 11)
+    pair = lambda a, b: F.concat(F.coalesce(a, other), F.lit("-"), F.coalesce(b, other))
     made = F.concat(pick(_SYLLABLES, n), pick(_SYLLABLES, of(20) * 3 + n), F.when(n % 4 == 0, pick(_SYLLABLES, n + 7)).otherwise(""))
+    placed = of(6) % 2 == 0
     name = (
-        F.when(n % 3 == 0, F.when(of(3) % 2 == 0, F.concat(lure, F.lit("-"), junk)).otherwise(F.concat(junk, F.lit("-"), lure)))
-        .when(n % 3 == 1, plain).otherwise(made)
+        F.when(n % 3 == 0, F.when(of(3) % 2 == 0, pair(lure, junk)).otherwise(pair(junk, lure)))
+        .when(n % 3 == 1, F.when(placed, pair(place, plain)).otherwise(pick(_PLAIN, of(6)))).otherwise(made)
     )
     host = F.concat(pick(("", "www.", "m.", "blog."), of(5)), F.col("name"), F.lit(".example."), pick(("com", "org", "net"), of(2) + of(7)))
     path = F.concat(F.lit("/"), pick(("en", "fr", "de", "es"), n + of(11)), F.lit("/"), F.pmod(F.xxhash64("number"), F.lit(10_000)).cast("string"), pick(("", "/", ".html"), of(4)))
+    listed = {"junk": F.when(n % 3 == 0, junk), "plain": F.when(n % 3 == 1, F.when(placed, plain).otherwise(pick(_PLAIN, of(6))))}
     named = spark.range(rows).withColumnRenamed("id", "number").withColumn("name", name).where(~F.col("name").isin(*_LEFT_OUT))
-    return named.select("number", F.concat(F.lit("https://"), host, path).alias("url"), (n % 3 == 0).cast("int").alias("label"))
+    return named.select("number", F.concat(F.lit("https://"), host, path).alias("url"), (n % 3 == 0).cast("int").alias("label"), *(c.alias(k) for k, c in listed.items()))
 
 
 def _lower(c: Column) -> Column:

@@ -1,9 +1,11 @@
 """Substring dedup, quality rules, line dedup, near-dedup, mixing: against brute force on small tables, odd rows included."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -367,10 +369,7 @@ def test_mix_has_a_class_for_every_source(spark, monkeypatch):
     out = pfair_mix.mix(df, block_docs=1).collect()
     assert {r["class"] for r in out} == set(sizes) and len(sizes) == 300
     assert off_by(out, {c: n**0.7 for c, n in sizes.items()}) < 1
-    monkeypatch.setattr(pfair_mix, "MOST_BLOCKS", 450)  # blocks of twenty documents
-    few = pfair_mix.mix(df, block_docs=1).collect()
-    assert len({r["slot"] for r in few}) <= 450 + 300 and off_by(few, {c: n**0.7 for c, n in sizes.items()}) < 1 and len({r["position"] for r in few}) == 9000
-    monkeypatch.setattr(pfair_mix, "MOST_BLOCKS", 4_000_000)
+    assert len({r["slot"] for r in out}) == 9000  # blocks of one document, as asked
     monkeypatch.setattr(pfair_mix, "BROADCAST_BLOCKS", 0)  # join by shuffle
     assert {(r["doc_id"], r["position"]) for r in pfair_mix.mix(df, block_docs=1).collect()} == {(r["doc_id"], r["position"]) for r in out}
 
@@ -400,6 +399,52 @@ def test_schedule_follows_the_fluid_when_classes_end():
         assert {c: [r[1] for r in out if r[0] == c] for c in blocks} == {c: list(range(n)) for c, n in blocks.items()}
 
 
+def fluid_edf(blocks, weights):
+    """Slots by following the fluid from event to event and taking, slot by slot, the released block that is due first."""
+    names = sorted(c for c, n in blocks.items() if n)
+    at, served, pieces = Fraction(0), {c: Fraction(0) for c in names}, []
+    while live := [c for c in names if served[c] < blocks[c]]:
+        rate = {c: Fraction(weights[c]) / sum(Fraction(weights[x]) for x in live) for c in live}
+        span = min((blocks[c] - served[c]) / rate[c] for c in live)
+        pieces.append((at, rate, dict(served)))
+        at += span
+        for c in live:
+            served[c] += rate[c] * span
+    when = lambda c, j: next(t + (j - s[c]) / r[c] for t, r, s in reversed(pieces) if c in r and s[c] <= j)
+    following, out = dict.fromkeys(names, 0), []
+    for t in range(sum(blocks.values())):
+        ready = [(math.ceil(when(c, j + 1)), c, j) for c, j in following.items() if j < blocks[c] and math.floor(when(c, j)) <= t]
+        due, c, j = min(ready)
+        out.append((c, j, math.floor(when(c, j)), due, t))
+        following[c] += 1
+    return out
+
+
+def test_schedule_is_the_fluids_with_the_earliest_deadline_first():
+    rng = random.Random(12)
+    for _ in range(60):
+        blocks = {c: rng.randint(0, 14) for c in "abcdef"[: rng.randint(1, 6)]}
+        weights = {c: rng.choice([1.0, 0.5, 2.0, 0.3, 7.0, 0.125]) for c in blocks}
+        assert list(pfair_mix.schedule(blocks, weights)) == fluid_edf(blocks, weights)
+
+
+def test_line_tables_are_as_large_as_their_lines(spark):
+    """Many hosts of one boilerplate line each: a list a host, and the same result by broadcast and by a join."""
+    df = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("h"), (F.col("id") % 3000).cast("string")).alias("source"), F.concat(F.lit("menu of "), (F.col("id") % 3000).cast("string"), F.lit("\ntext "), F.col("id").cast("string")).alias("text"))
+    found = line_dedup.boilerplate(df.select(F.col("source").alias("host"), "text"), 0.3, 3).agg(F.count("*").alias("hosts"), F.sum("n").alias("n"), F.sum(F.size("keys")).alias("lists"), F.sum(F.size(F.flatten("keys"))).alias("keys")).first()
+    assert tuple(found) == (3000, 3000, 3000, 3000)
+    a, b = (line_dedup.digest(df, max_ratio=0.3, broadcast_rows=n) for n in (50_000, 0))
+    assert a.where("n_dropped = 1 and n_lines = 2").count() == 12_000 and a.exceptAll(b).count() == 0 == b.exceptAll(a).count()
+    one = df.limit(600).withColumns({"source": F.lit("x"), "text": F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("line "), i.cast("string"))), "\n"), F.lit("\nown "), F.col("doc_id").cast("string"))})
+    assert line_dedup.digest(one).where("n_lines = 101 and n_dropped = 100").count() == 600
+
+
+def test_operators_on_empty_tables(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    assert not substring_dedup.digest(substring_dedup.remove_repeats(df)).collect() and not quality_rules.clean(df, texts=False).collect()
+    assert not near_dedup.classes(df).collect() and not line_dedup.digest(df).collect()
+
+
 def test_mix_order_and_empty(spark):
     df = spark.createDataFrame([(i, f"s{i % 4}", "t") for i in range(500)] + [(7, None, None), (None, "s1", "x")], "doc_id long, source string, text string")
     out = pfair_mix.in_mix_order(df, block_docs=8)
