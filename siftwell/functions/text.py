@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import json
+import zlib
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .fixed import ERROR_CHARS, EVIDENCE_CONTEXT, FLAGS, QUOTE_CHARS
 
@@ -169,22 +170,56 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", " ")
 
 
-@F.pandas_udf(StringType())
-def unescape(texts: pd.Series) -> pd.Series:
-    """HTML entities as characters: the entity table is the one thing here that Spark has no function for."""
-    return texts.map(html.unescape, na_action="ignore")
+_ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_BUCKETS = 4096
 
 
-@F.pandas_udf(StringType())
-def _unescape_stable(texts: pd.Series) -> pd.Series:
-    def settle(text: str) -> str:
-        for _ in range(3):
-            text, before = html.unescape(text), text
-            if text == before:
-                break
-        return text
+def _named(name: Column) -> Column:
+    """The characters of an entity's name (with its semicolon, or without where that is allowed), null for others: a constant table by hash."""
+    by_hash: list[list[dict[str, str]]] = [[] for _ in range(_BUCKETS)]
+    for known, characters in sorted(html.entities.html5.items()):
+        by_hash[zlib.crc32(known.encode()) % _BUCKETS].append({"n": known, "c": characters})
+    table = F.from_json(F.lit(json.dumps(by_hash)), "array<array<struct<n:string,c:string>>>")
+    return F.get(F.filter(F.get(table, (F.crc32(name) % _BUCKETS).cast("int")), lambda x: x["n"] == name), F.lit(0))["c"]
 
-    return texts.map(settle, na_action="ignore")
+
+def _numbered(reference: Column) -> Column:
+    """The character of ``#123`` or ``#x7B``: numbers that mean another character give that, those that are no character give nothing or the replacement character."""
+    # the few references with a meaning of their own, as the standard library has them
+    special = {n: html.unescape(f"&#{n};") for n in (0, 13, *range(0x80, 0xA0))}
+    codes = F.from_json(F.lit(json.dumps([special.get(n) for n in range(0xA0)])), "array<string>")
+    digits = F.regexp_replace(F.regexp_extract(reference, r"([0-9a-fA-F]+);?$", 1), "^0+(?=.)", "")
+    read = F.when(F.lower(F.substring(reference, 2, 1)) == "x", F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10))
+    number = F.when(F.length(digits) > 8, F.lit(0x110000).cast("long")).otherwise(read.cast("long"))
+
+    def character(n: Column) -> Column:
+        none = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+        own = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.coalesce(
+            F.when(n < 0xA0, F.get(codes, n.cast("int"))), F.when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd"), F.when(none, ""), own
+        )
+
+    return let(number, character)
+
+
+def _decoded(entity: Column) -> Column:
+    """What an entity (from its ``&``) stands for; a name that is none gives its longest beginning that is one, or stays."""
+    name = F.substring(entity, 2, 1 << 30)
+    sizes = F.when(F.length(name) > 2, F.sequence(F.length(name) - 1, F.lit(2), F.lit(-1)))
+    begun = F.filter(F.transform(sizes, lambda n: F.concat(_named(F.substring(name, F.lit(1), n)), F.substring(name, n + 1, F.lit(1 << 30)))), lambda x: x.isNotNull())
+    return F.when(name.startswith("#"), _numbered(name)).otherwise(F.coalesce(_named(name), F.get(begun, F.lit(0)), entity))
+
+
+def unescape(text: Column) -> Column:
+    """HTML entities as characters, as the standard library's ``html.unescape`` has them. Texts without ``&`` are passed as they are."""
+    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(f"({_ENTITY})"), F.lit(1)), _decoded), F.array(F.lit("")))
+    parts = F.zip_with(F.split(text, _ENTITY, -1), found, lambda a, b: F.concat(a, b))
+    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
+
+
+def _unescape_stable(text: Column) -> Column:
+    """Up to three levels of escapes."""
+    return let(let(let(text, unescape), unescape), unescape)
 
 
 def html_to_text(c: Column) -> Column:
@@ -193,7 +228,7 @@ def html_to_text(c: Column) -> Column:
     t = F.regexp_replace(t, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
     t = F.regexp_replace(t, r"(?i)<(br|hr)\s*/?>", "\n")
     t = F.regexp_replace(t, r"(?i)</(p|div|li|ul|ol|h[1-6]|tr|table|section)\s*>", "\n")
-    t = unescape(F.regexp_replace(t, r"<[^>]+>", " "))
+    t = let(F.regexp_replace(t, r"<[^>]+>", " "), unescape)
     t = F.regexp_replace(t, r"[ \t\r\f\x0B]+", " ")
     t = F.array_join(F.transform(F.split(t, "\n", -1), strip), "\n")
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
