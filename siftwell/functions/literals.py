@@ -35,26 +35,39 @@ def _automaton(strings: Sequence[str], name: str = "") -> ahocorasick.Automaton
     return _built[name] if len(_built[name]) else None
 
 
-def _places(found: ahocorasick.Automaton | None, text: str | None, bounds: Sequence[int] | None) -> list[int]:
-    if not found or not text:
-        return []
-    if bounds is None:
-        return sorted({i for _, (i, _) in found.iter(text)})
-    out = set()
-    for end, (i, size) in found.iter(text):
-        if i not in out and not (bounds[i] & 1 and end >= size and _in_word(text[end - size]) or bounds[i] & 2 and end + 1 < len(text) and _in_word(text[end + 1])):
-            out.add(i)
-    return sorted(out)
+def _places(found: ahocorasick.Automaton | None, text: str | None) -> list[int]:
+    return sorted({i for _, (i, _) in found.iter(text)}) if found and text else []
 
 
 def _in_word(c: str) -> bool:
     return c == "_" or c.isascii() and c.isalnum()
 
 
+def _words(found: ahocorasick.Automaton | None, text: str | None, bounds: Sequence[int]) -> list[int]:
+    """Twice the place of each string that the upper-cased text holds within its bounds, and one more where it surely is a word of its own."""
+    if not found or not text:
+        return []
+    upper = text.upper()
+    same = len(upper) == len(text)
+    out: dict[int, int] = {}
+    for end, (i, size) in found.iter(upper):
+        if out.get(i) == 1:
+            continue
+        first, behind = end - size + 1, end + 1
+        before, after = upper[first - 1] if first else " ", upper[behind] if behind < len(upper) else " "
+        if bounds[i] & 1 and _in_word(before) or bounds[i] & 2 and _in_word(after):
+            continue
+        sure = same and before.isascii() and after.isascii() and not _in_word(before) and not _in_word(after) and text[first:behind].isascii()
+        out[i] = int(sure)
+    return sorted(2 * i + sure for i, sure in out.items())
+
+
 def occurring(text: Column, strings: Sequence[str], bounds: Sequence[int] | None = None) -> Column:
     """Places in ``strings`` of those that a text contains, sorted (array of int; null has none; empty strings are never found).
 
-    ``bounds`` tells which of them count only where no ASCII letter, digit or underscore stands before (1), behind (2), or either (3).
+    With ``bounds`` the strings are upper-case and texts are compared in upper case; a bound tells whether a string counts only where no ASCII letter,
+    digit or underscore stands before (1), behind (2), or either (3). Places then come doubled, and one is added where the string surely
+    is a word of its own: ASCII throughout, with ASCII that is no part of a word around it.
     """
     strings = list(strings)
     name = hashlib.sha256(json.dumps(strings).encode()).hexdigest()
@@ -62,7 +75,7 @@ def occurring(text: Column, strings: Sequence[str], bounds: Sequence[int] | None
     @F.pandas_udf("array<int>")
     def find(texts: pd.Series) -> pd.Series:
         found = _automaton(strings, name)
-        return pd.Series([_places(found, t, bounds) for t in texts], dtype=object)
+        return pd.Series([_places(found, t) if bounds is None else _words(found, t, bounds) for t in texts], dtype=object)
 
     return find(text)
 
@@ -86,7 +99,7 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if found is None:
                 _built.clear()
                 found = _automaton(strings)
-            for i in _places(found, text, None):
+            for i in _places(found, text):
                 ids.append(key)
                 texts.append(strings[i])
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["id", "string"])

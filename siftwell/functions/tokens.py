@@ -77,23 +77,27 @@ def tokens_by_join(texts: DataFrame, vocabulary: DataFrame, id_col: str, text_co
 
 def _indexed(texts: DataFrame, rows: list, id_col: str, text_col: str) -> DataFrame:
     """Tokens of a part of a vocabulary by the index of beginnings."""
-    of: dict[str, list[int]] = {}
+    of: dict[str, tuple[list[int], list[int]]] = {}
     bounds: dict[str, int] = {}
     for i, r in enumerate(rows):
-        string, plain = needed(r["pattern"]), r["pattern"]
-        of.setdefault(string, []).append(i)
+        string, pattern = needed(r["pattern"]), r["pattern"]
+        whole = re.fullmatch(r"\\b[A-Za-z0-9](?:[A-Za-z0-9 ]*[A-Za-z0-9])?\\b", pattern) is not None  # a word, or words, and nothing else
+        of.setdefault(string, ([], []))[whole].append(i)
         # whether a match begins where a word does, and whether the string is the whole match and ends a word
-        own = bool(re.match(r"\\b[A-Za-z0-9]", plain)) + 2 * bool(re.fullmatch(r"(\\b)?[A-Za-z0-9 ]*[A-Za-z0-9]\\b", plain))
+        own = bool(re.match(r"\\b[A-Za-z0-9]", pattern)) + 2 * bool(re.fullmatch(r"(\\b)?[A-Za-z0-9 ]*[A-Za-z0-9]\\b", pattern))
         bounds[string] = bounds.get(string, 3) & own
-    always = of.pop("", [])
+    always = sum(of.pop("", ([], [])), [])
     strings = sorted(of)
-    places = [of[s] for s in strings]
-    text = F.col(text_col)
-    hits = texts.select(F.col(id_col), text.alias("_text"), occurring(F.upper(text), strings, [bounds[s] for s in strings]).alias("_hits"))
-    by_string = F.from_json(F.lit(json.dumps(places)), "array<array<int>>")
-    candidates = F.flatten(F.concat(F.transform("_hits", lambda h: F.get(by_string, h)), F.array(F.lit(always).cast("array<int>")) if always else F.array().cast("array<array<int>>")))
+    text, number = F.col(text_col), lambda h: F.shiftright(h, 1)
+    hits = texts.select(F.col(id_col), text.alias("_text"), occurring(text, strings, [bounds[s] for s in strings]).alias("_hits"))
+    table = lambda lists: F.from_json(F.lit(json.dumps(lists)), "array<array<int>>")
+    words, others, every = table([of[s][1] for s in strings]), table([of[s][0] for s in strings]), table([sum(of[s], []) for s in strings])
+    surely = lambda h: h % 2 == 1
+    # a word that surely stands there needs no pattern; what is left runs its own
+    settled = F.flatten(F.transform(F.filter("_hits", surely), lambda h: F.get(words, number(h))))
+    open_ = F.concat(F.flatten(F.transform("_hits", lambda h: F.when(surely(h), F.get(others, number(h))).otherwise(F.get(every, number(h))))), F.lit(always).cast("array<int>") if always else F.array().cast("array<int>"))
     patterns, tokens = table_of([K.FLAGS + begun(r["pattern"]) for r in rows]), table_of([r["token"] for r in rows])
-    stated = F.filter(candidates, lambda i: F.rlike(F.col("_text"), F.get(patterns, i)))
+    stated = F.concat(settled, F.filter(open_, lambda i: F.rlike(F.col("_text"), F.get(patterns, i))))
     return hits.select(id_col, F.explode(F.array_distinct(F.transform(stated, lambda i: F.get(tokens, i)))).alias("token"))
 
 

@@ -142,7 +142,7 @@ def answers(spark, sf_dir):
     one = F.regexp_replace(one, r'(?s)"evidence": \[(.*)\]\}$', r'"evidence": $1}')
     text = F.when(n % 4 == 0, F.concat(F.lit('Here you go: {"answers": ['), one, F.lit("]} done"))).when(n % 4 == 1, F.concat(F.lit("```\n["), one, F.lit("]\n```"))).when(n % 4 == 2, F.concat(F.lit('{"answers": ['), one, F.lit("]}")))
     # one round in four is no JSON: brackets that never close, in a text that would take a walk from each of them
-    hostile = F.concat(F.repeat(F.when(n % 8 == 3, "[").otherwise('{"answers": '), F.lit(20_000)), F.col("text"))
+    hostile = F.concat(F.repeat(F.when(n % 8 == 3, "[").otherwise('{"answers": '), F.when(n % 40 == 3, 5_000).otherwise(50)), F.col("text"))
     rows = table(spark, sf_dir, "documents").select(n.cast("string").alias("r"), F.coalesce(text, hostile).alias("t"))
     return feeds.answers(rows, "r", "t").select("round", "id", "band", "min_years", "bad_years", F.md5("evidence").alias("evidence"))
 

@@ -144,14 +144,22 @@ class _Spans:
             self.ends[begun] = -1, 0
 
 
-def first_json(raw: str, openers: str = "{["):
-    """The first JSON object in a text, else the first array, else None.
+def first_json(raw: str, openers: str = "{[", spans: _Spans | None = None):
+    """The first JSON object in a text, else the first array, else None. ``spans`` of the text may be shared between calls.
 
     Linear in the text's length. A value nested beyond ``NESTING``, or with a number that Python does not read, makes the text one without JSON.
     """
-    spans = _Spans(raw)
+    spans = spans or _Spans(raw)
+    shallow = raw.count("{") + raw.count("[") <= NESTING
     for opener in openers:
         at = raw.find(opener)
+        if at >= 0 and shallow:  # the usual case: the first one is it
+            try:
+                return json.JSONDecoder().raw_decode(raw, at)[0]
+            except json.JSONDecodeError:
+                pass
+            except ValueError:
+                return None
         while at >= 0:
             end, depth = spans.end(at)
             if end >= 0:
@@ -167,10 +175,11 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = first_json(text or "")
+            spans = _Spans(text or "")
+            found = first_json(text or "", spans=spans)
             items = found.get("answers") if isinstance(found, dict) else found
             if not isinstance(items, list):
-                items = first_json(text or "", "[")  # a bare list: the first object was its first answer
+                items = first_json(text or "", "[", spans)  # a bare list: the first object was its first answer
             for i, a in enumerate(items if isinstance(items, list) else []):
                 if isinstance(a, dict):
                     # half of a surrogate pair, which JSON may spell, is no text
