@@ -222,6 +222,35 @@ def score_explained(spark, sf_dir):
     )
 
 
+_NAMED = ("Python", "React", "Kafka", "Angular", "Redis", "Vue")
+_NAMED_SQL = ", ".join(f"list_filter([{', '.join(f"case when (doc_id + {more}) % {k} = 0 then '{t}' end" for k, t in enumerate(_NAMED, 2))}], lambda t: t is not null) as {side}" for more, side in ((0, "req"), (1, "pref")))
+
+
+@query(
+    "sco_3_variant",
+    f"""with b as (select doc_id, {_NAMED_SQL}, ['Python', 'React', 'Redis'] as mine from documents),
+      c as (select *, len(list_intersect(list_concat(req, pref), ['Python', 'Kafka', 'Redis'])) as back, len(list_intersect(list_concat(req, pref), ['React', 'Angular', 'Vue'])) as front,
+        len(list_intersect(req, mine)) as r, len(req) as rt, len(list_intersect(pref, mine)) as p, len(pref) as pt, doc_id % 2 = 0 as sure from b),
+      d as (select *, case when rt > 0 then r / rt else 0.0 end as ratio from c)
+      select doc_id, case when back >= 2 * front and back >= 2 then 'backend' when front >= 2 * back and front >= 2 then 'full-stack' else 'either' end as variant, back::int as backend_signal, front::int as frontend_signal,
+        r::int as required_covered, rt::int as required_total, p::int as preferred_covered, pt::int as preferred_total,
+        array_to_string(list_sort(list_intersect(pref, mine)), ',') as have_preferred, array_to_string(list_sort(list_filter(pref, lambda t: not list_contains(mine, t))), ',') as missing_preferred,
+        case when rt = 0 and pt = 0 then 0 else round_even(60 * ratio * least(1.0, rt / 3.0) + case when pt > 0 then 25.0 * p / pt else 0 end + case when sure then 15.0 else 0.0 end, 0)::int end as total,
+        case when rt = 0 and pt = 0 then 'unscored' when rt >= 3 and r = rt and sure then 'exact match' when ratio >= 0.8 then 'strong' when ratio >= 0.5 then 'partial' else 'weak' end as tier from d""",
+)
+def variant(spark, sf_dir):
+    """SCO-3, AGG-16, PIPE-10: variant and signals of a gap report, and both sides of a score, on postings that name technologies."""
+    n = F.col("doc_id")
+    named = lambda more: F.array_join(F.array_compact(F.array(*(F.when((n + more) % k == 0, t) for k, t in enumerate(_NAMED, 2)))), ", ")
+    text = F.concat(F.lit("Required:\n"), named(0), F.lit(".\nNice to have:\n"), named(1), F.lit(".\n"))
+    rows = scoring.score(table(spark, sf_dir, "documents").select("doc_id", text.alias("description")), ["Python", "React", "Redis"], n % 2 == 0)
+    r, c = F.col("report"), F.col("score")
+    return rows.select(
+        "doc_id", *(r[x].alias(x) for x in ("variant", "backend_signal", "frontend_signal")), *(c[x].alias(x) for x in ("required_covered", "required_total", "preferred_covered", "preferred_total", "total", "tier")),
+        *(F.array_join(r[x], ",").alias(x) for x in ("have_preferred", "missing_preferred")),
+    )
+
+
 _Q = "chr(39)"
 
 
@@ -478,6 +507,26 @@ def discovered(spark, sf_dir):
     return runs.discover(rows)[0].select("ats", "tenant", "wd", "site", "company")
 
 
+@query(
+    "agg_5_discovery_counters",
+    """with u as (select page_id, page_id % 4 as kind, page_id % 8 = 7 as odd from pages),
+      c as (select count(*) as total_urls, count(*) filter (not odd) as classified, count(*) filter (kind < 3) as supported from u)
+      select 'counters' as kind, '' as name, total_urls as n, classified, supported, classified / greatest(total_urls, 1)::double as coverage from c
+      union all select 'unsupported', 'icims', count(*), null, null, null from u where kind = 3 and not odd having count(*) > 0
+      union all select 'unknown_host', 'careers.example.com', count(*), null, null, null from u where odd having count(*) > 0""",
+)
+def discovery_counters(spark, sf_dir):
+    """AGG-5: the counters of a discovery, and its urls by board without a reader and by unknown host."""
+    n = F.col("page_id")
+    url = (
+        F.when(n % 4 == 0, "jobs.lever.co/acme/1").when(n % 4 == 1, "https://boards.greenhouse.io/acme").when(n % 4 == 2, "https://acme.wd3.myworkdayjobs.com/Careers")
+        .when(n % 8 == 7, "https://careers.example.com/x").otherwise("https://careers.icims.com/x")
+    )
+    _, counters, others = runs.discover(table(spark, sf_dir, "pages").select(n.alias("ordinal"), F.lit("c").alias("company"), url.alias("url")))
+    first = counters.select(F.lit("counters").alias("kind"), F.lit("").alias("name"), F.col("total_urls").alias("n"), "classified", "supported", "coverage")
+    return first.unionByName(others, allowMissingColumns=True)
+
+
 @query(
     "pipe_19_comparison",
     f"""with {_SCREENED}, labelled as (select doc_id, kept, case when {_has('title', K.ROLE_DENY)} or not {_has('title', K.ROLE_ALLOW)} then 'not_swe' when title_band in ('entry', 'intern') then 'junior'
@@ -493,14 +542,19 @@ def comparison(spark, sf_dir):
 
 @query(
     "life_3_guard",
-    f"""with {DAYS_SQL}, h as (select count(*) as n, count(*) filter (event_type = 'error') as f from events)
-      select case when f > 0.25 * n then 'degraded_fetch' end as refused, (select count(*) from closed where closed_at = timestamp '{DAY_2}') * (case when f > 0.25 * n then 0 else 1 end) as closed_now from h""",
+    f"""with {DAYS_SQL}, h as (select 'few' as failing, count(*) as n, count(*) filter (event_type = 'error') as f from events union all select 'many', count(*), count(*) filter (event_type in ('error', 'purchase')) from events)
+      select failing, case when f > 0.25 * n then 'degraded_fetch' end as refused, (select count(*) from closed where closed_at = timestamp '{DAY_2}') * (case when f > 0.25 * n then 0 else 1 end) as closed_now from h
+      union all select 'empty', 'empty_fetch', 0""",
 )
 def guard(spark, sf_dir):
-    """LIFE-3: closing is refused when too many of the sources have failed."""
-    sources = table(spark, sf_dir, "events").select(F.col("event_id").alias("source"), (F.col("event_type") == "error").alias("failed"), F.col("event_type").alias("label"))
-    synced, refused = lifecycle.sync(corpus(spark, sf_dir), fetch(spark, sf_dir), F.lit(DAY_2).cast("timestamp"), sources)
-    return synced.agg(F.lit(refused).cast("string").alias("refused"), F.count_if(F.col("closed_at") == F.lit(DAY_2).cast("timestamp")).alias("closed_now"))
+    """LIFE-3: closing is refused when too many of the sources have failed, and when nothing was fetched."""
+    now, out = F.lit(DAY_2).cast("timestamp"), []
+    for name, types in (("few", ("error",)), ("many", ("error", "purchase")), ("empty", ())):
+        sources = table(spark, sf_dir, "events").select(F.col("event_id").alias("source"), F.col("event_type").isin(*types).alias("failed"), F.col("event_type").alias("label"))
+        came = fetch(spark, sf_dir)
+        synced, refused = lifecycle.sync(corpus(spark, sf_dir), came.limit(0) if name == "empty" else came, now, sources)
+        out.append(synced.agg(F.count_if(F.col("closed_at") == now).alias("closed_now")).select(F.lit(name).alias("failing"), F.lit(refused).cast("string").alias("refused"), "closed_now"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("life_5_evolution", "select c_custkey::varchar as id, c_name as title, '' as company, null::timestamp as closed_at, c_custkey % 2 = 0 as desc_available from customer")
