@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from .common import PLACE, forget, materialise, mix, partitions, release
 
 #: Bytes of text in a shard (its index takes some ten times that while it is built).
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 #: Bits of a phrase's hash that are sent; phrases that share them are told apart by text afterwards.
 HASH_BYTES = 4
 #: Parts per language into which the best phrases are split before they meet.
@@ -99,7 +99,7 @@ class Index:
 
     def words(self) -> Intervals:
         start, size = self.first[1:-1], np.diff(self.first)[1:]
-        return Intervals(np.arange(1, len(self.first) - 1)[:, None], start, start, size)
+        return Intervals(np.arange(1, len(self.first) - 1, dtype=np.int32)[:, None], start, start, size)
 
     def extend(self, phrases: Intervals, left: bool) -> Intervals:
         """Every phrase with one more word before it (or behind it), and its count."""
@@ -118,7 +118,7 @@ class Index:
         # smaller words (and boundaries) come first in the other direction's interval
         other = others[parent] + new - (np.cumsum(phrases.count) - phrases.count)[parent]
         real = word > 0
-        parent, word, start, other, count = parent[real], word[real], start[real], other[real], count[real]
+        parent, word, start, other, count = parent[real], word[real].astype(phrases.words.dtype), start[real], other[real], count[real]
         known = phrases.words[parent]
         return Intervals(np.c_[word, known], start, other, count) if left else Intervals(np.c_[known, word], other, start, count)
 
@@ -190,6 +190,7 @@ def _shards(depth: int, size: int):
                     if held >= size:
                         yield from (pa.RecordBatch.from_pylist([r], _SHARD) for r in rows(parts))
                         parts, held = {}, 0
+                        release()
         yield from (pa.RecordBatch.from_pylist([r], _SHARD) for r in rows(parts))
         release()
 
@@ -248,7 +249,8 @@ def _sent(depth: int, buckets: int, most: int):
                     pa.array(full, pa.int64()), pa.array([row["shard"]] * len(full), pa.int64()), pa.array([hashes[HASH_BYTES * i : HASH_BYTES * j] for i, j in zip(a, b)], pa.binary()),
                     pa.array([counts[width * i : width * j] for i, j in zip(a, b)], pa.binary()),
                 ], schema=_SENT)
-        release()
+                del names, index, of_words, found, keys, counts, order, hashes
+                release()
 
     return run
 
@@ -285,6 +287,7 @@ def _texts(depth: int, buckets: int):
             names, index = _opened(row)
             of_words = _hashes(row["lang"], names)
             found = list(index.phrases(depth))
+            index = None  # what is extended no more need not stay
             order, starts = _by_bucket(np.concatenate([_keys(of_words, p) for p in found]), buckets)
             kept = np.zeros(len(order), bool)
             for bucket, packed in zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist()):
@@ -300,6 +303,8 @@ def _texts(depth: int, buckets: int):
                     text = text + " " + spelled[p.words[own, k]]
                 n = len(own)
                 out.append(pa.table([pa.array([row["lang"]] * n, pa.string()), pa.array([p.words.shape[1]] * n, pa.int32()), pa.array(text, pa.string()), pa.array(p.count[own] * row["weight"], pa.int64())], schema=_PHRASES))
+            del names, index, of_words, found, order, kept, spelled
+            release()
         return pa.concat_tables(out) if out else _PHRASES.empty_table()
 
     return run
