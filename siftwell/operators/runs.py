@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions.urls import classify_apply_url, host_of, known_host
+from ..sources.folders import remove
 from . import lifecycle, paging, scoring, screening
 
 
@@ -50,6 +51,7 @@ def daily_run(corpus: DataFrame, fetch: DataFrame, sources: DataFrame, now: Colu
     rows, rescreened = screening.rescreen(stored.where("closed_at is null"), screening.newest_rows(spark, f"{folder}/views"), f"{folder}/screening", wanted)
     rows = screening.stamp_first_seen(rows, stored)
     generation = screening.publish(rows, f"{folder}/views", F.lit(stored.count()), now)
+    remove(spark, f"{folder}/screening")  # the digests are in the rows now
     published = screening.read_generation(spark, f"{folder}/views", generation)  # the screen runs once: what follows reads its rows
     _, new = lifecycle.split_known(best, corpus)
     todays = scoring.digest(published.where("view = 'kept'").withColumnRenamed("posting_id", "id"), new, most)
