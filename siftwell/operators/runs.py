@@ -141,12 +141,8 @@ def write_document(rows: DataFrame, corpus: DataFrame, folder: str) -> None:
 
 def compare_with_rank(screened: DataFrame, ranked: DataFrame) -> DataFrame:
     """How many labelled-junior rows the funnel and the legacy rank surface: label, labelled, by_funnel, by_rank."""
-    from ..functions.rules import in_role_family, title_band
-
-    band = title_band(F.col("title"))
-    label = F.when(~in_role_family(F.col("title")), "not_swe").when(band.isin("entry", "intern"), "junior").when(band.isin("senior", "mid"), band).otherwise("unmarked")
     top = ranked.select("id", F.lit(True).alias("_top"))
-    both = screened.withColumn("label", label).join(top, "id", "left")
+    both = screened.withColumn("label", screening.truth_band(F.col("title"))).join(top, "id", "left")
     return both.groupBy("label").agg(F.count("*").alias("labelled"), F.count_if("kept").alias("by_funnel"), F.count_if(F.col("_top")).alias("by_rank"))
 
 

@@ -20,6 +20,7 @@ from ..functions.rules import (
     is_internship,
     is_sandbox,
     level,
+    title_band,
     wrong_band,
 )
 from ..functions.text import once, stamp
@@ -225,15 +226,34 @@ def seeded_sample(rows: DataFrame, n: int = 50, seed: int = 7, key: str = "id")
     return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
+def truth_band(title: Column) -> Column:
+    """What a title alone says for sure: not_swe, junior, mid, senior, or unmarked."""
+    band = title_band(title)
+    return F.when(~in_role_family(title), "not_swe").when(band.isin("entry", "intern"), "junior").when(band.isin("senior", "mid"), band).otherwise("unmarked")
+
+
 def evaluate(screened: DataFrame) -> DataFrame:
     """Bands by title markers alone against what is kept: a row per label with labelled, kept and share of kept."""
-    from ..functions.rules import title_band
-
-    band = title_band(F.col("title"))
-    label = (
-        F.when(~in_role_family(F.col("title")), "not_swe").when(band.isin("entry", "intern"), "junior").when(band.isin("senior", "mid"), band).otherwise("unmarked")
-    )
-    by = screened.groupBy(label.alias("label")).agg(F.count("*").alias("labelled"), F.count_if("kept").alias("kept"))
+    by = screened.groupBy(truth_band(F.col("title")).alias("label")).agg(F.count("*").alias("labelled"), F.count_if("kept").alias("kept"))
     # the labels are five at most: their sum is a window over them, and the screen runs once
     total = F.greatest(F.sum("kept").over(Window.partitionBy()), F.lit(1))
     return by.withColumn("share_of_kept", F.col("kept") / total)
+
+
+def evaluation_rates(screened: DataFrame) -> DataFrame:
+    """One row, from one pass over the screen: total, kept, needs_level_check, juniors, recovered, recall (0 without juniors), seniors_kept (leakage) and
+    inversion_rate (seniors among the kept, 0 where nothing is kept)."""
+    label, kept = F.col("_label"), F.col("kept")
+    head = screened.withColumn("_label", truth_band(F.col("title"))).agg(
+        F.count("*").alias("total"), F.count_if(kept).alias("kept"), F.count_if(kept & (F.col("level.level") == "unknown")).alias("needs_level_check"),
+        F.count_if(label == "junior").alias("juniors"), F.count_if((label == "junior") & kept).alias("recovered"), F.count_if((label == "senior") & kept).alias("seniors_kept"),
+    )
+    ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    return head.withColumns({"recall": ratio("recovered", "juniors"), "inversion_rate": ratio("seniors_kept", "kept")})
+
+
+def missed_juniors(screened: DataFrame) -> DataFrame:
+    """id, title, gate and reason of every posting labelled junior that is not kept: the first gate that it fails, each of which should be a real reason. No shuffle."""
+    c = F.col
+    missed = screened.where(~c("kept")).where(truth_band(c("title")) == "junior").withColumn("gate", c("exclusions")[0])
+    return missed.select("id", "title", "gate", gate_reason(c("gate"), c("title"), c("company"), c("employment_type"), c("level"), c("eligible")).alias("reason"))

@@ -233,11 +233,14 @@ def cards(spark, sf_dir):
     return shown.drop("firstSeen", "remote", "levelWhy")
 
 
+_LABELLED = f"""{_SCREENED}, labelled as (
+      select *, case when {_has('title', K.ROLE_DENY)} or not {_has('title', K.ROLE_ALLOW)} then 'not_swe' when title_band in ('entry', 'intern') then 'junior'
+        when title_band in ('senior', 'mid') then title_band else 'unmarked' end as label from screened)"""
+
+
 @query(
     "agg_15_evaluation",
-    f"""with {_SCREENED}, labelled as (
-      select kept, case when {_has('title', K.ROLE_DENY)} or not {_has('title', K.ROLE_ALLOW)} then 'not_swe' when title_band in ('entry', 'intern') then 'junior'
-        when title_band in ('senior', 'mid') then title_band else 'unmarked' end as label from screened)
+    f"""with {_LABELLED}
       select label, count(*) as labelled, count(*) filter (kept) as kept, count(*) filter (kept) / greatest((select count(*) from labelled where kept), 1)::double as share_of_kept
       from labelled group by label""",
 )
@@ -245,6 +248,16 @@ def evaluation(spark, sf_dir):
     return screening.evaluate(_screened(spark, sf_dir))
 
 
+@query(
+    "agg_15_rates",
+    f"""with {_LABELLED}, n as (select count(*) as total, count(*) filter (kept) as kept, count(*) filter (kept and level = 'unknown') as needs_level_check, count(*) filter (label = 'junior') as juniors,
+        count(*) filter (label = 'junior' and kept) as recovered, count(*) filter (label = 'senior' and kept) as seniors_kept from labelled)
+      select *, recovered / greatest(juniors, 1)::double as recall, seniors_kept / greatest(kept, 1)::double as inversion_rate from n""",
+)
+def evaluation_rates(spark, sf_dir):
+    return screening.evaluation_rates(_screened(spark, sf_dir))
+
+
 # --- dedupe, merge, close, what changed ----------------------------------------------------------------
 
 

@@ -16,7 +16,7 @@ from ..sources import boards, feeds
 from ..sources.folders import shared_folder
 from ..streaming import postings as S
 from .more import _finished, _payloads, _stateful, _stream
-from .queries import _SCORE_SQL, _SCREENED, _TRIAGED, _VIEWS_SQL, PROSE, _has, _published, _scored, _screened, _tokens_sql, _triaged, _view_rows, query
+from .queries import _LABELLED, _SCORE_SQL, _SCREENED, _TRIAGED, _VIEWS_SQL, PROSE, _has, _published, _scored, _screened, _tokens_sql, _triaged, _view_rows, query
 from .templates import DAY_1, DAY_2, DAYS_SQL, POSTINGS_SQL, corpus, fetch, postings, table
 
 # --- texts as HTML ---------------------------------------------------------------------------------------------------
@@ -254,14 +254,18 @@ def variant(spark, sf_dir):
 _Q = "chr(39)"
 
 
+def _reason_sql(gate: str) -> str:
+    return f"""case {gate} when '{K.GATES[0]}' then 'not a software engineering role: ' || {_Q} || title || {_Q} when '{K.GATES[1]}' then {_Q} || company || {_Q} || ' is an ATS vendor demo board, not an employer'
+        when '{K.GATES[2]}' then 'internship, not full-time — ' || case when hit <> '' then {_Q} || hit || {_Q} || ' in the title' else 'employment type ' || {_Q} || employment_type || {_Q} end
+        when '{K.GATES[3]}' then 'seniority band is ' || level || ', not entry-level' when '{K.GATES[4]}' then 'clearance required — ' || {_Q} || clearance || {_Q}
+        when '{K.GATES[5]}' then 'citizenship/ITAR — ' || {_Q} || citizenship || {_Q} when '{K.GATES[6]}' then 'will not sponsor — ' || {_Q} || refused || {_Q} else '' end"""
+
+
 @query(
     "pipe_2_reasons",
     f"""with {_VIEWS_SQL}, r as (select v.posting_id, v.view, v.level, p.title, p.company, p.employment_type, s.clearance, s.citizenship, s.refused, regexp_extract(p.title, '(?i){K.INTERNSHIP_TITLE}', 0) as hit,
         s.level_source, s.years from view_rows v join postings p on v.posting_id = p.id join screened s on s.id = v.posting_id)
-      select posting_id, view, case view when '{K.GATES[0]}' then 'not a software engineering role: ' || {_Q} || title || {_Q} when '{K.GATES[1]}' then {_Q} || company || {_Q} || ' is an ATS vendor demo board, not an employer'
-        when '{K.GATES[2]}' then 'internship, not full-time — ' || case when hit <> '' then {_Q} || hit || {_Q} || ' in the title' else 'employment type ' || {_Q} || employment_type || {_Q} end
-        when '{K.GATES[3]}' then 'seniority band is ' || level || ', not entry-level' when '{K.GATES[4]}' then 'clearance required — ' || {_Q} || clearance || {_Q}
-        when '{K.GATES[5]}' then 'citizenship/ITAR — ' || {_Q} || citizenship || {_Q} when '{K.GATES[6]}' then 'will not sponsor — ' || {_Q} || refused || {_Q} else '' end as reason, {_LEVEL_SQL} as level_why from r""",
+      select posting_id, view, {_reason_sql('view')} as reason, {_LEVEL_SQL} as level_why from r""",
 )
 def gate_reasons(spark, sf_dir):
     return _view_rows(spark, sf_dir).select("posting_id", "view", "reason", "level_why")
@@ -527,6 +531,15 @@ def discovery_counters(spark, sf_dir):
     return first.unionByName(others, allowMissingColumns=True)
 
 
+@query(
+    "agg_15_missed_juniors",
+    f"""with {_LABELLED}, r as (select *, gates[1] as gate, regexp_extract(title, '(?i){K.INTERNSHIP_TITLE}', 0) as hit from labelled where label = 'junior' and not kept)
+      select id, title, gate, {_reason_sql('gate')} as reason from r""",
+)
+def missed_juniors(spark, sf_dir):
+    return screening.missed_juniors(_screened(spark, sf_dir))
+
+
 @query(
     "pipe_19_comparison",
     f"""with {_SCREENED}, labelled as (select doc_id, kept, case when {_has('title', K.ROLE_DENY)} or not {_has('title', K.ROLE_ALLOW)} then 'not_swe' when title_band in ('entry', 'intern') then 'junior'
@@ -569,36 +582,40 @@ def evolution(spark, sf_dir):
 # --- checks -----------------------------------------------------------------------------------------------------------
 
 
-def _listed(spark: SparkSession, sf_dir: str, check: str, faults: list[str]) -> DataFrame:
-    """Faults as rows; a row without a fault where there are none, with the number of documents that were checked."""
-    n = table(spark, sf_dir, "documents").agg(F.count("*").alias("checked"))
+def _listed(checked: DataFrame, check: str, faults: list[str]) -> DataFrame:
+    """Faults as rows; a row without a fault where there are none, with the number of rows that were checked."""
     found = F.array(*map(F.lit, faults)) if faults else F.array(F.lit("none"))
-    return n.select(F.lit(check).alias("check"), "checked", F.explode(found).alias("fault"))
+    return checked.agg(F.count("*").alias("checked")).select(F.lit(check).alias("check"), "checked", F.explode(found).alias("fault"))
 
 
-@query("chk_1_contract", "select 'contract' as \"check\", count(*) as checked, f.fault from documents, (values ('salary'), ('descriptionStatus.text')) f(fault) group by f.fault")
+@query(
+    "chk_1_contract",
+    f"""with {_VIEWS_SQL} select 'contract' as "check", count(*) as checked, f.fault from view_rows, (values ('salary'), ('descriptionStatus.text')) f(fault) where view = 'kept' group by f.fault""",
+)
 def contract(spark, sf_dir):
-    rows, stored = _reading(spark, sf_dir)
-    return _listed(spark, sf_dir, "contract", quality.missing_fields(runs.collection(rows, stored, "kept"), [*paging.CARD_FIELDS, "salary", "descriptionStatus.text"]))
+    """The cards' fields against the contract and two that it lacks: a plan's schema tells, nothing is published for it."""
+    rows = _view_rows(spark, sf_dir)
+    cards = runs.collection(rows, conform(postings(spark, sf_dir), STORED), "kept")
+    return _listed(rows.where("view = 'kept'"), "contract", quality.missing_fields(cards, [*paging.CARD_FIELDS, "salary", "descriptionStatus.text"]))
 
 
 @query(
     "chk_2_reconcile",
     f"""with {_VIEWS_SQL}, t as (select count(*) filter (view = 'kept') as kept, count(*) filter (view = 'internships') as held from view_rows)
-      select 'reconcile' as "check", (select count(*) from documents) as checked, 'walked ' || kept || ' of ' || (kept + 1) as fault from t""",
+      select 'reconcile' as "check", kept + held as checked, 'walked ' || kept || ' of ' || (kept + 1) as fault from t""",
 )
 def reconcile(spark, sf_dir):
     """The walk against a total that is one too high, and internships against their own."""
     rows = _published(spark, sf_dir)
     n = rows.agg(F.count_if(F.col("view") == "kept").alias("kept"), F.count_if(F.col("view") == "internships").alias("held"), F.count_if(F.col("gate") == K.GATES[2]).alias("gate")).first()
     faults = quality.reconcile(rows.where("view = 'kept'"), n["kept"] + 1, rows.where("view = 'internships'"), n["held"], n["gate"])
-    return _listed(spark, sf_dir, "reconcile", faults)
+    return _listed(rows.where("view in ('kept', 'internships')"), "reconcile", faults)
 
 
 @query("chk_6_prose", "select 'prose' as \"check\", count(*) as checked, f.fault from documents, (values ('description'), ('text')) f(fault) group by f.fault")
 def prose(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return _listed(spark, sf_dir, "prose", quality.prose_faults(d.withColumn("description", F.lit("")), ["text", "lang"]))
+    return _listed(d, "prose", quality.prose_faults(d.withColumn("description", F.lit("")), ["text", "lang"]))
 
 
 @query("chk_7_scores", _SCORE_SQL + " select conv_id, turn from tiered where turn % 3 = 0")

@@ -277,6 +277,12 @@ def test_demo_corpus(spark, tmp_path):
         paging.tier_filter(["strong"], None)
     by = screening.evaluate(screened).collect()
     assert {r["label"]: (r["labelled"], r["kept"]) for r in by}["junior"] == (9, 8)
+    head = screening.evaluation_rates(screened).first()
+    assert (head["juniors"], head["recovered"], head["seniors_kept"], head["inversion_rate"]) == (9, 8, 0, 0.0) and abs(head["recall"] - 8 / 9) < 1e-12
+    missed = screening.missed_juniors(screened).collect()
+    assert len(missed) == 1 and missed[0]["gate"] and missed[0]["reason"]
+    empty = screening.evaluation_rates(screened.limit(0)).first()
+    assert (empty["total"], empty["recall"], empty["inversion_rate"]) == (0, 0.0, 0.0)
     assert quality.overlap(kept, rows.where("view = 'internships'")).count() == 0
     found = paging.by_url(demo(spark).withColumn("req_id", F.lit("")).withColumn("ordinal", F.col("n")), spark.createDataFrame([("https://y/x/1",)], "url string"))
     assert found.first()["n"] == 1
