@@ -5,7 +5,7 @@ from __future__ import annotations
 from .collocations import ORACLE as OP12
 from .hard_negatives import ORACLE as OP11
 from .line_dedup import ORACLE as OP8
-from .quality_rules import END, Rules
+from .quality_rules import END, LINE_RULES, LINKS, Rules
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -30,7 +30,10 @@ select w.doc_id, coalesce(k.n, 0) as n_words, coalesce(k.cut, 0) as n_removed, s
 _RULES = Rules()
 _QUOTED = lambda s: "'" + s.replace("'", "''") + "'"
 _NAVIGATION = _QUOTED(_RULES.navigation)
-_PHRASES = _QUOTED("(?i)" + "|".join(_RULES.boilerplate))
+_PHRASES = " or ".join(f"contains(low, {_QUOTED(p)})" for p in _RULES.phrases)
+_NOTICES = _QUOTED("|".join(_RULES.notices))
+_LINKS = " or ".join(f"starts_with(x, {_QUOTED(p)})" for p in LINKS)
+_LOST = ", ".join(f"count(*) filter (rule = {i}) as lines_{r}" for i, r in enumerate(LINE_RULES))
 _ENDS = " or ".join(f"ends_with(regexp_replace(line, '[\\x20\\x09-\\x0D]+$', ''), {_QUOTED(e)})" for e in dict.fromkeys(END))
 OP2 = f"""
 with w as (select row_number() over () as r, doc_id, coalesce(text, '') as text, {_words('text')} as words from documents),
@@ -38,16 +41,18 @@ windows as (select r, i, array_to_string(words[i:i + 7], ' ') as s from (select
 twice as (select r, s from windows group by r, s having count(*) > 1),
 covered as (select r, count(distinct i + k) as n from windows join twice using (r, s), (select unnest(range(0, 8)) as k) group by r),
 lines as (select r, line, {_words('line')} as own from (select r, unnest(string_split(text, chr(10))) as line from w)),
-judged as (select r, line, len(own) as n, coalesce(list_sum(list_transform(own, lambda x: length(x))), 0)::bigint as chars, own from lines where len(own) > 0),
-failed as (select *, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > {_RULES.symbol_share}::double * chars or regexp_matches(line, {_NAVIGATION})
-    or (n <= {_RULES.boilerplate_words} and regexp_matches(line, {_PHRASES}))
-    or (n >= {_RULES.run_words} and list_max(map_values(list_histogram(own))) > {_RULES.run_share}::double * n) or (n >= {_RULES.sentence_words} and not ({_ENDS})) as fails from judged),
-by_text as (select r, count(*) - count(distinct line) as dups, sum(chars) filter (fails) as lost from failed group by r),
+judged as (select r, line, lower(line) as low, len(own) as n, coalesce(list_sum(list_transform(own, lambda x: length(x))), 0)::bigint as chars, own from lines where len(own) > 0),
+failed as (select *, case when length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > {_RULES.symbol_share}::double * chars then 0 when regexp_matches(line, {_NAVIGATION}) then 1
+    when n <= {_RULES.boilerplate_words} and ({_PHRASES} or regexp_matches(low, {_NOTICES})) then 2
+    when len(list_filter({_words('low')}, lambda x: {_LINKS})) > {_RULES.link_share}::double * n then 3
+    when n >= {_RULES.run_words} and list_max(map_values(list_histogram(own))) > {_RULES.run_share}::double * n then 4 when n >= {_RULES.sentence_words} and not ({_ENDS}) then 5 end as rule from judged),
+by_text as (select r, count(*) - count(distinct line) as dups, sum(chars) filter (rule is not null) as lost, {_LOST} from failed group by r),
 facts as (select w.r, w.doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
-    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(b.dups, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words, coalesce(b.lost, 0)::bigint as lost_chars
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(b.dups, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words, coalesce(b.lost, 0)::bigint as lost_chars,
+    {', '.join(f'coalesce(b.lines_{r}, 0) as lines_{r}' for r in LINE_RULES)}
   from w left join by_text b on w.r = b.r left join covered c on w.r = c.r)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
-  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and lost_chars <= {_RULES.lost_share}::double * word_chars as kept, lost_chars from facts
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and lost_chars <= {_RULES.lost_share}::double * word_chars as kept, lost_chars, {', '.join(f'lines_{r}' for r in LINE_RULES)} from facts
 """
 
 OP4 = """

@@ -1,8 +1,8 @@
 """Quality rules, line first.
 
-Every line is judged by itself: lines of marks, lines of navigation, lines of boilerplate and lines that
-repeat one word are removed; then a document that lost too much of its text is rejected. Base statistics
-are counted on the whole text beside it.
+Every line is judged by itself: lines of marks, lines of navigation, lines of boilerplate (notices of rights and licences by
+their shape, phrases of sites in several languages), lines of links and lines that repeat one word are removed, and long lines that do not end like a
+sentence; then a document that lost too much of its text is rejected. A line counts for the first rule that it breaks. Base statistics are counted on the whole text beside it.
 
 A line rule never looks at other lines, so a document is one row from scan to result, without shuffle.
 Null text counts as the empty text; a text without words fails the base rules. Repeated rows are judged alike. Columns of
@@ -26,6 +26,7 @@ from .common import PLACE, mix
 _SPACES = " \t\n\v\f\r"
 _WORDS = re.compile(rf"[^{_SPACES}]+")
 _SYMBOLS = b"#*$%&|<>"
+LINKS = ("http://", "https://", "www.")
 END = (".", "!", "?", '"', "'", "”", "’", "»", "…", ":", ";", ")", "。", "！", "？", "」", "』", "）", "।", "॥", "؟", "۔", "።")
 
 
@@ -39,12 +40,31 @@ class Rules:
     symbol_share: float = 0.2
     #: Separators between short entries that make a navigation line.
     navigation: str = r"(?:[\x20\x09-\x0D][|»›>·•/][\x20\x09-\x0D][^|»›>·•/]{0,30}){3,}"
-    #: Phrases of boilerplate, matched in any case; a line of at most ``boilerplate_words`` words with one goes.
-    boilerplate: tuple[str, ...] = (
+    #: Phrases of sites, in lower case and by language; a line of at most ``boilerplate_words`` words with one goes, in whatever language it is.
+    phrases: tuple[str, ...] = (
+        # English
         "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies", "enable javascript",
         "click here", "sign up for", "subscribe to our", "read more", "share this", "follow us on", "powered by", "lorem ipsum", "skip to content",
+        # German
+        "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "verwendet cookies", "javascript aktivieren", "hier klicken", "klicken sie hier",
+        "newsletter abonnieren", "jetzt weiterlesen", "folgen sie uns", "zum inhalt springen",
+        # French
+        "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "utilise des cookies", "activer javascript", "cliquez ici",
+        "abonnez-vous", "lire la suite", "suivez-nous", "aller au contenu",
+        # Spanish
+        "todos los derechos reservados", "términos de uso", "política de privacidad", "aviso legal", "utiliza cookies", "activar javascript", "haga clic aquí", "haz clic aquí",
+        "suscríbete a", "leer más", "síguenos en", "saltar al contenido",
     )
+    #: Shapes of notices of rights and licences, matched in the lower-cased line; each holds one of ``hints``.
+    notices: tuple[str, ...] = (
+        r"(?:©|\(c\)|copyright)[\x20\x09-\x0D]*(?:©|\(c\))?[\x20\x09-\x0D]*[0-9]{4}", r"(?:licen[cs]ed|released|distributed|published|available|provided) under [^.]{0,80}licen[cs]e",
+        r"spdx-license-identifier:", r"(?:lizenziert|veröffentlicht|freigegeben|steht|stehen) unter [^.]{0,80}lizenz",
+        r"(?:distribué|publié|diffusé|disponible)e?s? sous (?:la )?licence ", r"(?:distribuid|publicad|licenciad|disponible)[a-z]{0,2} bajo (?:la |una )?licencia ",
+    )
+    hints: tuple[str, ...] = ("©", "(c)", "copyright", "licen", "lizenz")
     boilerplate_words: int = 25
+    #: A line with more than this share of its words being links goes.
+    link_share: float = 0.5
     #: A line of at least ``run_words`` words in which one word makes up more than this share goes.
     run_words: int = 20
     run_share: float = 0.3
@@ -52,20 +72,25 @@ class Rules:
     lost_share: float = 0.5
 
 
-def line_fails(line: str, words: list[str], rules: Rules, navigation: re.Pattern, boilerplate: re.Pattern) -> bool:
-    """Whether a line, given with its words, breaks a rule."""
+#: The line rules in the order in which they are tried.
+LINE_RULES = ("symbols", "navigation", "boilerplate", "links", "repetition", "unended")
+
+
+def broken_rule(line: str, words: list[str], rules: Rules, navigation: re.Pattern, notices: re.Pattern) -> int:
+    """The place in ``LINE_RULES`` of the first rule that a line, given with its words, breaks; -1 if none."""
     n = len(words)
-    chars = sum(map(len, words))
-    marks = sum(map(line.count, "#*$%&|<>"))
-    if marks > rules.symbol_share * chars:
-        return True
+    if sum(map(line.count, "#*$%&|<>")) > rules.symbol_share * sum(map(len, words)):
+        return 0
     if navigation.search(line):
-        return True
-    if n <= rules.boilerplate_words and boilerplate.search(line):
-        return True
+        return 1
+    low = line.lower()
+    if n <= rules.boilerplate_words and (any(p in low for p in rules.phrases) or any(h in low for h in rules.hints) and notices.search(low)):
+        return 2
+    if ("://" in low or "www." in low) and sum(w.startswith(LINKS) for w in _WORDS.findall(low)) > rules.link_share * n:
+        return 3
     if n >= rules.run_words and Counter(words).most_common(1)[0][1] > rules.run_share * n:
-        return True
-    return n >= rules.sentence_words and not line.rstrip(_SPACES).endswith(END)
+        return 4
+    return 5 if n >= rules.sentence_words and not line.rstrip(_SPACES).endswith(END) else -1
 
 
 def repeated_words(words: list[bytes], size: int = 8) -> int:
@@ -96,7 +121,7 @@ def repeated_words(words: list[bytes], size: int = 8) -> int:
 def _judge(rules: Rules, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         navigation = re.compile(rules.navigation)
-        boilerplate = re.compile("|".join(map(re.escape, rules.boilerplate)), re.I)
+        notices = re.compile("|".join(rules.notices))
         for batch in batches:
             out = []
             for item in batch.column(1):
@@ -104,7 +129,7 @@ def _judge(rules: Rules, texts: bool):
                 raw = text.encode()
                 words = raw.split()
                 chars = sum(map(len, words)) - (len(raw) - len(text))
-                lines, seen, repeats, lost, kept = text.split("\n"), set(), 0, 0, []
+                lines, seen, repeats, lost, kept, hits = text.split("\n"), set(), 0, 0, [], [0] * len(LINE_RULES)
                 for line in lines:
                     own = _WORDS.findall(line)
                     if not own:
@@ -112,28 +137,37 @@ def _judge(rules: Rules, texts: bool):
                     if line in seen:
                         repeats += 1
                     seen.add(line)
-                    if line_fails(line, own, rules, navigation, boilerplate):
-                        lost += sum(map(len, own))
-                    else:
+                    rule = broken_rule(line, own, rules, navigation, notices)
+                    if rule < 0:
                         kept.append(line)
+                    else:
+                        lost += sum(map(len, own))
+                        hits[rule] += 1
                 n, again = len(words), repeated_words(words)
                 failed = n < 20 or 100 * again > 30 * n
-                out.append((n, chars, sum(map(raw.count, (bytes([b]) for b in _SYMBOLS))), repeats, again, failed, not failed and lost <= rules.lost_share * chars, lost, "\n".join(kept)))
+                out.append((n, chars, sum(map(raw.count, (bytes([b]) for b in _SYMBOLS))), repeats, again, failed, not failed and lost <= rules.lost_share * chars, lost, *hits, "\n".join(kept)))
             if out:
-                kinds = ([pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), pa.string()])[: 9 if texts else 8]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=_NAMES[: 10 if texts else 9])
+                kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * (1 + len(LINE_RULES)) + [pa.string()] * texts
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=_NAMES[: len(kinds) + 1])
 
     return run
 
 
-_NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars", "cleaned"]
+_NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars", *(f"lines_{r}" for r in LINE_RULES), "cleaned"]
 
 
 def clean(docs: DataFrame, rules: Rules = Rules(), texts: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
-    """Statistics, verdict and, with ``texts``, the text without its failed lines (``cleaned``), a row per input row."""
+    """Statistics, verdict, lines lost by each rule and, with ``texts``, the text without its failed lines (``cleaned``), a row per input row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(
         _judge(rules, texts),
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "base_failed boolean, kept boolean, lost_chars long" + ", cleaned string" * texts,
+        "base_failed boolean, kept boolean, lost_chars long" + "".join(f", lines_{r} long" for r in LINE_RULES) + ", cleaned string" * texts,
     )
+
+
+def report(cleaned: DataFrame) -> DataFrame:
+    """rule, lines and documents: how many lines went by each line rule, and of how many documents; a row per rule."""
+    counts = cleaned.agg(*(f(F.col(f"lines_{r}")).alias(f"{k}_{r}") for r in LINE_RULES for k, f in (("lines", lambda c: F.coalesce(F.sum(c), F.lit(0))), ("docs", lambda c: F.count_if(c > 0)))))
+    rows = F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"lines_{r}").alias("lines"), F.col(f"docs_{r}").alias("documents")) for r in LINE_RULES))
+    return counts.select(F.explode(rows).alias("x")).select("x.*")

@@ -127,7 +127,7 @@ def test_quality_statistics_against_brute_force(spark, corpus):
                 cover[k : k + 8] = [True] * 8
         failed = len(w) < 20 or 100 * sum(cover) > 30 * len(w)
         want[i, len(w), sum(len(x.decode()) for x in w), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), sum(cover), failed] += 1
-    rows = quality_rules.clean(frame(spark, corpus, **CLASH), texts=False).drop("kept", "lost_chars").collect()
+    rows = quality_rules.clean(frame(spark, corpus, **CLASH), texts=False).drop("kept", "lost_chars", *(f"lines_{r}" for r in quality_rules.LINE_RULES)).collect()
     assert Counter(map(tuple, rows)) == want
 
 
@@ -160,6 +160,34 @@ def test_cleaned_text_lacks_failed_lines(spark):
     assert row["cleaned"] == GOOD + "\n" + GOOD and row["lost_chars"] == 20
 
 
+def test_boilerplate_by_shape_and_language(spark):
+    """Notices and site phrases of four languages go, by the rule that they break; sentences about licences, rights and links stay."""
+    goes = [
+        "© 2021 Example Ltd", "(c) 2020 The Authors", "Copyright © 1999-2004 by the editors.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.",
+        "This work is licensed under the GNU General Public License, version 3.", "// SPDX-License-Identifier: MIT", "Dieses Werk steht unter einer freien Lizenz", "Alle Rechte vorbehalten.",
+        "Texte publié sous licence libre", "TOUS DROITS RÉSERVÉS", "Obra publicada bajo una licencia libre", "Todos los derechos reservados", "Lire la suite", "Haga clic aquí", "Hier klicken!",
+    ]
+    links = ["https://example.com/a", "See http://a.example www.b.example"]
+    stays = ["She holds a driving licence and a copyright.", "Die Lizenz lag unter dem Buch.", "We met under the bridge to talk about the license.", "Read www.example.com for more of this.", "Une licence de pêche."]
+    row = quality_rules.clean(frame(spark, [(1, "\n".join(goes + links + stays))])).first()
+    assert row["cleaned"].split("\n") == stays
+    assert (row["lines_boilerplate"], row["lines_links"], row["lines_symbols"], row["lines_unended"]) == (len(goes), len(links), 0, 0)
+    long = " ".join(["word"] + [f"w{i}" for i in range(30)]) + " all rights reserved."
+    assert quality_rules.clean(frame(spark, [(1, long)])).first()["cleaned"] == long
+    # the hints only spare lines a search: each notice holds one
+    rules = quality_rules.Rules()
+    for line in map(str.lower, goes):
+        found = any(re.search(n, line) for n in rules.notices)
+        assert not found or any(h in line for h in rules.hints)
+
+
+def test_report_of_line_rules(spark):
+    df = frame(spark, [(1, GOOD + "\nClick here\nClick here"), (2, "Home · News · Sport · Weather · Contact\n$$$$ a\nClick here"), (3, None), (4, "la " * 60)])
+    found = {r["rule"]: (r["lines"], r["documents"]) for r in quality_rules.report(quality_rules.clean(df)).collect()}
+    assert found == {"symbols": (1, 1), "navigation": (1, 1), "boilerplate": (3, 2), "links": (0, 0), "repetition": (1, 1), "unended": (0, 0)}
+    assert all(r["lines"] == r["documents"] == 0 for r in quality_rules.report(quality_rules.clean(df.limit(0))).collect())
+
+
 def shingle_set(text, words):
     w = [x.lower() for x in split(text)]
     return {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
