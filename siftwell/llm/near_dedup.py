@@ -327,9 +327,9 @@ def classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str
     filled = signed.where("doc_id is not null and n_shingles > 0")
     # written first: the joins below then meet plain shuffles, which may be split where many copies share a key
     same = materialise(filled.groupBy("same").agg(F.min("doc_id").alias("node")), "same")
-    nodes = filled.join(same, (filled["same"] == same["same"]) & (filled["doc_id"] == same["node"]), "left_semi").select(
-        F.col("doc_id").alias("node"), "bands", "sketch", "n_shingles"
-    )
+    nodes = filled.join(same, (filled["same"] == same["same"]) & (filled["doc_id"] == same["node"]), "left_semi")
+    # read by six steps: written once
+    nodes = materialise(nodes.select(F.col("doc_id").alias("node"), "bands", "sketch", "n_shingles"), "nodes")
     clusters = _clusters(nodes, threshold)
     links = _links(texts.where("doc_id is not null"), nodes, clusters, words, threshold)
     keyed = signed.select("doc_id", "same", "n_shingles").join(same.withColumnRenamed("node", "first"), "same", "left")
