@@ -6,7 +6,7 @@ a matrix product of the codes gives every approximate distance. With the length
 error, the true distance is known to lie within ``approx ± (e_q + e_c)``; candidates whose lower bound
 exceeds the k-th smallest upper bound (an id counted once, however many rows it has) cannot be among the k nearest and are left out. The others are
 recomputed in double precision on the original vectors. A heap per query carries the best k through the
-sub-tiles of a tile, and heaps of the tiles are merged per query. The result is exact.
+sub-tiles of a tile, and heaps of the tiles are merged per query, for a bounded group of queries at a time. The result is exact.
 
 Vectors that are null, zero, or hold a null or non-finite component take no part; neither do null ids.
 Vectors are compared with those of the same length only. Fewer than k candidates: all of them. Ties go
@@ -23,9 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import partitions
+
 #: Queries of a block, and vectors of a candidate block (a tile's memory is bounded by these two).
 QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 32768
 _SUB_Q, _SUB_C = 256, 4096
+#: Rows of heaps that are merged in one group (expected; queries are dealt out by hash).
+MERGE_ROWS = 1 << 18
 
 
 def usable(vector: str) -> Column:
@@ -116,13 +120,16 @@ def _tile(k: int):
 
 def _merge(k: int):
     def run(heaps: pa.Table) -> pa.Table:
-        query = heaps.column("query_id")[0].as_py()
-        pairs = set(zip(heaps.column("score").to_pylist(), heaps.column("vec_id").to_pylist()))
-        best = heapq.nsmallest(k, pairs)
-        return pa.table({
-            "query_id": pa.array([query] * len(best), pa.int64()), "rank": pa.array(range(1, len(best) + 1), pa.int32()),
-            "vec_id": pa.array([v for _, v in best], pa.int64()), "score": pa.array([d for d, _ in best], pa.float64()),
-        })
+        heaps = heaps.sort_by("query_id")
+        query = heaps.column("query_id").to_numpy()
+        score, vec = heaps.column("score").to_pylist(), heaps.column("vec_id").to_pylist()
+        cuts = np.flatnonzero(np.r_[True, query[1:] != query[:-1], True]).tolist()
+        rows = []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            best = heapq.nsmallest(k, set(zip(score[i:j], vec[i:j])))
+            rows += [(int(query[i]), n, v, d) for n, (d, v) in enumerate(best, 1)]
+        a, n, v, d = zip(*rows)
+        return pa.table({"query_id": pa.array(a, pa.int64()), "rank": pa.array(n, pa.int32()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(d, pa.float64())})
 
     return run
 
@@ -146,4 +153,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     queries = queries.select("dim", "qb", "cb", "id", "vector")
     candidates = candidates.select(*(F.col(c).alias(f"c_{c}") for c in queries.columns))
     heaps = queries.groupBy("dim", "qb", "cb").cogroup(candidates.groupBy("c_dim", "c_qb", "c_cb")).applyInArrow(_tile(k), "query_id long, vec_id long, score double")
-    return heaps.groupBy("query_id").applyInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
+    # queries are merged many at a time: as many as keep a group's rows bounded, each query having k rows of every candidate block at most
+    groups = max(partitions(rows.sparkSession), math.ceil(sizes["q"] * c_blocks * k / MERGE_ROWS))
+    return heaps.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("part")).applyInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")

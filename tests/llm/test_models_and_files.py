@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -135,6 +136,20 @@ def test_codewords_are_apart():
         assert all(abs(int(c.sum())) < k for c in code.T)
 
 
+def test_codewords_of_many_classes_are_drawn_quickly():
+    """The distance that picks a draw is that of the closest pair, also where pairs are many."""
+    code = language_id.codewords(9)
+    rng, width, best = np.random.default_rng(5), int(np.ceil(15 * np.log2(9))), -1
+    for _ in range(200):
+        drawn = rng.choice(np.array([-1, 1], np.int8), (9, width))
+        drawn = drawn[:, np.abs(drawn.sum(0)) < 9]
+        best = max(best, min(int((a != b).sum()) for i, a in enumerate(drawn) for b in drawn[:i]))
+    assert min(int((a != b).sum()) for i, a in enumerate(code) for b in code[:i]) == best
+    began = time.perf_counter()
+    many = language_id.codewords(300)
+    assert len(np.unique(many, axis=0)) == 300 and time.perf_counter() - began < 10
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -273,6 +288,18 @@ def test_repeated_rows_do_not_cost_neighbours(spark):
         assert [r["vec_id"] for r in got if r["query_id"] == q] == [int(i) for i in np.argsort(d) if i != q][:10]
 
 
+def test_heaps_of_many_queries_are_merged_by_groups(spark, monkeypatch):
+    """The same neighbours, however many queries share a group of the merge."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.integers(-4, 5, 6).astype(float).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    search = lambda: sorted(map(tuple, block_search.nearest(df, F.col("vec_id") % 3 == 0, 4).collect()))
+    monkeypatch.setattr(block_search, "CANDIDATE_BLOCK", 50)
+    whole = search()
+    assert len(whole) == 400
+    monkeypatch.setattr(block_search, "MERGE_ROWS", 100)
+    assert search() == whole
+
+
 def test_quantisation_error_bounds_hold():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(50, 24)) * rng.exponential(size=(50, 1))
