@@ -171,6 +171,7 @@ def strip_tags(c: Column) -> Column:
 
 
 _ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_CLOSED = _ENTITY.replace(";?", ";")
 _BUCKETS = 4096
 
 
@@ -202,33 +203,35 @@ def _numbered(reference: Column) -> Column:
     return let(number, character)
 
 
-def _decoded(entity: Column) -> Column:
-    """What an entity (from its ``&``) stands for; a name that is none gives its longest beginning that is one, or stays."""
+def _decoded(entity: Column, open_ended: bool = True) -> Column:
+    """What an entity (from its ``&``) stands for; a name that is none gives its longest beginning that is one (if ``open_ended``), or stays."""
     name = F.substring(entity, 2, 1 << 30)
+    if not open_ended:
+        return F.when(name.startswith("#"), _numbered(name)).otherwise(F.coalesce(_named(name), entity))
     sizes = F.when(F.length(name) > 2, F.sequence(F.length(name) - 1, F.lit(2), F.lit(-1)))
     begun = F.filter(F.transform(sizes, lambda n: F.concat(_named(F.substring(name, F.lit(1), n)), F.substring(name, n + 1, F.lit(1 << 30)))), lambda x: x.isNotNull())
     return F.when(name.startswith("#"), _numbered(name)).otherwise(F.coalesce(_named(name), F.get(begun, F.lit(0)), entity))
 
 
-def unescape(text: Column) -> Column:
-    """HTML entities as characters, as the standard library's ``html.unescape`` has them. Texts without ``&`` are passed as they are."""
-    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(f"({_ENTITY})"), F.lit(1)), _decoded), F.array(F.lit("")))
-    parts = F.zip_with(F.split(text, _ENTITY, -1), found, lambda a, b: F.concat(a, b))
-    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
-
+def unescape(text: Column, open_ended: bool = True) -> Column:
+    """HTML entities as characters, as the standard library's ``html.unescape`` has them. Texts without ``&`` are passed as they are.
 
-def _unescape_stable(text: Column) -> Column:
-    """Up to three levels of escapes."""
-    return let(let(let(text, unescape), unescape), unescape)
+    Without ``open_ended`` only entities that end in a semicolon count: the ``&amp`` of a text cut within ``&amp;`` stays.
+    """
+    entity = _ENTITY if open_ended else _CLOSED
+    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(f"({entity})"), F.lit(1)), lambda e: _decoded(e, open_ended)), F.array(F.lit("")))
+    parts = F.zip_with(F.split(text, entity, -1), found, lambda a, b: F.concat(a, b))
+    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
 
 
-def html_to_text(c: Column) -> Column:
-    """Readable text of HTML that may be escaped up to three times. Never truncates; null gives the empty text."""
-    t = _unescape_stable(or_empty(c))
+def html_to_text(c: Column, open_ended: bool = True) -> Column:
+    """Readable text of HTML that may be escaped up to three times. Never truncates; null gives the empty text. ``open_ended`` as in :func:`unescape`."""
+    plain = lambda text: unescape(text, open_ended)
+    t = let(let(let(or_empty(c), plain), plain), plain)
     t = F.regexp_replace(t, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
     t = F.regexp_replace(t, r"(?i)<(br|hr)\s*/?>", "\n")
     t = F.regexp_replace(t, r"(?i)</(p|div|li|ul|ol|h[1-6]|tr|table|section)\s*>", "\n")
-    t = let(F.regexp_replace(t, r"<[^>]+>", " "), unescape)
+    t = let(F.regexp_replace(t, r"<[^>]+>", " "), plain)
     t = F.regexp_replace(t, r"[ \t\r\f\x0B]+", " ")
     t = F.array_join(F.transform(F.split(t, "\n", -1), strip), "\n")
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))

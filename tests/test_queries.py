@@ -75,3 +75,14 @@ def test_plans_prune_and_push_down(spark, sf):
     assert "Exchange" not in screen and "n_chars" not in screen and "EvalPython" not in screen
     top = plan(QUERIES["ord_2_keyset_page"](spark, sf))
     assert "TakeOrderedAndProject" in top
+
+
+def test_html_to_text_of_entities_that_are_cut(spark, tmp_path):
+    """Pages whose titles end within an entity: what is left of it stays, as the SQL says."""
+    titles = ["a&amp;b", "a&amp", "a&am", "a &copy", "&amp;&amp;&amp", "&amp;amp;middot;", "x&copyfoo;", "&quot", "&middot;&quot;&copy;"]
+    pages = [(i, f"<h1>{t} The</h1><p>{t}</p><script>a()</script>\n{t}") for i, t in enumerate(titles)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    name, con = "txt_1_html_to_text", duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    df, found = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLES[name])
+    assert rows(df.columns, df.collect()) == rows(found.columns, found.fetchall())
