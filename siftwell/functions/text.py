@@ -57,9 +57,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def once(value: Column) -> Column:
     """The value as a column that the optimizer does not copy into the filters and generators above it.
 
-    It takes a condition on a random number, which always holds, for a reason to evaluate the expression in one place.
+    It takes a condition on a random number, which always holds, for a reason to evaluate the expression in one place. A sum is compared, as the
+    optimizer knows the bounds of a random number alone and would drop the condition.
     """
-    return F.when(F.rand(0) >= 0, value)
+    return F.when(F.rand(0) + 1 >= 1, value)
 
 
 def has(text: Column, pattern: str, flags: str = FLAGS) -> Column:

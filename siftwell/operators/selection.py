@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import let, once
 from ..functions.tokens import normalise_requirements, tokens_in
 from .audit import dropped_text, introduced_tokens, number_problems
 
@@ -108,18 +108,20 @@ def flatten_bank(entries: DataFrame) -> DataFrame:
     inherit what they do not declare."""
     bullets = entries.select(F.col("date_start").alias("entry_start"), F.explode("bullets").alias("b"))
     own = ("tech", "metrics", "allowed_verbs", "must_keep_verbatim")
-    base = bullets.select("entry_start", F.col("b.id").alias("bullet_id"), F.lit(0).alias("position"), F.col("b.id").alias("variant_id"), F.col("b.text").alias("text"), *(F.col(f"b.{c}") for c in own))
-    rest = bullets.select("entry_start", "b", F.posexplode("b.variants").alias("at", "v")).select(
-        "entry_start", F.col("b.id").alias("bullet_id"), (F.col("at") + 1).alias("position"), F.col("v.id").alias("variant_id"), F.col("v.text").alias("text"),
-        *(F.coalesce(F.col(f"v.{c}"), F.col(f"b.{c}")).alias(c) for c in own),
-    )
-    return base.unionByName(rest)
+    b = F.col("b")
+    base = F.struct(F.lit(0).alias("position"), b["id"].alias("variant_id"), b["text"].alias("text"), *(b[c].alias(c) for c in own))
+    rest = F.transform(
+        b["variants"],
+        lambda v, at: F.struct((at + 1).alias("position"), v["id"].alias("variant_id"), v["text"].alias("text"), *(F.coalesce(v[c], b[c]).alias(c) for c in own)),
+    )
+    rows = bullets.select("entry_start", b["id"].alias("bullet_id"), F.explode(F.concat(F.array(base), F.coalesce(rest, F.slice(F.array(base), 1, 0)))).alias("v"))
+    return rows.select("entry_start", "bullet_id", *(f"v.{c}" for c in ("position", "variant_id", "text", *own)))
 
 
 def validate_bank(variants: DataFrame) -> DataFrame:
     """Violations (rule, variant_id, detail) of variants against their own declarations, and duplicate ids."""
     v = variants.withColumn("rewritten", F.col("text"))
-    found = F.array_compact(F.concat(introduced_tokens(), number_problems(), dropped_text()))
-    own = v.select("variant_id", F.explode(found).alias("x")).select(F.col("x.rule").alias("rule"), "variant_id", F.col("x.detail").alias("detail"))
+    found = once(F.array_compact(F.concat(introduced_tokens(), number_problems(), dropped_text())))  # or it would run for the rows' filter again
+    own = v.select("variant_id", found.alias("found")).select("variant_id", F.explode("found").alias("x")).select(F.col("x.rule").alias("rule"), "variant_id", F.col("x.detail").alias("detail"))
     twice = variants.groupBy("variant_id").count().where("count > 1").select(F.lit("duplicate-id").alias("rule"), "variant_id", F.lit("id is not unique").alias("detail"))
     return own.unionByName(twice)

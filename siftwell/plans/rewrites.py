@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions import tokens as N
+from ..functions.text import once
 from ..operators import audit, selection
 from .queries import _bounded, query
 from .templates import POSTINGS_SQL, postings, table
@@ -126,7 +127,8 @@ def validate_bank(spark, sf_dir):
     """PIPE-12: documents as variants of a nested bank; every fifth twice, no numbers declared but all allowed."""
     d = table(spark, sf_dir, "documents")
     none, metric = F.array().cast("array<string>"), "array<struct<numbers:array<string>,subject_head:string>>"
-    numbers = F.transform(audit.numbers_in(F.col("text")), lambda n: F.struct(F.array(n).alias("numbers"), F.lit("").alias("subject_head")))
+    d = d.select("doc_id", "text", once(audit.numbers_in(F.col("text"))).alias("numbers"))
+    numbers = F.transform(F.col("numbers"), lambda n: F.struct(F.array(n).alias("numbers"), F.lit("").alias("subject_head")))
     one = lambda i, own: F.struct(i.alias("id"), F.col("text").alias("text"), own.alias("tech"), numbers.cast(metric).alias("metrics"), none.alias("allowed_verbs"), F.array(F.lit("kept words")).alias("must_keep_verbatim"))
     name = F.concat(F.lit("v"), F.col("doc_id").cast("string"))
     again = F.when(F.col("doc_id") % 5 == 0, F.array(one(name, F.lit(None).cast("array<string>"))))
