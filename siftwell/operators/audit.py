@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
-from ..functions.text import around, once, or_empty, strip
+from ..functions.text import around, let, once, or_empty
 from ..functions.tokens import tokens_in
 from ..sources.folders import broadcast_small
 
@@ -37,11 +37,12 @@ def _declared(c: str, kind: str = "array<string>") -> Column:
 
 
 def numbers_in(text: Column) -> Column:
-    """Numbers a reader would take as a claim: product names' numbers are blanked first."""
+    """Numbers a reader would take as a claim: product names' numbers are blanked first. A text without a digit has none and is only looked through."""
     # what the patterns begin with is said before their alternatives and boundaries
     cleaned = F.regexp_replace(text, K.FLAGS + r"(?=[ohpsetub])" + K.PRODUCT_NUMBERS, " ")
     found = F.regexp_extract_all(cleaned, F.lit(r"(?U)(?=\d)" + K.NUMBER), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda n: F.regexp_replace(n, r"\.+$", "")))
+    numbers = F.array_distinct(F.transform(found, lambda n: F.regexp_replace(n, r"\.+$", "")))
+    return F.when(text.rlike(r"(?U)\d"), numbers).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def introduced_tokens(tokens: Column | None = None) -> Column:
@@ -78,13 +79,15 @@ def number_problems(numbers: Column | None = None) -> Column:
     numbers = numbers_in(F.col("rewritten")) if numbers is None else numbers
     plain = lambda c: F.transform(c, lambda n: F.replace(n, F.lit(","), F.lit("")))
     allowed = F.coalesce(_allowed_numbers(), F.array().cast("array<string>"))
-    invented = F.filter(numbers, lambda n: ~F.array_contains(plain(allowed), F.replace(n, F.lit(","), F.lit(""))))
-    stated = _if(F.size(invented) > 0, "v2-number", F.concat(F.lit("states "), _list(invented)))
+    # those allowed as they are written go by hash; the allowed ones are made plain once for the rest
+    others = lambda own: F.filter(F.array_except(numbers, allowed), lambda n: ~F.array_contains(own, F.replace(n, F.lit(","), F.lit(""))))
+    stated = let(let(plain(allowed), others), lambda invented: _if(F.size(invented) > 0, "v2-number", F.concat(F.lit("states "), _list(invented))))
     # the first number of a metric that stands away from its subject
     moved = F.filter(
         F.transform(
             F.col("metrics"),
-            lambda m: F.get(F.filter(m["numbers"], lambda n: F.col("rewritten").contains(n) & ~_near(F.col("rewritten"), n, m["subject_head"])), 0),
+            # an empty subject stands beside every number
+            lambda m: F.get(F.filter(m["numbers"], lambda n: F.col("rewritten").contains(n) & ((m["subject_head"] != "") | (n == "")) & ~_near(F.col("rewritten"), n, m["subject_head"])), 0),
         ),
         lambda n: n.isNotNull(),
     )
@@ -93,7 +96,7 @@ def number_problems(numbers: Column | None = None) -> Column:
 
 
 def placeholders() -> Column:
-    found = F.regexp_extract_all("rewritten", F.lit(K.PLACEHOLDER), F.lit(0))
+    found = F.regexp_extract_all("rewritten", F.lit(rf"(?=[\[T])(?:{K.PLACEHOLDER})"), F.lit(0))
     return _if(F.size(found) > 0, "v5-placeholder", F.array_join(found, ", "))
 
 
@@ -122,10 +125,16 @@ def reused_numbers() -> Column:
 
 
 def names_in(text: Column, rest: bool = False) -> Column:
-    """The distinct words of more than one letter that begin with a capital; with ``rest`` without the text's first word."""
-    words = F.regexp_extract_all(text, F.lit(K.WORD), F.lit(0))
-    some = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))) if rest else words
-    return F.array_distinct(F.filter(some, lambda w: (F.length(w) > 1) & w.rlike("^[A-Z]")))
+    """The distinct words of more than one letter that begin with a capital; with ``rest`` without the text's first word.
+
+    A run of letters, apostrophes and hyphens holds one word, from its first letter to its end; so only runs whose first letter is a capital are taken out.
+    """
+    within = K.WORD[K.WORD.index("]") + 1 : -1]  # the class of a word's further characters
+    name = rf"(?=[A-Z'’\-])(?<!{within})['’\-]*+([A-Z]{within}+)"
+    first = F.regexp_substr(text, F.lit(K.WORD))
+    names = F.regexp_extract_all(text, F.lit(name), F.lit(1))
+    named = F.coalesce((F.length(first) > 1) & first.rlike("^[A-Z]"), F.lit(False))
+    return F.array_distinct(let(names, lambda found: F.slice(found, F.when(named, 2).otherwise(1), F.size(found))) if rest else names)
 
 
 def new_names(names: Column | None = None, source: Column | None = None) -> Column:
@@ -137,11 +146,11 @@ def new_names(names: Column | None = None, source: Column | None = None) -> Colu
 def structure(bullets: DataFrame, rewrites: DataFrame) -> DataFrame:
     """Bullets that are missing, invented or emptied: a full outer join by document and bullet."""
     b = bullets.select("doc_id", "bullet_id", F.lit(True).alias("_b"))
-    r = rewrites.select("doc_id", "bullet_id", F.col("rewritten").alias("_r"))
+    r = rewrites.select("doc_id", "bullet_id", (~F.col("rewritten").rlike(r"(?U)\S")).alias("_r"))  # null, or whether it is blank: no text meets the join
     kind = (
         F.when(F.col("_r").isNull(), "bullet is missing from the rewrite")
         .when(F.col("_b").isNull(), "bullet was invented by the rewrite")
-        .when(strip(F.col("_r")) == "", "bullet was emptied")
+        .when(F.col("_r"), "bullet was emptied")
     )
     return b.join(r, ["doc_id", "bullet_id"], "full_outer").withColumn("detail", kind).where("detail is not null").select("doc_id", "bullet_id", F.lit("v4-structure").alias("rule"), "detail")
 
