@@ -6,7 +6,8 @@ files of all other buckets stay where they are. Streams name themselves and thei
 that comes again changes nothing. The last ``keep`` manifests stay; with an older one go the runs' buckets that no later one
 names. One writer at a time: a second one fails on the manifest's number.
 
-Bucket count is the table's own and bounds what the driver sees: choose it so that a bucket is some hundred megabytes.
+Bucket count is the table's own and bounds what the driver sees: choose it so that a bucket is some hundred megabytes. A larger bucket is written by
+several tasks, of about ``PART_ROWS`` rows each, as a file each.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from ..sources.folders import children, exists, remove
 from .lifecycle import merge
 
 BUCKETS, KEEP = 64, 3
+#: Rows of a bucket that one task sorts and writes.
+PART_ROWS = 100_000
 
 
 @dataclass
@@ -72,17 +75,21 @@ def _commit(spark: SparkSession, folder: str, new: Manifest, keep: int) -> None:
             remove(spark, f"{folder}/manifest/v={v}")
 
 
-def _write(rows: DataFrame, folder: str, buckets: int) -> str:
-    """Rows as the files of a new run, by bucket; its name."""
+def _write(rows: DataFrame, folder: str, buckets: int, most: int, count: int) -> str:
+    """Rows, ``most`` of them at most and in ``count`` buckets, as the files of a new run, by bucket; its name."""
     run = uuid.uuid4().hex
-    rows.withColumn("bucket", _place(buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/data/run={run}")
+    parts = -(-most // (max(count, 1) * PART_ROWS))
+    placed = rows.withColumn("bucket", _place(buckets))
+    part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(parts))  # other bits than those of the bucket
+    dealt = placed.repartition("bucket") if parts <= 1 else placed.repartition(count * parts, "bucket", part)
+    dealt.write.partitionBy("bucket").parquet(f"{folder}/data/run={run}")
     return run
 
 
 def create(rows: DataFrame, folder: str, buckets: int = BUCKETS, schema: str = STORED) -> None:
     """A new table of ``rows``."""
     spark = rows.sparkSession
-    run = _write(conform(rows, schema), folder, buckets)
+    run = _write(conform(rows, schema), folder, buckets, rows.count(), buckets)
     written = [int(name.split("=")[1]) for name in children(spark, f"{folder}/data/run={run}") if name.startswith("bucket=")]
     _commit(spark, folder, Manifest(1, buckets, dict.fromkeys(written, run)), KEEP)
 
@@ -109,12 +116,14 @@ def merge_into(fetch: DataFrame, folder: str, now: Column, close: bool = False,
     head = manifest(spark, folder)
     if epoch is not None and epoch <= head.epochs.get(stream, -1):
         return head
-    touched = {r[0] for r in fetch.select(_place(head.buckets).alias("bucket")).distinct().collect()}  # at most a row per bucket
+    came = dict(map(tuple, fetch.groupBy(_place(head.buckets).alias("bucket")).count().collect()))  # at most a row per bucket
+    touched = set(came)
     if close:
         touched |= set(head.runs)
     if not touched:
         return head
-    run = _write(merge(_rows(spark, folder, head, schema, touched), fetch, now, close), folder, head.buckets)
+    had = _rows(spark, folder, head, schema, touched)
+    run = _write(merge(had, fetch, now, close), folder, head.buckets, had.count() + sum(came.values()), len(touched))
     epochs = head.epochs if epoch is None else {**head.epochs, stream: epoch}
     new = Manifest(head.version + 1, head.buckets, {**head.runs, **dict.fromkeys(touched, run)}, epochs)
     _commit(spark, folder, new, keep)

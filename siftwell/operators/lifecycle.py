@@ -50,7 +50,8 @@ def merge(corpus: DataFrame, fetch: DataFrame, now: Column, close: bool = False)
     closed now. One full outer join on id, which knows who came, so that closing takes no join of its own.
     """
     schema = corpus.columns
-    latest = fetch.groupBy("id").agg(F.max_by(F.struct(*fetch.columns), F.struct(F.col("desc_available"), F.length("description"), "url")).alias("_f"))
+    # picking a row sorts what a task has read, and a file's part may hold any number of rows: they are dealt out first, an id of many rows to many tasks
+    latest = fetch.repartition("id", "url", "description").groupBy("id").agg(F.max_by(F.struct(*fetch.columns), F.struct(F.col("desc_available"), F.length("description"), "url")).alias("_f"))
     # the key itself, not its copy in the struct: the join finds the rows dealt out by it
     f = latest.select(F.col("id").alias("f_id"), *(F.col(f"_f.{c}").alias(f"f_{c}") for c in fetch.columns if c != "id"))
     both = corpus.join(f, corpus["id"] == f["f_id"], "full_outer")
