@@ -36,10 +36,12 @@ WIDGET = (
     "location:string,city:string,id:string,shortcode:string,published_on:string,created_at:string>>"
 )
 TITLES = "jobPostings array<struct<externalPath:string,title:string,locationsText:string,remoteType:string>>"
+#: The JSON parser gives up a job with a string of over 20 million characters, unless told otherwise.
+WHOLE = {"maxStringLen": str(2**31 - 1)}
 
 
 def _jobs(payloads: DataFrame, schema: str, jobs: str = "jobs", keep: tuple[str, ...] = ("tenant",)) -> DataFrame:
-    parsed = payloads.select(*keep, F.from_json("payload", schema).alias("p"))
+    parsed = payloads.select(*keep, F.from_json("payload", schema, WHOLE).alias("p"))
     field = F.col("p") if schema.startswith("array") else F.col(f"p.{jobs}")
     return parsed.select(*keep, F.col("p").alias("page_fields"), F.explode(field).alias("j")) if not schema.startswith("array") else parsed.select(*keep, F.explode(field).alias("j"))
 
@@ -105,7 +107,7 @@ def search_jobs(payloads: DataFrame) -> DataFrame:
 
 def search_tokens(payloads: DataFrame) -> DataFrame:
     """Each search page's token of the next page ("" at the end), beside the table's other columns."""
-    return payloads.withColumn("next_token", or_empty(F.from_json("payload", SEARCH)["nextPageToken"]))
+    return payloads.withColumn("next_token", or_empty(F.from_json("payload", SEARCH, WHOLE)["nextPageToken"]))
 
 
 def widget_jobs(payloads: DataFrame) -> DataFrame:

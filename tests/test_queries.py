@@ -86,3 +86,14 @@ def test_html_to_text_of_entities_that_are_cut(spark, tmp_path):
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     df, found = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLES[name])
     assert rows(df.columns, df.collect()) == rows(found.columns, found.fetchall())
+
+
+def test_array_jobs_of_empty_and_very_long_texts(spark, tmp_path):
+    """Documents without a text give no job, as the SQL says; a text of over 20 million characters stays whole."""
+    texts = ["a", "", None, " ", "", None, "\n", "long " * 4_200_000, "b", "long " * 4_200_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' as source").write.parquet(f"{tmp_path}/documents.parquet")
+    name, con = "src_3_array_jobs", duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df, found = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLES[name])
+    want = rows(found.columns, found.fetchall())
+    assert sum(want.values()) == 6 and rows(df.columns, df.collect()) == want
